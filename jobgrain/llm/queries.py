@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm import chat, mixing, quality
+from jobgrain.llm import chat, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,17 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("pair_id").alias("conv_id"), "prompt", "n_prompt_turns", "chosen", told("chosen_mask").alias("chosen_mask"), "rejected", told("rejected_mask").alias("rejected_mask"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op1_rule_ablation": op1_rule_ablation,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_preference_chat": op5_preference_chat,
+    "op10_simhash": op10_simhash,
 }
 
 _OP1 = r"""
