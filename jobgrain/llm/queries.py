@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm import chat, mixing, quality, simhash
+from jobgrain.llm import chat, embedding, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablate(quality.rule_ledger(_table(spark, sf_dir, "documents")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -40,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op1_rule_ablation": op1_rule_ablation,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_preference_chat": op5_preference_chat,
     "op10_simhash": op10_simhash,
@@ -71,6 +76,14 @@ ORACLE_SQL = {
     "op1_rule_ablation": _OP1 + """SELECT r.rule, CAST(sum(CASE WHEN failed_rules & r.bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN failed_rules = r.bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only,
   CAST(sum(CASE WHEN failed_rules IN (0, r.bit) THEN 1 ELSE 0 END) AS BIGINT) AS n_kept_without
 FROM bits CROSS JOIN (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32)) AS r(rule, bit) GROUP BY r.rule""",
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.component AS component_id, vec_id = c.component AS kept FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a""",
     "op5_preference_chat": f"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) AS n, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 ends AS (SELECT conv_id, max(n) AS last, min(n) AS first FROM t WHERE role = 'assistant' GROUP BY conv_id),
