@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm import chat, embedding, mixing, quality, simhash
+from jobgrain.llm import chat, embedding, mixing, packing, quality, simhash, token_files
+from jobgrain.llm.common import scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.rule_ledger(_table(spark, sf_dir, "documents"))
     return quality.apply_policy(ledger).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
@@ -25,6 +34,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/jobgrain/ids-{uuid.uuid4().hex}"
+    token_files.write_ids(_table(spark, sf_dir, "documents"), path, word_tokenizer(), end_id=2)
+    return token_files.read_documents(spark, path).drop("ids")
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -36,6 +51,11 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("pair_id").alias("conv_id"), "prompt", "n_prompt_turns", "chosen", told("chosen_mask").alias("chosen_mask"), "rejected", told("rejected_mask").alias("rejected_mask"))
 
 
+def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=0)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -45,8 +65,10 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op1_rule_ablation": op1_rule_ablation,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_token_files": op3_token_files,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_preference_chat": op5_preference_chat,
+    "op9_config_packing": op9_config_packing,
     "op10_simhash": op10_simhash,
 }
 
