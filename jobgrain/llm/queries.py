@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm import chat, embedding, mixing, packing, quality, simhash, token_files
+from jobgrain.llm import chat, embedding, lm, mixing, packing, quality, simhash, token_files
 from jobgrain.llm.common import scratch_dir
 
 
@@ -51,6 +51,10 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("pair_id").alias("conv_id"), "prompt", "n_prompt_turns", "chosen", told("chosen_mask").alias("chosen_mask"), "rejected", told("rejected_mask").alias("rejected_mask"))
 
 
+def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=0)
     return packed.withColumnRenamed("id", "doc_id")
@@ -68,6 +72,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_preference_chat": op5_preference_chat,
+    "op6_backoff_lm": op6_backoff_lm,
     "op9_config_packing": op9_config_packing,
     "op10_simhash": op10_simhash,
 }
