@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm import chat, embedding, lm, mixing, packing, quality, simhash, token_files
+from jobgrain.llm import chat, embedding, linetext, lm, mixing, packing, quality, simhash, suffixes, token_files
 from jobgrain.llm.common import scratch_dir
 
 
@@ -55,6 +55,14 @@ def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linetext.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=0)
     return packed.withColumnRenamed("id", "doc_id")
@@ -73,6 +81,8 @@ QUERIES = {
     "op4_entropy_mix": op4_entropy_mix,
     "op5_preference_chat": op5_preference_chat,
     "op6_backoff_lm": op6_backoff_lm,
+    "op7_line_blocks": op7_line_blocks,
+    "op8_sparse_suffixes": op8_sparse_suffixes,
     "op9_config_packing": op9_config_packing,
     "op10_simhash": op10_simhash,
 }
@@ -127,4 +137,10 @@ SELECT conv_id, coalesce(string_agg(CASE WHEN shared THEN ap END, '' ORDER BY n)
   coalesce(string_agg(CASE WHEN NOT shared THEN bp END, '' ORDER BY n), '') AS rejected,
   coalesce(string_agg(CASE WHEN NOT shared AND brole = 'assistant' THEN CAST(CAST(bf AS BIGINT) + length(brole) + 5 AS VARCHAR) || '-' || CAST(CAST(bf AS BIGINT) + length(bp) AS VARCHAR) END, ' ' ORDER BY n), '') AS rejected_mask
 FROM o GROUP BY conv_id""",
+    "op8_sparse_suffixes": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d)),
+dup AS (SELECT rid, doc_id, i, count(*) OVER (PARTITION BY h) AS c, min(doc_id) OVER (PARTITION BY h) AS o FROM win),
+runs AS (SELECT rid, doc_id, i, o, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS g FROM dup WHERE c > 1)
+SELECT doc_id, min(i) - 1 AS start_word, max(i) + 49 AS end_word, min(o) AS first_id FROM runs GROUP BY rid, doc_id, g""",
 }

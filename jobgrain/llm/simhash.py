@@ -136,7 +136,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; rows with a null id stay as they are."""
+    """docs with one document of each group, the one with the smallest id; rows that repeat an id are copies and one of them
+    stays; rows with a null id stay as they are."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    keep = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("near_rows"))
+    met = docs.join(keep, id_col).select(*(F.col(f"`{c}`") for c in docs.columns), "near_rows")
+    once, again = met.where("near_rows = 1").drop("near_rows"), met.where("near_rows > 1").drop("near_rows").dropDuplicates([id_col])
+    return once.unionByName(again).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
