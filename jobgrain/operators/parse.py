@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,31 @@ def literal(word: str) -> str:
     return rf"\Q{word}\E"
 
 
+def holds(text: Column, *words: str) -> Column:
+    """A plain search for any of some substrings: much cheaper than a pattern, so it stands before each of them."""
+    out = text.contains(words[0])
+    for w in words[1:]:
+        out = out | text.contains(w)
+    return out
+
+
+def hint(text: Column, phrases) -> Column:
+    """Whether the first letters of any phrase occur at all."""
+    return holds(text, *dict.fromkeys(re.match("[a-z0-9%/]+", p)[0] for p in phrases))
+
+
 def has(text: Column, phrases) -> Column:
-    return text.rlike(any_of(phrases))
+    return hint(text, phrases) & text.rlike(any_of(phrases))
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """What a pattern matches first; null if nothing."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def every(text: Column, pattern: str, group: int, when: Column) -> Column:
+    """All matches of a pattern in texts that pass a cheaper test."""
+    return F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
 
 
 def _listed(*columns: Column) -> Column:
@@ -95,32 +114,32 @@ def dealbreakers(low: Column, title: Column, cfg: ParserConfig) -> Column:
     only if the description speaks of no junior, graduate or entry role."""
     words = "|".join(map(literal, cfg.exclude_seniority))
     in_title = title.rlike(rf"(?<!{LETTER})(?:{words})(?!{LETTER})(?!(?d:.*)(?<!{LETTER})(?:junior|graduate)(?!{LETTER}))")
-    open_to_juniors = low.rlike(rf"(?<!{LETTER})(junior|graduate|entry)")
+    open_to_juniors = holds(low, "junior", "graduate", "entry") & low.rlike(rf"(?<!{LETTER})(junior|graduate|entry)")
     least = cfg.max_experience + 1
     years = rf"(?<!{LETTER})([0-9]{{1,2}})\+?{SPACE}*years?{SPACE}*(?:of)?{SPACE}*(?:professional{SPACE}+)?experience(?!{LETTER})"
-    told = F.filter(F.regexp_extract_all(low, F.lit(years), F.lit(1)), lambda y: (y.cast("int") >= least) & (y.cast("int") <= 19) & ~((F.length(y) == 2) & y.startswith("0")))
+    told = F.filter(every(low, years, 1, holds(low, "experience")), lambda y: (y.cast("int") >= least) & (y.cast("int") <= 19) & ~((F.length(y) == 2) & y.startswith("0")))
     return _listed(
-        F.when(low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_visa))})(?!{LETTER})"), F.lit("Requires Australian PR/Citizenship/Security Clearance")),
-        F.when((in_title | low.rlike(SENIOR_ROLE)) & ~open_to_juniors, F.when(in_title, F.lit("Senior/Lead level position (in title)")).otherwise(F.lit("Senior/Lead level position (in description)"))),
+        F.when(holds(low, *cfg.exclude_visa) & low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_visa))})(?!{LETTER})"), F.lit("Requires Australian PR/Citizenship/Security Clearance")),
+        F.when((in_title | (holds(low, "senior", "lead", "principal", "staff", "head of") & low.rlike(SENIOR_ROLE))) & ~open_to_juniors, F.when(in_title, F.lit("Senior/Lead level position (in title)")).otherwise(F.lit("Senior/Lead level position (in description)"))),
         F.when(F.size(told) > 0, F.concat(F.lit("Requires "), F.get(told, F.lit(0)), F.lit("+ years of experience"))),
-        F.when(low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_education))})(?!{LETTER})"), F.lit("PhD required")))
+        F.when(holds(low, *cfg.exclude_education) & low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_education))})(?!{LETTER})"), F.lit("PhD required")))
 
 
 def graduate_signals(low: Column, title: Column) -> Column:
     years = rf"(?<!{LETTER})([0-2]|1-2|0-1){SPACE}*years?{SPACE}*(?:of)?{SPACE}*experience(?!{LETTER})"
-    asked = found(low, years, 1)
+    asked = F.when(holds(low, "experience"), found(low, years, 1))
     upper = F.element_at(F.split(asked, "-"), -1).cast("int")
     graduate, entry = has(low, GRADUATE) | has(title, GRADUATE), has(low, ENTRY) | has(title, ENTRY)
     level = F.when(graduate, "Graduate").when(entry, "Junior/Entry-level").when(upper <= 1, "Entry-level").otherwise("Unknown")
     return F.struct(
         graduate.alias("explicit_graduate"), entry.alias("entry_level"), upper.alias("years_required"), has(low, MASTERS).alias("masters_mentioned"), level.alias("seniority_level"),
         (graduate | entry | F.coalesce(upper <= 1, F.lit(False))).alias("accepts_fresh_grads"),
-        F.slice(_listed(F.when(graduate, found(low, any_of(GRADUATE))), F.when(entry, found(low, any_of(ENTRY))), found(low, years)), 1, 5).alias("keywords"))
+        F.slice(_listed(F.when(graduate, found(low, any_of(GRADUATE))), F.when(entry, found(low, any_of(ENTRY))), F.when(holds(low, "experience"), found(low, years))), 1, 5).alias("keywords"))
 
 
 def domains(low: Column) -> Column:
     present = {name: has(low, phrases) for name, phrases in DOMAINS.items()}
-    keywords = F.array_distinct(F.concat(*(F.regexp_extract_all(low, F.lit(any_of(DOMAINS[n])), F.lit(0)) for n in KEYWORD_ORDER)))
+    keywords = F.array_distinct(F.concat(*(every(low, any_of(DOMAINS[n]), 0, hint(low, DOMAINS[n])) for n in KEYWORD_ORDER)))
     listed = _listed(*(F.when(p, F.lit(n)) for n, p in present.items()))
     return F.struct(F.coalesce(F.get(listed, F.lit(0)), F.lit("Unknown")).alias("primary_domain"), (F.size(listed) > 0).alias("is_ai_ml_role"), listed.alias("domains_present"), F.slice(keywords, 1, 10).alias("domain_keywords"))
 
@@ -132,9 +151,9 @@ def tech_stack(low: Column, cfg: ParserConfig, required_universe: tuple[str, ...
     states = []
     for skill in universe:
         word = rf"(?<!{LETTER}){literal(skill)}(?!{LETTER})"
-        near = F.regexp_extract_all(low, F.lit(rf"(?d).{{0,50}}{word}.{{0,50}}"), F.lit(0))
+        near = every(low, rf"(?d).{{0,50}}{word}.{{0,50}}", 0, holds(low, skill))
         needs, likes = F.exists(near, lambda x: x.rlike(REQUIRED_CUES)), F.exists(near, lambda x: x.rlike(PREFERRED_CUES))
-        states.append(F.when(low.rlike(word), F.struct(F.lit(skill).alias("skill"), (needs | ~likes).alias("required"))))
+        states.append(F.when(holds(low, skill) & low.rlike(word), F.struct(F.lit(skill).alias("skill"), (needs | ~likes).alias("required"))))
     all_ = _listed(*states) if states else F.array().cast("array<struct<skill:string,required:boolean>>")
     names = lambda cond: F.sort_array(F.transform(F.filter(all_, cond), lambda x: x["skill"]))
     required, preferred = names(lambda x: x["required"]), names(lambda x: ~x["required"])
@@ -148,12 +167,12 @@ def tech_stack(low: Column, cfg: ParserConfig, required_universe: tuple[str, ...
 
 def location_visa(low: Column, location: Column, cfg: ParserConfig) -> Column:
     text = F.concat(low, F.lit(" "), F.lower(F.coalesce(location, F.lit(""))))
-    cities = _listed(*(F.when(text.rlike(rf"(?<!{LETTER}){literal(c.lower())}(?!{LETTER})"), F.struct(F.lit(c.title()).alias("city"), F.lit(100 - 10 * i).alias("score"))) for i, c in enumerate(cfg.cities)))
-    remote, office = has(low, REMOTE), found(low, OFFICE_DAYS, 1)
-    hybrid = low.rlike(rf"(?<!{LETTER})(?:hybrid|{OFFICE_DAYS})(?!{LETTER})")
+    cities = _listed(*(F.when(holds(text, c.lower()) & text.rlike(rf"(?<!{LETTER}){literal(c.lower())}(?!{LETTER})"), F.struct(F.lit(c.title()).alias("city"), F.lit(100 - 10 * i).alias("score"))) for i, c in enumerate(cfg.cities)))
+    remote, office = has(low, REMOTE), F.when(holds(low, "day"), found(low, OFFICE_DAYS, 1))
+    hybrid = holds(low, "hybrid", "day") & low.rlike(rf"(?<!{LETTER})(?:hybrid|{OFFICE_DAYS})(?!{LETTER})")
     kind = F.when(remote, "Fully Remote").when(hybrid, "Hybrid").when(has(low, ONSITE), "Onsite").otherwise("Unknown")
     best = F.when(F.size(cities) > 0, F.array_max(F.transform(cities, lambda x: x["score"]))).when(remote & text.contains("australia"), 80).when(remote, 60).otherwise(0)
-    pr = low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_visa))})(?!{LETTER})")
+    pr = holds(low, *cfg.exclude_visa) & low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_visa))})(?!{LETTER})")
     sponsor = has(low, SPONSOR)
     return F.struct(F.transform(cities, lambda x: x["city"]).alias("cities"), F.get(F.transform(cities, lambda x: x["city"]), F.lit(0)).alias("primary_city"), kind.alias("remote_type"), F.when(~remote & hybrid, office.try_cast("int")).alias("remote_days"),
                     best.cast("int").alias("preference"), pr.alias("requires_pr"), sponsor.alias("sponsorship"), (~pr | sponsor).alias("acceptable"), (pr & ~sponsor).alias("blocker"))
@@ -161,7 +180,7 @@ def location_visa(low: Column, location: Column, cfg: ParserConfig) -> Column:
 
 def company_signals(low: Column) -> Column:
     mentor, growth = has(low, MENTOR), has(low, GROWTH)
-    team = F.when(low.rlike(TEAM), F.concat(F.regexp_extract(low, TEAM, 1), F.lit("-person "), F.regexp_extract(low, TEAM, 3), F.lit(" team")))
+    team = F.when(holds(low, "person", "member", "engineer") & low.rlike(TEAM), F.concat(F.regexp_extract(low, TEAM, 1), F.lit("-person "), F.regexp_extract(low, TEAM, 3), F.lit(" team")))
     stage = F.when(has(low, STARTUP), "Startup").when(has(low, SCALEUP), "Scale-up").when(has(low, ENTERPRISE), "Enterprise").otherwise("Unknown")
     return F.struct(mentor.alias("mentorship"), growth.alias("growth"), (mentor | growth).alias("learning"), team.alias("team_size"), stage.alias("stage"))
 
