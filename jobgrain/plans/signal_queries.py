@@ -81,8 +81,8 @@ register("company_signals", lambda s, d: parsed(s, d).select("job_id", "company_
 SELECT job_id, mentor AS mentorship, growth, mentor OR growth AS learning, CASE WHEN regexp_matches(low, '{_TEAM}') THEN regexp_extract(low, '{_TEAM}', 1) || '-person ' || regexp_extract(low, '{_TEAM}', 3) || ' team' END AS team_size,
   CASE WHEN {_has(parse.STARTUP)} THEN 'Startup' WHEN {_has(parse.SCALEUP)} THEN 'Scale-up' WHEN {_has(parse.ENTERPRISE)} THEN 'Enterprise' ELSE 'Unknown' END AS stage FROM p""")
 register("parse_postings", lambda s, d: parsed(s, d).select("job_id", "suitable", "confidence", "description_length", "has_description"), _BASE + """
-SELECT job_id, description <> '' AND len(reasons) = 0 AND (grad OR entry OR coalesce(years <= 2, false)) AS suitable, CASE WHEN description = '' THEN 0.0 ELSE round(least(1.0, 0.5 + CASE WHEN len(reasons) > 0 THEN 0.2 ELSE 0 END + CASE WHEN years IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN grad THEN 0.2 ELSE 0 END
-  + CASE WHEN len(present) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(needs) > 0 THEN 0.15 ELSE 0 END + CASE WHEN len(cities) > 0 THEN 0.1 ELSE 0 END), 4) END AS confidence, length(description) AS description_length, length(trim(description)) > 100 AS has_description FROM p""")
+SELECT job_id, description <> '' AND len(reasons) = 0 AND (grad OR entry OR coalesce(years <= 2, false)) AS suitable, CASE WHEN description = '' THEN CAST(0 AS DOUBLE) ELSE CAST(round(least(1.0, 0.5 + CASE WHEN len(reasons) > 0 THEN 0.2 ELSE 0 END + CASE WHEN years IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN grad THEN 0.2 ELSE 0 END
+  + CASE WHEN len(present) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(needs) > 0 THEN 0.15 ELSE 0 END + CASE WHEN len(cities) > 0 THEN 0.1 ELSE 0 END), 4) AS DOUBLE) END AS confidence, length(description) AS description_length, length(trim(description)) > 100 AS has_description FROM p""")
 
 _GATES = "coalesce(" + ", ".join(f"CASE WHEN {_has(p)} THEN '{n}' END" for n, p in scoring.GATES.items()) + rf", CASE WHEN regexp_matches(low, '(^|{_N})([3-9]|[1-9][0-9])\+\s*years') OR {_has(scoring.SENIOR_TITLES, 'head')} THEN 'Minimum experience not met' END)"
 register("hard_gates", lambda s, d: shape(s, d, "adverts").select("job_id", scoring.hard_gates(F.col("description"), F.col("title")).alias("gate")), _BASE + f"SELECT job_id, {_GATES} AS gate FROM p")
