@@ -24,6 +24,9 @@ recommended related reply replies respond search share sharing sidebar sidebars
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 
+#: Elements whose names say nothing of this kind: whole pages, articles, and their headings.
+WHOLE = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
@@ -39,11 +42,17 @@ def _surrounds(name: str, tag: str) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and not AROUND.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if key in ("class", "id", "role") and name not in WHOLE and any(_names_around(x) for x in value.split()):
             return True
     return False
 
 
+def _names_around(word: str) -> bool:
+    """Whether one class name says so; 'has-sidebar' or 'comments-enabled' only say what a page has."""
+    parts = re.split(r"[^a-z0-9]+", word)
+    return not AROUND.isdisjoint(parts) and parts[0] not in ("has", "with", "without", "no", "is") and parts[-1] not in ("enabled", "layout")
+
+
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
     """The lines of a page without markup: (text, letters in links, inside an article), one a block in page order. Blocks that
     surround articles are empty lines, so that they still part what stands before them from what follows."""

@@ -27,3 +27,8 @@ def test_odd_rows(spark):
     assert [t for i, t, _ in got if i in (1, 2, 5)] == ["", "", ""]
     assert max(n for i, _, n in got if i == 4) == 20000 * 10 - 1
     assert linetext.extract_text(df.where("page_id < 0")).count() == 0
+
+
+def test_names_that_only_describe():
+    html = '<div class="page has-sidebar comments-enabled"><h2 class="section-header">Head</h2><p>' + "A long line of text that stays. " * 4 + '</p><div class="sidebar-right">Out out out out out out out out out out</div></div>'
+    assert linetext.main_text(html) == "Head\n" + ("A long line of text that stays. " * 4).strip()
