@@ -12,7 +12,7 @@ from jobgrain.llm.common import materialize
 from jobgrain.llm.exchange import bucket_of, merge, receive, receive_values, send, send_values
 
 #: Bytes of text that one batch holds, about.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 #: Words of a suffix's key. With at least 50 words to a passage, every passage then holds a selected suffix.
 KEY_WORDS = 16
 #: Fixed odd number whose powers weigh the words of a window.

@@ -7,13 +7,26 @@ import os
 import numpy as np
 
 #: Words whose ids a task remembers at most before it starts over; memory stays bounded by this.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Words that are encoded in one call.
 TOGETHER = 20_000
 
 _LOADED: dict[str, WordTokenizer] = {}
 
 
+class _Places(dict):
+    """Numbers words in the order in which they are first asked for; fresh has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class WordTokenizer:
     """Encodes texts for a tokenizer that never looks across white space: it drops white space before it splits words.
 
@@ -32,7 +45,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1, np.int64)
 
@@ -69,18 +82,12 @@ class WordTokenizer:
     def _some(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.place) > REMEMBERED:
             self._forget()
-        place = self.place
-        fresh: list[bytes] = []
-        for words in texts:
-            for w in set(words):
-                if w not in place:
-                    place[w] = len(place)
-                    fresh.append(w)
-        self._learn(fresh)
+        places = [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in texts]
+        self._learn(self.place.fresh)
+        self.place.fresh = []
         length = np.diff(self.begin)
         out = []
-        for words in texts:
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        for at in places:
             n = length[at]
             step = np.repeat(self.begin[at] - (np.cumsum(n) - n), n)
             out.append(self.ids[step + np.arange(len(step))])

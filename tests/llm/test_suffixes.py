@@ -1,8 +1,6 @@
 import random
 from collections import Counter
 
-import pytest
-
 from jobgrain.llm import suffixes
 
 
