@@ -23,7 +23,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
     """Encodes every whole text, appends end_id, and writes all ids in ascending id order under path.
 
     The files are Parquet, committed by Spark's writer so that a lost task leaves nothing behind; each row is a segment:
-    part and seq (its place in the order), doc_ids, ends (ids up to the end of each document), n_tokens, code (see dac).
+    part, seq and before (its place in the order, and the ids of its part before it), doc_ids, ends (ids up to the end of each document), n_tokens, code (see dac).
     Parts are ranges of id, sorted within, so one pass writes them and no task holds more than a segment.
 
     A null text is empty. Null ids come first, repeated ids in the order of their texts' hash. Other columns are ignored.
@@ -35,12 +35,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
 
     def segments(it):
         part, seq = TaskContext.get().partitionId(), 0
-        ids, pieces, size = [], [], 0
+        ids, pieces, size, before = [], [], 0, 0
 
         def full():
             ends = np.cumsum([len(x) for x in pieces])
             code = pack(np.concatenate(pieces))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([int(ends[-1])], pa.int64()), pa.array([code], pa.binary())], names=["part", "seq", "doc_ids", "ends", "n_tokens", "code"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([int(ends[-1])], pa.int64()), pa.array([code], pa.binary())], names=["part", "seq", "before", "doc_ids", "ends", "n_tokens", "code"])
 
         for b in it:
             got = tokenizer(tokenizer_path).encode(b.column(1).to_pylist())
@@ -50,22 +50,21 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
                 size += len(pieces[-1])
                 if size >= SEGMENT:
                     yield full()
-                    ids, pieces, size, seq = [], [], 0, seq + 1
+                    ids, pieces, size, seq, before = [], [], 0, seq + 1, before + size
         if ids:
             yield full()
 
     names = "bigint" if kind == pa.int64() else "string"
-    ordered.mapInArrow(segments, f"part int, seq int, doc_ids array<{names}>, ends array<bigint>, n_tokens bigint, code binary").write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(segments, f"part int, seq int, before bigint, doc_ids array<{names}>, ends array<bigint>, n_tokens bigint, code binary").write.mode("overwrite").parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The segments with base: the ids before each in the whole order. Only counts of parts meet in one place."""
+    """The segments with base: the ids before each in the whole order. Only the parts' totals meet in one place and are
+    broadcast: one number for each partition that wrote the files."""
     rows = spark.read.parquet(path)
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("part_base"))
-    places = rows.select("part", "seq", "n_tokens").join(parts, "part").select("part", "seq", (F.col("part_base") + F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("part").orderBy("seq"))), F.lit(0))).alias("base"))
-    return rows.join(places, ["part", "seq"])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_base"))
+    return rows.join(F.broadcast(parts), "part").withColumn("base", F.col("part_base") + F.col("before"))
 
 
 def read_documents(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
