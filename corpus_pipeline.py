@@ -29,8 +29,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows with their places in sequences."""
-    return packing.pack_documents(docs, queries.word_tokenizer(), end_id=0).withColumnRenamed("id", "doc_id")
+    """The pieces of all rows with their places in sequences. Workers still hold what earlier stages needed, so they remember
+    fewer words."""
+    return packing.pack_documents(docs, queries.word_tokenizer(), end_id=0, remembered=400_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -6,8 +6,8 @@ import os
 
 import numpy as np
 
-#: Words whose ids a task remembers at most before it starts over; memory stays bounded by this.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers at most before it starts over, about 0.2 kB each; memory stays bounded by this.
+REMEMBERED = 1_000_000
 #: Words that are encoded in one call.
 TOGETHER = 20_000
 
@@ -41,6 +41,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.remembered = REMEMBERED
         self.lowers = self._encode([b"A"]) == self._encode([b"a"])
         self._forget()
 
@@ -80,7 +81,7 @@ class WordTokenizer:
         return [w.lower() if self.lowers and w.isascii() and b"<|" not in w else w for w in text.split()]
 
     def _some(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > self.remembered:
             self._forget()
         places = [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in texts]
         self._learn(self.place.fresh)
@@ -94,8 +95,9 @@ class WordTokenizer:
         return out
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a file, loaded once in a worker."""
+def tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
+    """The tokenizer of a file, loaded once in a worker, which remembers so many words from now on."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
+    _LOADED[path].remembered = remembered
     return _LOADED[path]
