@@ -6,7 +6,7 @@ import pytest
 
 from jobgrain.llm import lm
 
-STRENGTH = 40.0
+STRENGTH = 100.0
 
 
 def brute(rows):
