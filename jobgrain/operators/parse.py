@@ -105,6 +105,14 @@ def every(text: Column, pattern: str, group: int, when: Column) -> Column:
     return F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
 
 
+def around(text: Column, word: str, width: int = 50) -> Column:
+    """The text without what stands further than a pattern of width characters on both sides of a word can reach: a newline
+    takes its place. Such a pattern finds the same in it, and no longer tries every position of a long text."""
+    n = 2 * width + len(word)
+    cut = lambda x: F.when(F.length(x) > 2 * n, F.concat(F.substring(x, 1, n), F.lit("\n"), F.substring(x, -n, n))).otherwise(x)
+    return F.array_join(F.transform(F.split(text, literal(word)), cut), word)
+
+
 def _listed(*columns: Column) -> Column:
     return F.filter(F.array(*columns), lambda x: x.isNotNull())
 
@@ -151,7 +159,7 @@ def tech_stack(low: Column, cfg: ParserConfig, required_universe: tuple[str, ...
     states = []
     for skill in universe:
         word = rf"(?<!{LETTER}){literal(skill)}(?!{LETTER})"
-        near = every(low, rf"(?d).{{0,50}}{word}.{{0,50}}", 0, holds(low, skill))
+        near = every(around(low, skill), rf"(?d).{{0,50}}{word}.{{0,50}}", 0, holds(low, skill))
         needs, likes = F.exists(near, lambda x: x.rlike(REQUIRED_CUES)), F.exists(near, lambda x: x.rlike(PREFERRED_CUES))
         states.append(F.when(holds(low, skill) & low.rlike(word), F.struct(F.lit(skill).alias("skill"), (needs | ~likes).alias("required"))))
     all_ = _listed(*states) if states else F.array().cast("array<struct<skill:string,required:boolean>>")

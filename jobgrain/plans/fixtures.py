@@ -45,7 +45,7 @@ SHAPES: dict[str, tuple[str, dict[str, str], str]] = {
     "adverts": ("documents", {
         "job_id": "doc_id", "title": _case("doc_id % 6", ("Senior ML Engineer", "Graduate Data Scientist", "Lead or Junior Analyst", "Software Engineer", "Manager", "Associate Engineer")),
         "location": _case("doc_id % 4", ("Perth WA", "Remote, Australia", "Melbourne")),
-        "description": "CASE WHEN doc_id % 25 = 7 THEN '' ELSE substr(text, 1, 150) || ' | ' || " + _case("doc_id % 9", (
+        "description": "CASE WHEN doc_id % 25 = 7 THEN '' ELSE text || ' | ' || " + _case("doc_id % 9", (
             "We want a Senior Developer with 5+ years of professional experience.", "Graduate program for new graduate hires, masters degree preferred.", "Entry-level role, 0-1 years of experience.", "Must hold security clearance. Visa sponsorship available.",
             "Machine learning and deep learning with PyTorch required. Nice to have: Docker.", "Hybrid, 3 days in office in Perth. An LLM and RAG with LangChain.", "Fully remote in Australia, an established enterprise.", "PhD required. A 12-person ML team at a startup.", "Series D, on your way."))
             + " || chr(10) || " + _case("doc_id % 5", ("Python is essential. Mentorship and career growth.", "Python preferred. SQL is a plus.", "Work with junior staff, 2 years experience.", "Computer vision with YOLO, then MLOps and model deployment.", "Nothing else.")) + " END"}, "true"),
