@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from html import unescape
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,18 +52,19 @@ def _names_around(word: str) -> bool:
     return not AROUND.isdisjoint(parts) and parts[0] not in ("has", "with", "without", "no", "is") and parts[-1] not in ("enabled", "layout")
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The lines of a page without markup: (text, letters in links, inside an article), one a block in page order. Blocks that
-    surround articles are empty lines, so that they still part what stands before them from what follows."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+    """The lines of a page without markup: (text, letters in links, inside an article, emptied), one a block in page order.
+    Blocks that surround articles are empty lines and emptied, so that they still part what stands before them from what
+    follows; other empty lines are only where blocks meet."""
+    lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
     linked = hidden = inside = at = 0
 
-    def end_line():
+    def end_line(emptied: bool = False):
         nonlocal linked
         joined = _SPACE.sub(" ", "".join(text)).strip()
-        lines.append((joined, min(linked, len(joined)), inside > 0))
+        lines.append((joined, min(linked, len(joined)), inside > 0, emptied))
         text.clear()
         linked = 0
 
@@ -74,7 +74,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             name, was_hidden = stack.pop()
             hidden -= was_hidden
             if name in BLOCKS:
-                end_line()
+                end_line(was_hidden)
             inside -= name in ("article", "main")
 
     def add(part: str):
@@ -133,28 +133,45 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
 def main_text(html: str, window: int = 3, surge: int = 40) -> str:
     """The article's blocks, joined by newlines.
 
-    Letters outside links are summed over sliding windows of lines. Text begins at the line with text where the sum surges
-    to `surge` and ends where it dives to nothing; lines between a surge and its dive are kept. Where a page marks an
-    article or main element, the curve counts only lines inside, as what stands outside is by its own account not the
-    article, and any letter inside is a surge.
+    Where a page marks an article or main element, these are all lines inside with text, as what stands outside is by its own
+    account not the article. Elsewhere emptied blocks, and runs of `window` lines or more that are nothing but links, part
+    the page into regions. Letters outside links are summed over sliding windows of the lines with text. A region's text
+    begins at the line where the sum surges to `surge` and ends at its last line with letters outside links; between two
+    regions with such text, short lines are kept as well.
     """
     lines = lines_of(html)
-    marked = any(inside and text for text, _, inside in lines)
-    weight = np.array([max(0, len(t) - linked) if inside or not marked else 0 for t, linked, inside in lines], np.int64)
-    sums = np.concatenate(([0], np.cumsum(weight)))
-    ends = np.minimum(np.arange(len(lines)) + window, len(lines))
-    curve = sums[ends] - sums[np.arange(len(lines))]
-    kept, begun = [], False
-    for i, (text, _, inside) in enumerate(lines):
-        if not begun and weight[i] > 0 and curve[i] >= (1 if marked else surge):
-            begun = True
-        elif begun and curve[i] == 0:
-            begun = False
-        if begun and text and (inside or not marked):
-            kept.append(text)
+    if any(inside and text for text, _, inside, _ in lines):
+        return "\n".join(text for text, _, inside, _ in lines if inside and text)
+    regions: list[list[tuple[str, int]]] = [[]]
+    run = 0
+    for text, linked, _, emptied in lines:
+        if emptied:
+            regions.append([])
+            run = 0
+        elif text:
+            run = 0 if len(text) > linked else run + 1
+            regions[-1].append((text, len(text) - linked))
+            if run == window:
+                del regions[-1][-window:]
+                regions.append([])
+            elif run > window:
+                regions[-1].clear()
+    parts = [(region, *_text_of([w for _, w in region], window, surge)) for region in regions]
+    full = [i for i, (_, _, surged, _) in enumerate(parts) if surged is not None]
+    kept = []
+    for i, (region, first, surged, last) in enumerate(parts):
+        if full and full[0] <= i <= full[-1]:
+            kept += [text for text, _ in region[surged if i == full[0] else first : last]]
     return "\n".join(kept)
 
 
+def _text_of(weights: list[int], window: int, surge: int) -> tuple[int, int | None, int]:
+    """Of one region: its first line with weight, the one where the sum surges, and the end of the last one with weight."""
+    some = [i for i, w in enumerate(weights) if w > 0]
+    surged = next((i for i in some if sum(weights[i : i + window]) >= surge), None)
+    return (some[0], surged, some[-1] + 1) if some else (0, None, 0)
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: id_col, url_col, text ('' if a page has none), n_chars. A null html is empty. Pages are read whole, one at a
     time; nothing is shuffled; repeated rows and null ids are rows like others; other columns are ignored."""
