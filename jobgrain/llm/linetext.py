@@ -29,7 +29,11 @@ WHOLE = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas")}
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+#: Elements of other languages, in which a tag may close itself.
+FOREIGN = frozenset(("svg", "math"))
+#: Elements whose content closes nothing outside, if they are closed themselves.
+APART = FOREIGN | {"object", "template", "canvas", "select"}
 _SPACE = re.compile(r"\s+")
 
 
@@ -59,6 +63,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
+    ends: dict[str, int] = {}
     linked = hidden = inside = at = 0
 
     def end_line(emptied: bool = False):
@@ -84,6 +89,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             if any(n == "a" for n, _ in stack):
                 linked += len(text[-1].strip())
 
+    def last_end(name: str) -> int:
+        if name not in ends:
+            ends[name] = max((m.start() for m in re.finditer(rf"</{name}\s*>", html, re.I)), default=-1)
+        return ends[name]
+
     while True:
         m = _TAG.search(html, at)
         add(html[at : m.start()] if m else html[at:])
@@ -111,12 +121,14 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
                 if stack[i][0] in kinds:
                     close(i)
                     break
-                if stack[i][0] in stops:
+                if stack[i][0] in stops or stack[i][0] in APART and last_end(stack[i][0]) >= at:
                     break
         if name in BLOCKS:
             end_line()
         if name in VOID:
             continue
+        if tag.endswith("/>") and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+            continue
         off = _surrounds(name, tag)
         if name in _RAW_END:
             end = _RAW_END[name].search(html, at)

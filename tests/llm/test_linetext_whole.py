@@ -19,3 +19,12 @@ LONG = ("Words of a story that goes on for a while. " * 3).strip()
 ])
 def test_blocks_of_an_article_stay(html, want):
     assert linetext.main_text(f"<html><body>{html}</body></html>").split("\n") == want
+
+
+@pytest.mark.parametrize("inline", [
+    '<svg class="icon"/>', "<math/>", '<svg viewBox="0 0 1 1"><title>t</title><path d="M0"/><g><circle r="1"/></g><text>no</text></svg>', "<svg><path d='M0'></svg>",
+    "<object data=x>", "<canvas>", "<select><option>no", "<template>no", "<object><p>no</p></object>", "<template><p>no</p></template>",
+])
+def test_inline_elements_hide_themselves_alone(inline):
+    html = f"<article><div>{inline}</div><p>One {inline}</p><p>two</p></article><svg></svg>"
+    assert linetext.main_text(html) == "One\ntwo"
