@@ -52,14 +52,14 @@ register("upcoming_interviews", lambda s, d: views.upcoming_interviews(interview
 
 
 def _asked(s, d):
-    return jobs(s, d).where("job_id % 10 = 0 AND applied = false").select("job_id")
+    return jobs(s, d).select("job_id")
 
 
 register("job_timeline", lambda s, d: views.job_timeline(_asked(s, d), events(s, d), interviews(s, d)).withColumn("happened", F.date_format("happened", "yyyy-MM-dd HH:mm:ss")), ctes("postings", "status_history", "interviews") + """,
-a AS (SELECT job_id FROM postings WHERE job_id % 10 = 0 AND NOT applied),
+a AS (SELECT job_id FROM postings),
 r AS (SELECT job_id, 'status' AS kind, CAST(changed_at AS TIMESTAMP) AS happened, new_status AS detail, id FROM status_history WHERE job_id IN (SELECT job_id FROM a) UNION ALL SELECT job_id, 'interview', CAST(interview_date AS TIMESTAMP), interview_type, id FROM interviews WHERE job_id IN (SELECT job_id FROM a))
 SELECT job_id, kind, strftime(happened, '%Y-%m-%d %H:%M:%S') AS happened, detail, row_number() OVER (PARTITION BY job_id, kind ORDER BY happened DESC, id DESC) AS nth FROM r""")
-register("job_detail", lambda s, d: views.job_detail(_asked(s, d), jobs(s, d), scores(s, d)).select("job_id", "title", "score", "recommendation"), _JS + "SELECT p.job_id, title, score, recommendation FROM postings p LEFT JOIN scores s ON p.job_id = s.job_id WHERE p.job_id % 10 = 0 AND NOT applied")
+register("job_detail", lambda s, d: views.job_detail(_asked(s, d), jobs(s, d), scores(s, d)).select("job_id", "title", "score", "recommendation"), _JS + "SELECT p.job_id, title, score, recommendation FROM postings p LEFT JOIN scores s ON p.job_id = s.job_id")
 _AU = "(contains(lower(location), 'australia') OR " + " OR ".join(f"contains(lower(location), '{c}')" for c in views.CITIES) + ")"
 register("location_filter", lambda s, d: jobs(s, d).select("job_id", *(views.location_matches(F.col("location"), m).alias(m) for m in ("perth", "australia", "world")), views.region_matches(F.col("region"), "australia").alias("home")),
          ctes("postings") + f"\nSELECT job_id, coalesce(contains(lower(location), 'perth'), false) AS perth, coalesce({_AU} AND (contains(lower(location), 'remote') OR contains(lower(location), 'hybrid')), false) AS australia, coalesce(contains(lower(location), 'remote'), false) AS world, coalesce(region, 'australia') = 'australia' AS home FROM postings")

@@ -51,3 +51,12 @@ def test_contexts_of_a_skill_are_those_of_the_whole_text(spark):
     pattern = r"(?d).{0,50}(?<![\p{L}\p{N}_])sql(?![\p{L}\p{N}_]).{0,50}"
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all(parse.around(F.col("t"), "sql"), F.lit(pattern), F.lit(0)).alias("near")).collect()
     assert [r.near for r in got] == [re.findall(r"[^\n]{0,50}(?<!\w)sql(?!\w)[^\n]{0,50}", r.t) for r in got]
+
+
+def test_every_job_is_asked_for(spark, sf):
+    """Against rows counted by hand from the given tables, without the queries' SQL."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    ids = {r.doc_id for r in read("documents").select("doc_id").collect()}
+    assert sorted(r.job_id for r in registry.queries()["job_detail"](spark, sf).collect()) == sorted(ids)
+    happened = sorted([("status", r.user_id) for r in read("events").select("user_id").collect() if r.user_id in ids] + [("interview", r.k) for r in read("orders").selectExpr("o_orderkey % 1000 AS k").collect() if r.k in ids])
+    assert sorted((r.kind, r.job_id) for r in registry.queries()["job_timeline"](spark, sf).collect()) == happened
