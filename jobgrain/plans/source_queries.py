@@ -95,18 +95,18 @@ register("page_description", lambda s, d: pages.page_description(table(s, d, "pa
 register("canonical_url", lambda s, d: table(s, d, "pages").select("page_id", pages.canonical_url(F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?://[^/]+", "")).when(F.col("page_id") % 7 == 1, F.lit(None)).otherwise(F.col("url")), "https://board.example", F.col("page_id")).alias("url")),
          r"""WITH u AS (SELECT page_id, split_part(CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^https?://[^/]+', '') WHEN page_id % 7 = 1 THEN NULL ELSE url END, '?', 1) AS p FROM pages)
 SELECT page_id, CASE WHEN p LIKE '/%' THEN 'https://board.example' || p WHEN p IS NULL OR p = '' THEN 'https://board.example/jobs/view/' || page_id ELSE p END AS url FROM u""")
-_MARKED = "CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 50) || ' Must Have ' || substr(text, 51, 50) WHEN 1 THEN 'Requirements: x' || chr(10) || ' Basic Qualifications y ' WHEN 2 THEN 'a Minimum Qualifications b Requirements: c' ELSE substr(text, 1, 80) END"
+_MARKED = "CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 50) || ' Must Have ' || substr(text, 51) WHEN 1 THEN text || 'Requirements: x' || chr(10) || ' Basic Qualifications y ' || text WHEN 2 THEN 'a Minimum Qualifications b ' || text || ' Requirements: c' ELSE text END"
 register("split_requirements", lambda s, d: pages.split_requirements(table(s, d, "documents").selectExpr("doc_id", f"{_MARKED} AS text")).select("doc_id", "description", "requirement_text"), "WITH m AS (SELECT doc_id, " + _MARKED + " AS t FROM documents),\nh AS (SELECT *, CASE " + " ".join(f"WHEN contains(t, '{h}') THEN '{h}'" for h in pages.REQUIREMENTS) + r""" END AS h FROM m)
 SELECT doc_id, CASE WHEN h IS NULL THEN t ELSE trim(substr(t, 1, instr(t, h) - 1), ' ' || chr(10) || chr(9)) END AS description, CASE WHEN h IS NOT NULL THEN h || chr(10) || trim(substr(t, instr(t, h) + length(h)), ' ' || chr(10) || chr(9)) END AS requirement_text FROM h""")
 _CRITERIA = ("Seniority level Associate", "Employment type Full-time", "Job function Engineering", "Industries Software", "Contract", "Entry level")
 register("classify_criteria", lambda s, d: pages.classify_criteria(shape(s, d, "postings").select("job_id", F.array(*(F.when((F.col("job_id") + i) % 3 != 0, F.lit(c)) for i, c in enumerate(_CRITERIA))).alias("criteria")).withColumn("criteria", F.filter("criteria", lambda x: x.isNotNull()))).drop("criteria"),
          ctes("postings") + "\nSELECT job_id, CASE WHEN (job_id + 5) % 3 <> 0 THEN 'Entry level' WHEN job_id % 3 <> 0 THEN 'Associate' END AS seniority_level, CASE WHEN (job_id + 4) % 3 <> 0 THEN 'Contract' WHEN (job_id + 1) % 3 <> 0 THEN 'Full-time' END AS employment_type, CASE WHEN (job_id + 2) % 3 <> 0 THEN 'Engineering' END AS job_function, CASE WHEN job_id % 3 <> 0 THEN 'Software' END AS industries FROM postings")
 _PANEL = "CASE doc_id % 7 WHEN 0 THEN 'Seniority level:' || chr(10) || ' Director ' WHEN 1 THEN 'Seniority level:' || chr(10) || 'salary 5' WHEN 2 THEN 'an internship program, part time' WHEN 3 THEN 'Employment type:' || chr(10) || 'Casual' || chr(10) || 'Job function:' || chr(10) || 'Design' WHEN 4 THEN 'associate, full-time' WHEN 5 THEN 'Industries:' || chr(10) || 'Mining' || chr(10) || 'contract' ELSE 'associate degree' END"
-register("infer_labels", lambda s, d: pages.infer_labels(table(s, d, "documents").selectExpr("doc_id", f"{_PANEL} AS text")).drop("text"), """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Director' WHEN 2 THEN 'Entry level' WHEN 4 THEN 'Associate' END AS seniority_level, CASE doc_id % 7 WHEN 2 THEN 'Part-time' WHEN 3 THEN 'Casual' WHEN 4 THEN 'Full-time' WHEN 5 THEN 'Contract' END AS employment_type,
+register("infer_labels", lambda s, d: pages.infer_labels(table(s, d, "documents").selectExpr("doc_id", f"text || chr(10) || {_PANEL} || chr(10) || text AS text")).drop("text"), """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Director' WHEN 2 THEN 'Entry level' WHEN 4 THEN 'Associate' END AS seniority_level, CASE doc_id % 7 WHEN 2 THEN 'Part-time' WHEN 3 THEN 'Casual' WHEN 4 THEN 'Full-time' WHEN 5 THEN 'Contract' END AS employment_type,
   CASE doc_id % 7 WHEN 3 THEN 'Design' END AS job_function, CASE doc_id % 7 WHEN 5 THEN 'Mining' END AS industries FROM documents""")
 _CARD = "CASE doc_id % 4 WHEN 0 THEN 'Engineer' || chr(10) || ' Posted ' || doc_id || ' days ago ' || chr(10) || 'x' WHEN 1 THEN 'long ago' WHEN 2 THEN 'Ago' || chr(10) || '1 Week' ELSE 'none' END"
 register("posted_age", lambda s, d: table(s, d, "documents").selectExpr("doc_id", f"{_CARD} AS card").select("doc_id", pages.posted_age(F.col("card")).alias("age")), "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'posted ' || doc_id || ' days ago' WHEN 2 THEN 'ago' END AS age FROM documents")
-register("join_skills", lambda s, d: table(s, d, "documents").select("doc_id", pages.join_skills(F.split(F.substring("text", 1, 90), " ")).alias("skills")), "SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split(substr(text, 1, 90), ' '), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), 1, 10), ', ') AS skills FROM documents")
+register("join_skills", lambda s, d: table(s, d, "documents").select("doc_id", pages.join_skills(F.split("text", " ")).alias("skills")), "SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), 1, 10), ', ') AS skills FROM documents")
 
 _PLAN_SQL = r"""
 t AS (SELECT DISTINCT title FROM postings), r AS (SELECT title, lower(title) AS low, replace(lower(title), ' ', '_') AS slug FROM t),

@@ -60,3 +60,16 @@ def test_every_job_is_asked_for(spark, sf):
     assert sorted(r.job_id for r in registry.queries()["job_detail"](spark, sf).collect()) == sorted(ids)
     happened = sorted([("status", r.user_id) for r in read("events").select("user_id").collect() if r.user_id in ids] + [("interview", r.k) for r in read("orders").selectExpr("o_orderkey % 1000 AS k").collect() if r.k in ids])
     assert sorted((r.kind, r.job_id) for r in registry.queries()["job_timeline"](spark, sf).collect()) == happened
+
+
+def test_sources_are_read_whole(spark, tmp_path):
+    """Bodies whose markers, labels and skills stand behind 500 characters of nothing."""
+    body = " " * 500 + "python sql\nFull-time\n" + "z" * 500
+    marked = body + "\nRequired Qualifications far\nJob function:\nFarming\n"
+    spark.createDataFrame([(3, marked, "en", "web", 1), (13, marked, "en", "web", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r.doc_id: r for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    first = run("split_requirements")[3]
+    assert first.description == body.strip() and first.requirement_text == "Required Qualifications\nfar\nJob function:\nFarming"
+    labels = run("infer_labels")
+    assert labels[13].job_function == "Farming" and labels[13].employment_type == "Full-time"
+    assert run("join_skills")[3].skills.startswith("python, sql\nFull-time")
