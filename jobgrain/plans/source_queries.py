@@ -38,7 +38,7 @@ for _fmt in ("parquet", "json", "csv"):
 def _searches(s, d):
     p = shape(s, d, "postings")
     item = F.struct(F.concat(F.lit("x"), F.col("job_id").cast("string")).alias("id"), "title", (F.col("job_id") % 4 != 0).alias("enabled"), "url")
-    by_board = p.where("job_id % 2 = 0").groupBy(F.pmod("job_id", F.lit(7)).alias("k")).agg(*(F.collect_list(F.when(F.col("source") == b, item)).alias(b) for b in ("linkedin", "seek", "jora"))).drop("k")
+    by_board = p.where("job_id % 2 = 0").groupBy(F.floor(F.col("job_id") / 100).alias("k")).agg(*(F.collect_list(F.when(F.col("source") == b, item)).alias(b) for b in ("linkedin", "seek", "jora"))).drop("k")
     made = p.where("job_id % 2 = 1").select(F.array(F.struct(F.concat(F.lit("g"), F.col("job_id").cast("string")).alias("search_id"), F.col("title").alias("keyword"), "url", "source")).alias("searches"))
     return tables.read_searches(s, [through_file(by_board, s, "json"), through_file(made, s, "json")], multi_line=False).select("id", "region", "source", "url")
 

@@ -73,3 +73,13 @@ def test_sources_are_read_whole(spark, tmp_path):
     labels = run("infer_labels")
     assert labels[13].job_function == "Farming" and labels[13].employment_type == "Full-time"
     assert run("join_skills")[3].skills.startswith("python, sql\nFull-time")
+
+
+def test_searches_are_packed_in_small_objects(spark, tmp_path, monkeypatch):
+    from jobgrain.plans import source_queries
+
+    spark.range(1000).selectExpr("id AS doc_id", "concat('t', id) AS text", "'en' AS lang", "'web' AS source", "1 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    sent, through = [], source_queries.through_file
+    monkeypatch.setattr(source_queries, "through_file", lambda df, *a, **k: sent.append(df) or through(df, *a, **k))
+    assert registry.queries()["read_searches"](spark, str(tmp_path)).count() == 750
+    assert sent[0].count() == 10 and sent[0].selectExpr("max(size(seek) + size(jora) + size(linkedin)) AS n").first().n == 50
