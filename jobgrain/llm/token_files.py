@@ -24,13 +24,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
 
     The files are Parquet, committed by Spark's writer so that a lost task leaves nothing behind; each row is a segment:
     part, seq and before (its place in the order, and the ids of its part before it), doc_ids, ends (ids up to the end of each document), n_tokens, code (see dac).
-    Parts are ranges of id, sorted within, so one pass writes them and no task holds more than a segment.
+    Parts are ranges of id, then of the text's hash and the row's number, so that an id that very many rows repeat
+    (null among them) is still several parts; sorted within, so one pass writes them and no task holds more than a segment.
 
-    A null text is empty. Null ids come first, repeated ids in the order of their texts' hash. Other columns are ignored.
+    A null text is empty. Null ids come first, repeated ids in the order of their texts' hash. Ids are integers or strings.
+    Other columns are ignored; an empty table gives files without rows.
     """
     id_type = docs.schema[id_col].dataType
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text_bytes"))
-    ordered = slim.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text_bytes"))
+    order = ["id", "h", "nth"]
+    ordered = slim.withColumns({"h": F.xxhash64("text_bytes"), "nth": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text_bytes")
     kind = pa.int64() if id_type.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
 
     def segments(it):
@@ -67,9 +70,11 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(parts), "part").withColumn("base", F.col("part_base") + F.col("before"))
 
 
-def read_documents(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
-    little-endian unsigned 32-bit integers), ids."""
+    little-endian unsigned 32-bit integers), ids. doc_id is a long or a string, as the files hold it."""
+    held = segments(spark, path)
+    id_type = held.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(it):
         for b in it:
@@ -79,7 +84,7 @@ def read_documents(spark: SparkSession, path: str, id_type: str = "bigint") -> D
                 texts = [code.slice(s, e).astype("<u4") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64() if id_type == "bigint" else pa.string()), pa.array(starts + row["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in texts], pa.int64()), pa.array([x.tobytes() for x in texts], pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return segments(spark, path).select("doc_ids", "ends", "base", "code").mapInArrow(decode, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, ids binary")
+    return held.select("doc_ids", "ends", "base", "code").mapInArrow(decode, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def tokens_at(positions: DataFrame, path: str) -> DataFrame:

@@ -25,6 +25,23 @@ def test_words_encode_as_whole_texts(plain, spark, sf):
     assert [x.tolist() for x in got] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_marks_and_tokenizers_that_keep_white_space(plain):
+    texts = ["a\x01b \x01 \x01\x01 c\x01", "<|endoftext|>\x01 x", "", " ", "क़ İİ Kelvin \u212a \u00a0z"]
+    got = WordTokenizer(PATH).encode([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = WordTokenizer(path)
+    assert not whole.by_word
+    assert [x.tolist() for x in whole.encode([t.encode() for t in texts])] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_few_remembered_words(plain):
+    some = WordTokenizer(PATH)
+    some.remembered = 3
+    for t in ("one two three four five", "six five Four, one"):
+        assert [x.tolist() for x in some.encode([t.encode(), t.encode()])] == [plain.encode(t, add_special_tokens=False).ids] * 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 4000])
 def test_codes(n):
     rng = np.random.default_rng(n)
@@ -72,6 +89,17 @@ def test_files_of_odd_rows(plain, spark, tmp_path):
     assert token_files.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_files_of_string_ids_and_one_hot_id(plain, spark, tmp_path):
+    rows = [("b", "one two")] * 300 + [(None, "x")] * 300 + [("a", "y z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_files.write_ids(docs, str(tmp_path / "hot"), PATH, 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_documents(spark, str(tmp_path / "hot")).collect())
+    assert [(i, n) for _, i, n in got] == [(None, 2)] * 300 + [("a", 3)] + [("b", 3)] * 300
+    assert spark.read.parquet(str(tmp_path / "hot")).select("part").distinct().count() > 2
+
+
 def check_packed(plain, rows, packed, capacity):
     want = sorted((i if i is not None else -1, p, p * capacity, len(x[p * capacity : (p + 1) * capacity]), zlib.crc32(x[p * capacity : (p + 1) * capacity].tobytes())) for i, x in expected(plain, rows, 0) for p in range(-(-len(x) // capacity)))
     assert sorted((r.id if r.id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
@@ -97,9 +125,34 @@ def test_packing(plain, spark, sf, monkeypatch):
     assert packing.pack_documents(docs.where("doc_id < 0"), PATH, 0).count() == 0
 
 
-def test_configuration_program_beats_first_fit():
+def best_fit_one_by_one(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("mean, spread, n", [(6.6, 0.9, 3000), (7.0, 0.3, 2000), (7.0, 0.4, 3000), (6.5, 0.06, 3000), (3.0, 0.1, 500)])
+def test_plan_holds_every_length_and_never_loses_to_best_fit(mean, spread, n):
     rng = np.random.default_rng(0)
-    lengths = np.minimum(2048, np.exp(rng.normal(6.6, 0.9, 200_000)).astype(int) + 1)
+    lengths = np.minimum(2048, np.exp(rng.normal(mean, spread, n)).astype(int) + 1)
+    histogram = {int(n): int(k) for n, k in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plan, held = packing.plan_packing(histogram, 2048), {}
+    for config, times in plan:
+        assert sum(a * k for a, k in config.items()) <= 2048
+        for a, k in config.items():
+            held[a] = held.get(a, 0) + k * times
+    assert held == histogram
+    plain = best_fit_one_by_one(lengths.tolist(), 2048)
+    assert sum(t for _, t in packing.best_fit(histogram, 2048)) == plain
+    assert -(-int(lengths.sum()) // 2048) <= sum(t for _, t in plan) <= plain
+
+
+def test_configuration_program_beats_best_fit():
+    lengths = np.random.default_rng(0).integers(600, 760, 100_000)
     histogram = {int(n): int(k) for n, k in zip(*np.unique(lengths, return_counts=True), strict=True)}
-    solved, filled = (sum(t for _, t in packing.plan_packing(histogram, 2048, rounds=r)) for r in (400, 0))
-    assert -(-int(lengths.sum()) // 2048) <= solved < filled
+    assert sum(t for _, t in packing.plan_packing(histogram, 2048)) < 0.95 * sum(t for _, t in packing.best_fit(histogram, 2048))
