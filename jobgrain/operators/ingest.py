@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.functions.text import cleaned, job_hash, normalize_company, word_set
+from jobgrain.functions.text import cleaned, job_hash, normalize_company, strip, word_set
 from jobgrain.operators.filters import Keywords, quality_filter
 
 
@@ -19,7 +19,7 @@ def dedup_in_batch(df: DataFrame, passes: str = "passes") -> DataFrame:
 
     One partial minimum a key and a join, rather than a window, so a key that very many rows share still combines early.
     """
-    key = df.withColumns({"dedup_title": F.lower(F.trim(F.coalesce("title", F.lit("")))), "dedup_company": normalize_company(F.col("company"))})
+    key = df.withColumns({"dedup_title": F.lower(strip(F.coalesce("title", F.lit("")))), "dedup_company": normalize_company(F.col("company"))})
     first = key.where(F.col(passes)).groupBy("dedup_title", "dedup_company").agg(F.min("seq").alias("first_pass"))
     out = key.join(first, ["dedup_title", "dedup_company"], "left")
     return out.withColumn("dup_cross", F.coalesce(F.col("seq") > F.col("first_pass"), F.lit(False))).drop("dedup_title", "dedup_company", "first_pass")
@@ -50,7 +50,7 @@ def _rare_first(df: DataFrame, column: str, frequency: DataFrame) -> DataFrame:
 
 
 def match_existing_fuzzy(new: DataFrame, existing: DataFrame, basis_points: int = 8500, window_days: int | None = 90, as_of=None) -> DataFrame:
-    """Pairs of new and existing rows whose titles and normalised companies both match (see fuzzy_match): new_key,
+    """Pairs of new and existing rows whose lower-cased titles and normalised companies both match (see fuzzy_match): new_key,
     existing_key, existing_source, similarity (of titles, as a fraction; 1.0 for equal cleaned titles). Both sides need job_id, title, company, source.
 
     An exact prefix-filter join: two word sets that are as similar as asked share a word of their prefixes in one global
@@ -59,7 +59,7 @@ def match_existing_fuzzy(new: DataFrame, existing: DataFrame, basis_points: int
     """
 
     def prepared(df: DataFrame) -> DataFrame:
-        t, c = cleaned(F.col("title")), cleaned(normalize_company(F.col("company")))
+        t, c = cleaned(F.lower("title")), cleaned(normalize_company(F.col("company")))
         return df.select(F.col("job_id").alias("key"), "source", t.alias("t"), c.alias("c"))
 
     def classes(df: DataFrame) -> DataFrame:
@@ -97,7 +97,8 @@ def best_match(pairs: DataFrame) -> DataFrame:
 
 
 def classify_ingest(batch: DataFrame, existing: DataFrame, kw: Keywords, basis_points: int = 8500, window_days: int | None = 90, as_of=None) -> DataFrame:
-    """Adds outcome to each row of a batch (seq, job_id, title, company, url, description, source): what happens to it first.
+    """Adds to each row of a batch (seq, job_id, title, company, url, description, source) its outcome, what happens to it
+    first, and matched_hash, the job_id_hash of the stored row that it repeats, if any.
 
     dup_cross: an earlier row of the batch with its title and company was taken; dup_store: the store has its url or a
     fuzzy match; low_quality: its description is not good enough; dup_hash: the store has its hash; new: none of these.
@@ -108,11 +109,12 @@ def classify_ingest(batch: DataFrame, existing: DataFrame, kw: Keywords, basis_p
     stored = existing.withColumn("job_id_hash", job_hash(F.col("title"), F.col("company"), F.col("url")))
     seen = _look_back(stored, window_days, as_of)
     mark = lambda df, name: df.withColumn(name, F.lit(True))
-    rows = rows.join(mark(seen.select("url").where("url IS NOT NULL").distinct(), "by_url"), "url", "left")
-    fuzzy = match_existing_fuzzy(batch, existing, basis_points, window_days, as_of).select(F.col("new_key").alias("job_id")).distinct()
-    rows = rows.join(mark(fuzzy, "by_fuzzy"), "job_id", "left").join(mark(stored.select("job_id_hash").distinct(), "by_hash"), "job_id_hash", "left")
-    no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    rows = rows.withColumns({"dup_store": no("by_url") | no("by_fuzzy"), "dup_hash": no("by_hash")}).drop("by_url", "by_fuzzy", "by_hash")
+    rows = rows.join(seen.where("url IS NOT NULL").groupBy("url").agg(F.min("job_id_hash").alias("by_url")), "url", "left")
+    fuzzy = best_match(match_existing_fuzzy(batch, existing, basis_points, window_days, as_of)).select(F.col("new_key").alias("job_id"), "existing_key")
+    fuzzy = fuzzy.join(stored.groupBy(F.col("job_id").alias("existing_key")).agg(F.min("job_id_hash").alias("by_fuzzy")), "existing_key").drop("existing_key")
+    rows = rows.join(fuzzy, "job_id", "left").join(mark(stored.select("job_id_hash").distinct(), "by_hash"), "job_id_hash", "left")
+    same = F.when(F.col("by_hash"), F.col("job_id_hash"))
+    rows = rows.withColumns({"dup_store": F.coalesce("by_url", "by_fuzzy").isNotNull(), "dup_hash": same.isNotNull(), "matched_hash": F.coalesce("by_url", "by_fuzzy", same)}).drop("by_url", "by_fuzzy", "by_hash")
     rows = dedup_in_batch(rows.withColumn("passes", ~F.col("dup_store") & F.col("tier3_pass") & ~F.col("dup_hash"))).drop("passes")
     outcome = F.when(F.col("dup_cross"), "dup_cross").when(F.col("dup_store"), "dup_store").when(~F.col("tier3_pass"), "low_quality").when(F.col("dup_hash"), "dup_hash").otherwise("new")
     return rows.withColumn("outcome", outcome)

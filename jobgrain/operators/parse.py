@@ -37,7 +37,7 @@ STARTUP = ("startup", "early[ -]stage", "series [a-c]", "seed funded")
 SCALEUP = ("scale[ -]up", "series [d-f]", "growth stage")
 ENTERPRISE = ("enterprise", "fortune 500", "multinational", "global leader", "established")
 TEAM = rf"([0-9]+)[ \t\n\r\x0B\f-]?(person|member|engineer)s?{SPACE}+(team|ml|ai|data)"
-SENIOR_ROLE = rf"(?<!{LETTER})(senior|lead|principal|staff|head of){SPACE}+(developer|engineer|analyst|architect|programmer|consultant|designer)"
+SENIOR_ROLE = rf"(?=[slph])(?<!{LETTER})(senior|lead|principal|staff|head of){SPACE}+(developer|engineer|analyst|architect|programmer|consultant|designer)"
 REQUIRED_CUES = "required|must have|essential|mandatory|necessary"
 PREFERRED_CUES = "preferred|nice to have|bonus|desirable|plus"
 
@@ -71,7 +71,13 @@ def spaced(phrase: str) -> str:
 
 def any_of(phrases) -> str:
     """Whole words or phrases, the earlier ones tried first."""
-    return rf"(?<!{LETTER})(?:{'|'.join(map(spaced, phrases))})(?!{LETTER})"
+    return rf"{begins(p[0] for p in phrases)}(?:{'|'.join(map(spaced, phrases))})(?!{LETTER})"
+
+
+def begins(letters) -> str:
+    """The beginning of a word with one of some characters, which are looked at before what stands before them: that is
+    cheaper at most places of a text."""
+    return rf"(?=[{''.join(sorted(set(map(re.escape, letters))))}])(?<!{LETTER})"
 
 
 def literal(word: str) -> str:
@@ -80,12 +86,19 @@ def literal(word: str) -> str:
 
 def holds(text: Column, *words: str) -> Column:
     """A plain search for any of some substrings: much cheaper than a pattern, so it stands before each of them."""
-    out = text.contains(words[0])
-    for w in words[1:]:
-        out = out | text.contains(w)
+    out = F.lit(False)
+    for i, w in enumerate(words):
+        out = out | text.contains(w) if i else text.contains(w)
     return out
 
 
+def names(text: Column, words: tuple[str, ...], then: str = "") -> Column:
+    """Whether any of some literal words stands alone in a text; false for no words at all."""
+    if not words:
+        return F.lit(False)
+    return holds(text, *words) & text.rlike(rf"{begins(w[0] for w in words)}(?:{'|'.join(map(literal, words))})(?!{LETTER}){then}")
+
+
 def hint(text: Column, phrases) -> Column:
     """Whether the first letters of any phrase occur at all."""
     return holds(text, *dict.fromkeys(re.match("[a-z0-9%/]+", p)[0] for p in phrases))
@@ -117,54 +130,92 @@ def _listed(*columns: Column) -> Column:
     return F.filter(F.array(*columns), lambda x: x.isNotNull())
 
 
-def dealbreakers(low: Column, title: Column, cfg: ParserConfig) -> Column:
+def _first_word(phrase: str) -> str:
+    return phrase.split("[ -]")[0].split(" ")[0]
+
+
+#: Where a phrase of any list, a senior role or a number of years can begin, with the five words from there on.
+_LISTS = (GRADUATE, ENTRY, MASTERS, *DOMAINS.values(), REMOTE, ONSITE, SPONSOR, MENTOR, GROWTH, STARTUP, SCALEUP, ENTERPRISE, ("senior", "lead", "principal", "staff", "head", "hybrid"))
+_STARTS = tuple(sorted({_first_word(p) for phrases in _LISTS for p in phrases}))
+SPOT = rf"{begins([*(w[0] for w in _STARTS), *'jge0123456789'])}(?=((?:(?:{'|'.join(_STARTS)})(?!{LETTER})|junior|graduate|entry|[0-9])[^ \t\n\r\x0B\f]{{0,40}}(?:{SPACE}+[^ \t\n\r\x0B\f]{{1,40}}){{0,4}}))"
+
+
+def spots(low: Column) -> Column:
+    """The places of a text where anything listed can begin, each with the words after it, and marks between them. All lists
+    of phrases find the same in it, in the same order, as in the whole text, which is so read once for all of them."""
+    return F.array_join(F.regexp_extract_all(low, F.lit(SPOT), F.lit(1)), " | ")
+
+
+def _inline(name: str, column: Column) -> Column:
+    return column
+
+
+class Steps:
+    """Columns that are computed first and once, each under a name, for signals that use them in several places."""
+
+    def __init__(self):
+        self.columns: dict[str, Column] = {}
+
+    def __call__(self, name: str, column: Column) -> Column:
+        self.columns[f"parse_{name}"] = column
+        return F.col(f"parse_{name}")
+
+
+def dealbreakers(low: Column, title: Column, cfg: ParserConfig, step=_inline, near: Column | None = None) -> Column:
     """Reasons to rule a posting out, in order. A senior word counts in a title unless junior or graduate follows it, and
-    only if the description speaks of no junior, graduate or entry role."""
-    words = "|".join(map(literal, cfg.exclude_seniority))
-    in_title = title.rlike(rf"(?<!{LETTER})(?:{words})(?!{LETTER})(?!(?d:.*)(?<!{LETTER})(?:junior|graduate)(?!{LETTER}))")
-    open_to_juniors = holds(low, "junior", "graduate", "entry") & low.rlike(rf"(?<!{LETTER})(junior|graduate|entry)")
+    only if the description speaks of no junior, graduate or entry role. near: the spots() of the text, if at hand."""
+    near = low if near is None else near
+    in_title = step("in_title", names(title, cfg.exclude_seniority, rf"(?!(?d:.*)(?<!{LETTER})(?:junior|graduate)(?!{LETTER}))"))
+    in_text = step("in_text", holds(near, "senior", "lead", "principal", "staff", "head of") & near.rlike(SENIOR_ROLE))
+    open_to_juniors = step("open_to_juniors", holds(near, "junior", "graduate", "entry") & near.rlike(rf"{begins('jge')}(junior|graduate|entry)"))
     least = cfg.max_experience + 1
-    years = rf"(?<!{LETTER})([0-9]{{1,2}})\+?{SPACE}*years?{SPACE}*(?:of)?{SPACE}*(?:professional{SPACE}+)?experience(?!{LETTER})"
-    told = F.filter(every(low, years, 1, holds(low, "experience")), lambda y: (y.cast("int") >= least) & (y.cast("int") <= 19) & ~((F.length(y) == 2) & y.startswith("0")))
+    years = rf"{begins('0123456789')}([0-9]{{1,2}})\+?{SPACE}*years?{SPACE}*(?:of)?{SPACE}*(?:professional{SPACE}+)?experience(?!{LETTER})"
+    asked = step("years", every(near, years, 1, holds(near, "experience")))
+    told = step("told", F.get(F.filter(asked, lambda y: (y.cast("int") >= least) & (y.cast("int") <= 19) & ~((F.length(y) == 2) & y.startswith("0"))), F.lit(0)))
     return _listed(
-        F.when(holds(low, *cfg.exclude_visa) & low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_visa))})(?!{LETTER})"), F.lit("Requires Australian PR/Citizenship/Security Clearance")),
-        F.when((in_title | (holds(low, "senior", "lead", "principal", "staff", "head of") & low.rlike(SENIOR_ROLE))) & ~open_to_juniors, F.when(in_title, F.lit("Senior/Lead level position (in title)")).otherwise(F.lit("Senior/Lead level position (in description)"))),
-        F.when(F.size(told) > 0, F.concat(F.lit("Requires "), F.get(told, F.lit(0)), F.lit("+ years of experience"))),
-        F.when(holds(low, *cfg.exclude_education) & low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_education))})(?!{LETTER})"), F.lit("PhD required")))
+        F.when(step("visa", names(low, cfg.exclude_visa)), F.lit("Requires Australian PR/Citizenship/Security Clearance")),
+        F.when((in_title | in_text) & ~open_to_juniors, F.when(in_title, F.lit("Senior/Lead level position (in title)")).otherwise(F.lit("Senior/Lead level position (in description)"))),
+        F.when(told.isNotNull(), F.concat(F.lit("Requires "), told, F.lit("+ years of experience"))),
+        F.when(step("education", names(low, cfg.exclude_education)), F.lit("PhD required")))
 
 
-def graduate_signals(low: Column, title: Column) -> Column:
-    years = rf"(?<!{LETTER})([0-2]|1-2|0-1){SPACE}*years?{SPACE}*(?:of)?{SPACE}*experience(?!{LETTER})"
-    asked = F.when(holds(low, "experience"), found(low, years, 1))
+def graduate_signals(low: Column, title: Column, step=_inline) -> Column:
+    """low: the text, or its spots()."""
+    years = rf"{begins('012')}([0-2]|1-2|0-1){SPACE}*years?{SPACE}*(?:of)?{SPACE}*experience(?!{LETTER})"
+    said = step("few_years", F.when(holds(low, "experience"), found(low, years)))
+    asked = step("asked", F.when(said.isNotNull(), found(said, years, 1)))
     upper = F.element_at(F.split(asked, "-"), -1).cast("int")
-    graduate, entry = has(low, GRADUATE) | has(title, GRADUATE), has(low, ENTRY) | has(title, ENTRY)
+    graduate_word, entry_word = step("graduate_word", F.when(hint(low, GRADUATE), found(low, any_of(GRADUATE)))), step("entry_word", F.when(hint(low, ENTRY), found(low, any_of(ENTRY))))
+    graduate, entry = step("graduate", graduate_word.isNotNull() | has(title, GRADUATE)), step("entry", entry_word.isNotNull() | has(title, ENTRY))
     level = F.when(graduate, "Graduate").when(entry, "Junior/Entry-level").when(upper <= 1, "Entry-level").otherwise("Unknown")
     return F.struct(
-        graduate.alias("explicit_graduate"), entry.alias("entry_level"), upper.alias("years_required"), has(low, MASTERS).alias("masters_mentioned"), level.alias("seniority_level"),
-        (graduate | entry | F.coalesce(upper <= 1, F.lit(False))).alias("accepts_fresh_grads"),
-        F.slice(_listed(F.when(graduate, found(low, any_of(GRADUATE))), F.when(entry, found(low, any_of(ENTRY))), F.when(holds(low, "experience"), found(low, years))), 1, 5).alias("keywords"))
+        graduate.alias("explicit_graduate"), entry.alias("entry_level"), upper.alias("years_required"), step("masters", has(low, MASTERS)).alias("masters_mentioned"), level.alias("seniority_level"),
+        (graduate | entry | F.coalesce(upper <= 1, F.lit(False))).alias("accepts_fresh_grads"), F.slice(_listed(graduate_word, entry_word, said), 1, 5).alias("keywords"))
 
 
-def domains(low: Column) -> Column:
-    present = {name: has(low, phrases) for name, phrases in DOMAINS.items()}
-    keywords = F.array_distinct(F.concat(*(every(low, any_of(DOMAINS[n]), 0, hint(low, DOMAINS[n])) for n in KEYWORD_ORDER)))
-    listed = _listed(*(F.when(p, F.lit(n)) for n, p in present.items()))
+def domains(low: Column, step=_inline) -> Column:
+    """Domains in their order, and their keywords; a domain is present where any of its keywords is. low: the text, or its spots()."""
+    words = {n: step(f"domain_{i}", every(low, any_of(phrases), 0, hint(low, phrases))) for i, (n, phrases) in enumerate(DOMAINS.items())}
+    keywords = F.array_distinct(F.concat(*(words[n] for n in KEYWORD_ORDER)))
+    listed = step("domains", _listed(*(F.when(F.size(w) > 0, F.lit(n)) for n, w in words.items())))
     return F.struct(F.coalesce(F.get(listed, F.lit(0)), F.lit("Unknown")).alias("primary_domain"), (F.size(listed) > 0).alias("is_ai_ml_role"), listed.alias("domains_present"), F.slice(keywords, 1, 10).alias("domain_keywords"))
 
 
-def tech_stack(low: Column, cfg: ParserConfig, required_universe: tuple[str, ...] | None = None) -> Column:
+def tech_stack(low: Column, cfg: ParserConfig, required_universe: tuple[str, ...] | None = None, step=_inline) -> Column:
     """Skills that the text mentions; required if a cue of need stands within 50 characters on the line, or no cue at all.
     With required_universe, skills outside the profile count as missing."""
     universe = tuple(dict.fromkeys(cfg.skills if required_universe is None else (*cfg.skills, *required_universe)))
     states = []
-    for skill in universe:
-        word = rf"(?<!{LETTER}){literal(skill)}(?!{LETTER})"
-        near = every(around(low, skill), rf"(?d).{{0,50}}{word}.{{0,50}}", 0, holds(low, skill))
+    for i, skill in enumerate(universe):
+        word = rf"{begins(skill[0])}{literal(skill)}(?!{LETTER})"
+        cut = step(f"around_{i}", F.when(holds(low, skill), around(low, skill)).otherwise(""))
+        there = step(f"skill_{i}", cut.rlike(word))
+        near = step(f"near_{i}", every(cut, rf"(?d).{{0,50}}{word}.{{0,50}}", 0, there))
         needs, likes = F.exists(near, lambda x: x.rlike(REQUIRED_CUES)), F.exists(near, lambda x: x.rlike(PREFERRED_CUES))
-        states.append(F.when(holds(low, skill) & low.rlike(word), F.struct(F.lit(skill).alias("skill"), (needs | ~likes).alias("required"))))
-    all_ = _listed(*states) if states else F.array().cast("array<struct<skill:string,required:boolean>>")
-    names = lambda cond: F.sort_array(F.transform(F.filter(all_, cond), lambda x: x["skill"]))
-    required, preferred = names(lambda x: x["required"]), names(lambda x: ~x["required"])
+        states.append(F.when(there, F.struct(F.lit(skill).alias("skill"), (needs | ~likes).alias("required"))))
+    all_ = step("skills", _listed(*states) if states else F.array().cast("array<struct<skill:string,required:boolean>>"))
+    skills = lambda name, cond: step(name, F.sort_array(F.transform(F.filter(all_, cond), lambda x: x["skill"])))
+    required, preferred = skills("required", lambda x: x["required"]), skills("preferred", lambda x: ~x["required"])
     own = F.array(*map(F.lit, cfg.skills)) if cfg.skills else F.array().cast("array<string>")
     strong = F.array(*map(F.lit, cfg.strong)) if cfg.strong else F.array().cast("array<string>")
     matched = F.array_intersect(required, own)
@@ -173,37 +224,50 @@ def tech_stack(low: Column, cfg: ParserConfig, required_universe: tuple[str, ...
                     F.array_intersect(F.array_intersect(F.sort_array(F.transform(all_, lambda x: x["skill"])), own), strong).alias("strong_present"))
 
 
-def location_visa(low: Column, location: Column, cfg: ParserConfig) -> Column:
-    text = F.concat(low, F.lit(" "), F.lower(F.coalesce(location, F.lit(""))))
-    cities = _listed(*(F.when(holds(text, c.lower()) & text.rlike(rf"(?<!{LETTER}){literal(c.lower())}(?!{LETTER})"), F.struct(F.lit(c.title()).alias("city"), F.lit(100 - 10 * i).alias("score"))) for i, c in enumerate(cfg.cities)))
-    remote, office = has(low, REMOTE), F.when(holds(low, "day"), found(low, OFFICE_DAYS, 1))
-    hybrid = holds(low, "hybrid", "day") & low.rlike(rf"(?<!{LETTER})(?:hybrid|{OFFICE_DAYS})(?!{LETTER})")
-    kind = F.when(remote, "Fully Remote").when(hybrid, "Hybrid").when(has(low, ONSITE), "Onsite").otherwise("Unknown")
-    best = F.when(F.size(cities) > 0, F.array_max(F.transform(cities, lambda x: x["score"]))).when(remote & text.contains("australia"), 80).when(remote, 60).otherwise(0)
-    pr = holds(low, *cfg.exclude_visa) & low.rlike(rf"(?<!{LETTER})(?:{'|'.join(map(literal, cfg.exclude_visa))})(?!{LETTER})")
-    sponsor = has(low, SPONSOR)
-    return F.struct(F.transform(cities, lambda x: x["city"]).alias("cities"), F.get(F.transform(cities, lambda x: x["city"]), F.lit(0)).alias("primary_city"), kind.alias("remote_type"), F.when(~remote & hybrid, office.try_cast("int")).alias("remote_days"),
+def location_visa(low: Column, location: Column, cfg: ParserConfig, step=_inline, near: Column | None = None) -> Column:
+    near = low if near is None else near
+    place = F.lower(F.coalesce(location, F.lit("")))
+    in_either = lambda c: names(low, (c,)) | names(place, (c,))  # noqa: E731  (a space stands between the two)
+    hits = [step(f"city_{i}", in_either(c.lower())) for i, c in enumerate(cfg.cities)]
+    none = F.array().cast("array<struct<city:string,score:int>>")
+    cities = step("cities", _listed(*(F.when(hit, F.struct(F.lit(c.title()).alias("city"), F.lit(100 - 10 * i).alias("score"))) for i, (c, hit) in enumerate(zip(cfg.cities, hits, strict=True)))) if hits else none)
+    days = step("office_days", F.when(holds(low, "day"), found(low, OFFICE_DAYS)))
+    remote = step("remote", has(near, REMOTE))
+    hybrid = step("hybrid", holds(near, "hybrid", "day") & near.rlike(rf"{begins('h0123456789')}(?:hybrid|{OFFICE_DAYS})(?!{LETTER})"))
+    kind = F.when(remote, "Fully Remote").when(hybrid, "Hybrid").when(has(near, ONSITE), "Onsite").otherwise("Unknown")
+    best = F.when(F.size(cities) > 0, F.array_max(F.transform(cities, lambda x: x["score"]))).when(remote & (low.contains("australia") | place.contains("australia")), 80).when(remote, 60).otherwise(0)
+    pr, sponsor = step("visa", names(low, cfg.exclude_visa)), step("sponsor", has(near, SPONSOR))
+    return F.struct(F.transform(cities, lambda x: x["city"]).alias("cities"), F.get(F.transform(cities, lambda x: x["city"]), F.lit(0)).alias("primary_city"), kind.alias("remote_type"), F.when(~remote & hybrid, F.regexp_extract(days, OFFICE_DAYS, 1).try_cast("int")).alias("remote_days"),
                     best.cast("int").alias("preference"), pr.alias("requires_pr"), sponsor.alias("sponsorship"), (~pr | sponsor).alias("acceptable"), (pr & ~sponsor).alias("blocker"))
 
 
-def company_signals(low: Column) -> Column:
-    mentor, growth = has(low, MENTOR), has(low, GROWTH)
-    team = F.when(holds(low, "person", "member", "engineer") & low.rlike(TEAM), F.concat(F.regexp_extract(low, TEAM, 1), F.lit("-person "), F.regexp_extract(low, TEAM, 3), F.lit(" team")))
-    stage = F.when(has(low, STARTUP), "Startup").when(has(low, SCALEUP), "Scale-up").when(has(low, ENTERPRISE), "Enterprise").otherwise("Unknown")
+def company_signals(low: Column, step=_inline, near: Column | None = None) -> Column:
+    near = low if near is None else near
+    mentor, growth = step("mentor", has(near, MENTOR)), step("growth", has(near, GROWTH))
+    said = step("team", F.when(holds(low, "person", "member", "engineer"), found(low, TEAM)))
+    team = F.when(said.isNotNull(), F.concat(F.regexp_extract(said, TEAM, 1), F.lit("-person "), F.regexp_extract(said, TEAM, 3), F.lit(" team")))
+    stage = F.when(has(near, STARTUP), "Startup").when(has(near, SCALEUP), "Scale-up").when(has(near, ENTERPRISE), "Enterprise").otherwise("Unknown")
     return F.struct(mentor.alias("mentorship"), growth.alias("growth"), (mentor | growth).alias("learning"), team.alias("team_size"), stage.alias("stage"))
 
 
 def parse_postings(df: DataFrame, cfg: ParserConfig, description: str = "description", title: str = "title", location: str = "location") -> DataFrame:
     """Adds reasons, graduate, domain, tech, place, company_signals, suitable, confidence, description_length and has_description.
 
-    The text is lower-cased once. An empty or null description is ruled out with one fixed reason and confidence 0.
+    The text is lower-cased once, each list of phrases is looked for once, and the signals are put together from what was
+    found. An empty or null description is ruled out with one fixed reason and confidence 0.
     """
     raw = F.coalesce(F.col(description), F.lit(""))
-    t = df.withColumns({"parse_low": F.lower(raw), "parse_title": F.lower(F.coalesce(F.col(title), F.lit("")))})
-    low, head = F.col("parse_low"), F.col("parse_title")
+    t = df.withColumns({"parse_low": F.lower(raw), "parse_head": F.lower(F.coalesce(F.col(title), F.lit("")))})
+    t = t.withColumn("parse_spots", spots(F.col("parse_low")))
+    low, head, near = F.col("parse_low"), F.col("parse_head"), F.col("parse_spots")
     empty = raw == ""
-    t = t.withColumns({"reasons": F.when(empty, F.array(F.lit("No description provided"))).otherwise(dealbreakers(low, head, cfg)), "graduate": graduate_signals(low, head), "domain": domains(low), "tech": tech_stack(low, cfg), "place": location_visa(low, F.col(location), cfg), "company_signals": company_signals(low)})
+    step = Steps()
+    signals = {"reasons": dealbreakers(low, head, cfg, step, near), "graduate": graduate_signals(near, head, step), "domain": domains(near, step), "tech": tech_stack(low, cfg, step=step), "place": location_visa(low, F.col(location), cfg, step, near), "company_signals": company_signals(low, step, near)}
+    signals["reasons"] = F.when(empty, F.array(F.lit("No description provided"))).otherwise(signals["reasons"])
+    for name, column in step.columns.items():  # in order, as later ones read earlier ones; Spark merges what it can
+        t = t.withColumn(name, column)
+    t = t.withColumns(signals).drop(*step.columns)
     ok = (F.size("reasons") == 0) & (F.col("graduate.accepts_fresh_grads") | F.coalesce(F.col("graduate.years_required") <= 2, F.lit(False)))
     add = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
     sure = F.lit(0.5) + add(F.size("reasons") > 0, 0.2) + add(F.col("graduate.years_required").isNotNull(), 0.15) + add(F.col("graduate.explicit_graduate"), 0.2) + add(F.col("domain.is_ai_ml_role"), 0.1) + add(F.size("tech.required") > 0, 0.15) + add(F.col("place.primary_city").isNotNull(), 0.1)
-    return t.withColumns({"suitable": ok & ~empty, "confidence": F.when(empty, 0.0).otherwise(F.round(F.least(F.lit(1.0), sure), 4)), "description_length": F.length(raw), "has_description": F.length(strip(raw)) > 100}).drop("parse_low", "parse_title")
+    return t.withColumns({"suitable": ok & ~empty, "confidence": F.when(empty, 0.0).otherwise(F.round(F.least(F.lit(1.0), sure), 4)), "description_length": F.length(raw), "has_description": F.length(strip(raw)) > 100}).drop("parse_low", "parse_head", "parse_spots")

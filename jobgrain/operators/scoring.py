@@ -99,6 +99,16 @@ def parse_json_list(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).otherwise(F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>")))
 
 
+def parse_score_json(df: DataFrame) -> DataFrame:
+    """Every JSON column of a score that df has, read: matched, not_matched and key_points as arrays of strings, components
+    as an array of components, score_breakdown, risk_profile and hireability_factors as maps of strings. Malformed text gives
+    an empty array or map, null and '' a null."""
+    kinds = {c: "array<string>" for c in ("matched", "not_matched", "key_points")} | {"components": COMPONENTS} | {c: "map<string,string>" for c in ("score_breakdown", "risk_profile", "hireability_factors")}
+    empty = lambda kind: (F.array() if kind.startswith("array") else F.create_map()).cast(kind)
+    read = lambda c, kind: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.coalesce(F.from_json(c, kind), empty(kind)))
+    return df.withColumns({c: read(c, kind) for c, kind in kinds.items() if c in df.columns})
+
+
 Scorer = tuple[str, Callable[[pd.DataFrame], pd.Series]]
 
 

@@ -48,12 +48,23 @@ SETTABLE = ("applied", "applied_date", "rejected", "rejected_date", "status", "r
 
 
 def apply_updates(store: DataFrame, updates: DataFrame) -> DataFrame:
-    """Sets, for each job, what its latest update (by updated_at, then update_id) gives; nulls leave a column as it is."""
+    """Updates applied one after the other (by updated_at, then update_id): each column of a job takes the last value that
+    any of its updates gives; nulls leave a column as it is. See rejection_rows for what a reject adds beside it."""
     columns = [c for c in SETTABLE if c in updates.columns and c in store.columns]
-    latest = updates.groupBy("job_id").agg(F.max_by(F.struct(*columns), F.struct("updated_at", "update_id")).alias("u"))
+    if not columns:
+        return store
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("updated_at", "update_id")))
+    latest = updates.groupBy("job_id").agg(F.struct(*(last(c).alias(c) for c in columns)).alias("u"))
     return store.join(latest, "job_id", "left").withColumns({c: F.coalesce(F.col(f"u.{c}"), F.col(c)) for c in columns}).select(*store.columns)
 
 
+def rejection_rows(updates: DataFrame, store: DataFrame) -> DataFrame:
+    """job_id, rejection_category, rejection_notes, rejected_at: one row for each update that rejects a stored job."""
+    given = lambda c, default: F.coalesce(c, F.lit(default)) if c in updates.columns else F.lit(default)
+    said = updates.where("rejected").select("job_id", given("rejection_category", "other").alias("rejection_category"), given("rejection_notes", "").alias("rejection_notes"), F.col("updated_at").alias("rejected_at"))
+    return said.join(store.select("job_id"), "job_id", "left_semi")
+
+
 def fold_notes(jobs: DataFrame, log: DataFrame) -> DataFrame:
     """job_id, notes: existing notes, then each logged note as '[date] text' on a line of its own, in time order."""
     line = F.struct("ts", "note_id", F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd"), F.lit("] "), F.coalesce("note", F.lit(""))).alias("line"))

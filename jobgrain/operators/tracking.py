@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Stages of an application, in order.
 STAGES = ("applied", "interview_scheduled", "offer_received", "accepted")
+#: Stages between which time is measured, and the statuses that reach each.
+TIMED = {"applied": ("applied",), "responded": ("responded",), "interview_scheduled": ("interview_scheduled",), "offer_received": ("offer_received",), "decision": ("accepted", "declined_offer", "rejected")}
 
 
 def status_log(events: DataFrame) -> DataFrame:
@@ -16,22 +18,26 @@ def status_log(events: DataFrame) -> DataFrame:
 
 def fold_status(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """Jobs after their events: status is the last one; the first 'applied' applies a job that was not; an offer's, decision's and
-    rejection's dates are those of their last event. Aggregates rather than windows, so that each map side combines."""
+    rejection's dates are those of their last event, else those that the job has. Aggregates rather than windows, so that each
+    map side combines."""
     on = lambda *names: F.max(F.when(F.col("new_status").isin(*names), F.to_date("changed_at")))
     last = events.groupBy("job_id").agg(
         F.max_by("new_status", F.struct("changed_at", "id")).alias("last_status"), F.min(F.when(F.col("new_status") == "applied", F.to_date("changed_at"))).alias("first_applied"),
-        on("offer_received").alias("offer_date"), on("accepted", "declined_offer", "rejected").alias("decision_date"), on("rejected").alias("last_rejected"))
+        on("offer_received").alias("last_offer"), on("accepted", "declined_offer", "rejected").alias("last_decision"), on("rejected").alias("last_rejected"))
     out = jobs.join(last, "job_id", "left")
+    stored = lambda c: F.col(c) if c in jobs.columns else F.lit(None).cast("date")
     applies = F.col("first_applied").isNotNull() & ~F.col("applied")
     return out.withColumns({
         "status": F.coalesce("last_status", "status"), "applied_date": F.when(applies, F.col("first_applied")).otherwise(F.col("applied_date")), "applied": F.col("applied") | F.col("first_applied").isNotNull(),
-        "rejected_date": F.coalesce("last_rejected", "rejected_date"), "rejected": F.col("rejected") | F.col("last_rejected").isNotNull()}).drop("last_status", "first_applied", "last_rejected")
+        "rejected_date": F.coalesce("last_rejected", "rejected_date"), "rejected": F.col("rejected") | F.col("last_rejected").isNotNull(),
+        "offer_date": F.coalesce("last_offer", stored("offer_date")), "decision_date": F.coalesce("last_decision", stored("decision_date"))}).drop("last_status", "first_applied", "last_rejected", "last_offer", "last_decision")
 
 
 def latest_interview(jobs: DataFrame, interviews: DataFrame) -> DataFrame:
-    """Jobs with the date and type of the interview that was added last."""
+    """Jobs with interview_date and interview_type of the interview that was added last; a job without one keeps its own."""
     last = interviews.groupBy("job_id").agg(F.max_by(F.struct("interview_date", "interview_type"), F.struct("created_at", "id")).alias("i"))
-    return jobs.join(last, "job_id", "left").select(*(F.col(c) for c in jobs.columns), "i.interview_date", "i.interview_type")
+    of = lambda c: F.coalesce(F.col(f"i.{c}"), F.col(c)) if c in jobs.columns else F.col(f"i.{c}")
+    return jobs.join(last, "job_id", "left").withColumns({c: of(c) for c in ("interview_date", "interview_type")}).drop("i")
 
 
 def latest_profile_hash(log: DataFrame) -> DataFrame:
@@ -71,11 +77,13 @@ def top_components(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 def stage_durations(events: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row: mean days from discovery to applied and from each stage to the next, over jobs that reached both."""
-    firsts = events.groupBy("job_id").agg(*(F.min(F.when(F.col("new_status") == s, F.to_date("changed_at"))).alias(s) for s in STAGES))
+    """One row: mean days from discovery to applied and from each stage to the next, over jobs that reached both, and from
+    discovery to the decision."""
+    firsts = events.groupBy("job_id").agg(*(F.min(F.when(F.col("new_status").isin(*names), F.to_date("changed_at"))).alias(s) for s, names in TIMED.items()))
     t = jobs.select("job_id", "first_seen_date").join(firsts, "job_id")
-    steps = list(zip(("first_seen_date", *STAGES), STAGES, strict=False))
-    return t.agg(*(F.round(F.avg(F.datediff(b, a)), 6).alias(f"days_to_{b}") for a, b in steps))
+    steps = list(zip(("first_seen_date", *TIMED), TIMED, strict=False))
+    mean = lambda a, b: F.round(F.avg(F.datediff(b, a)), 6)
+    return t.agg(*(mean(a, b).alias(f"days_to_{b}") for a, b in steps), mean("first_seen_date", "decision").alias("days_in_all"))
 
 
 def application_funnel(jobs: DataFrame, events: DataFrame) -> DataFrame:

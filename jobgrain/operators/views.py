@@ -17,6 +17,17 @@ def by_score(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("score").desc_nulls_last(), F.col("first_seen_date").desc_nulls_last(), "job_id")
 
 
+def newest_first(df: DataFrame, *columns: str) -> DataFrame:
+    """Ordered by dates, the latest first, then by job_id: ('applied_date', 'first_seen_date') for applied jobs,
+    ('rejected_date', 'first_seen_date') for rejected ones, ('first_seen_date',) for unscored ones."""
+    return df.orderBy(*(F.col(c).desc_nulls_last() for c in columns), "job_id")
+
+
+def soonest_first(interviews: DataFrame) -> DataFrame:
+    """Upcoming interviews in the order in which they come."""
+    return interviews.orderBy(F.col("interview_date").asc_nulls_last(), "job_id")
+
+
 def latest_scores(scores: DataFrame) -> DataFrame:
     """One score a job, the last one scored."""
     rest = [c for c in scores.columns if c != "job_id"]
@@ -47,17 +58,18 @@ def all_jobs(jobs: DataFrame, scores: DataFrame, include_inactive: bool = False)
     return (jobs if include_inactive else jobs.where("is_active")).join(scores, "job_id")
 
 
-def applied_jobs(jobs: DataFrame, scores: DataFrame) -> DataFrame:
-    return jobs.where("applied AND NOT rejected").join(scores, "job_id", "left")
+def applied_jobs(jobs: DataFrame, scores: DataFrame, latest_only: bool = False) -> DataFrame:
+    """Applied jobs that were not rejected with each of their scores, or with latest_only their last one."""
+    return jobs.where("applied AND NOT rejected").join(latest_scores(scores) if latest_only else scores, "job_id", "left")
 
 
-def rejected_jobs(jobs: DataFrame, scores: DataFrame, rejections: DataFrame) -> DataFrame:
-    """Rejected jobs, one row for each of their scores and rejections."""
-    return jobs.where("rejected").join(scores, "job_id", "left").join(rejections, "job_id", "left")
+def rejected_jobs(jobs: DataFrame, scores: DataFrame, rejections: DataFrame, latest_only: bool = False) -> DataFrame:
+    """Rejected jobs, one row for each of their scores (with latest_only: their last one) and rejections."""
+    return jobs.where("rejected").join(latest_scores(scores) if latest_only else scores, "job_id", "left").join(rejections, "job_id", "left")
 
 
-def jobs_by_status(jobs: DataFrame, scores: DataFrame, status: str) -> DataFrame:
-    return jobs.where("is_active").where(F.col("status") == status).join(scores, "job_id", "left")
+def jobs_by_status(jobs: DataFrame, scores: DataFrame, status: str, latest_only: bool = False) -> DataFrame:
+    return jobs.where("is_active").where(F.col("status") == status).join(latest_scores(scores) if latest_only else scores, "job_id", "left")
 
 
 def matches_above(jobs: DataFrame, scores: DataFrame, threshold: int, limit: int | None = None) -> DataFrame:

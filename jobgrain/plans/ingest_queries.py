@@ -38,6 +38,9 @@ def _clean(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}_ \t\n\r]', '', 'g'), '[ \t\n\r]+', ' ', 'g'))"
 
 
+_TRIMMED = r"regexp_replace(title, '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g')"
+
+
 def _first(text_: str, words, word=False) -> str:
     tests = [f"WHEN contains({text_}, '{w}') THEN '{w}'" if not word else rf"WHEN regexp_matches({text_}, '(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])') THEN '{w}'" for w in words]
     return "CASE " + " ".join(tests) + " END"
@@ -63,7 +66,7 @@ judged AS (SELECT *, length(description) >= 100 AND (keyword_hits >= 2 OR strong
 
 _HASH = f"sha256(lower(title || '|' || {_norm('company')} || '|' || url))"
 _FUZZY_SQL = f"""
-f AS (SELECT job_id, source, url, last_seen_date, {_clean('title')} AS t, {_clean(_norm('company'))} AS c FROM postings),
+f AS (SELECT job_id, source, url, last_seen_date, {_clean('lower(title)')} AS t, {_clean(_norm('company'))} AS c FROM postings),
 g AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS tw, list_distinct(list_filter(string_split(c, ' '), lambda x: x <> '')) AS cw FROM f),
 pairs AS (SELECT a.job_id AS new_key, b.job_id AS existing_key, b.source AS existing_source, a.t = b.t AS same_title, len(list_intersect(a.tw, b.tw)) AS ti, len(a.tw) + len(b.tw) - len(list_intersect(a.tw, b.tw)) AS tu,
     len(a.tw) * len(b.tw) > 0 AS tn, a.c = b.c AS same_company, len(list_intersect(a.cw, b.cw)) AS ci, len(a.cw) + len(b.cw) - len(list_intersect(a.cw, b.cw)) AS cu, len(a.cw) * len(b.cw) > 0 AS cn
@@ -71,9 +74,11 @@ pairs AS (SELECT a.job_id AS new_key, b.job_id AS existing_key, b.source AS exis
 fuzzy AS (SELECT new_key, existing_key, existing_source, CASE WHEN same_title THEN 1.0 ELSE CAST(ti AS DOUBLE) / tu END AS similarity FROM pairs
   WHERE (same_title OR (tn AND ti * 10000 >= 8500 * tu)) AND (same_company OR (cn AND ci * 10000 >= 8500 * cu)))"""
 _CLASSIFY_SQL = _QUALITY_SQL + "," + _FUZZY_SQL + f""",
-h AS (SELECT *, {_HASH} AS job_id_hash, lower(trim(title)) AS dt, {_norm('company')} AS dc FROM judged),
+h AS (SELECT *, {_HASH} AS job_id_hash, lower({_TRIMMED}) AS dt, {_norm('company')} AS dc FROM judged),
 old AS (SELECT * FROM h WHERE job_id % 2 = 0),
-tests AS (SELECT h.*, (h.url IN (SELECT url FROM old WHERE last_seen_date >= {_DAY} - 90) OR h.job_id IN (SELECT new_key FROM fuzzy)) AS dup_store, h.job_id_hash IN (SELECT job_id_hash FROM old) AS dup_hash FROM h WHERE job_id % 2 = 1),
+urls AS (SELECT url, min(job_id_hash) AS by_url FROM old WHERE last_seen_date >= {_DAY} - 90 GROUP BY url),
+best AS (SELECT new_key, job_id_hash AS by_fuzzy FROM (SELECT *, row_number() OVER (PARTITION BY new_key ORDER BY similarity DESC, existing_key) AS r FROM fuzzy) JOIN old ON existing_key = job_id WHERE r = 1),
+tests AS (SELECT h.*, coalesce(urls.by_url, best.by_fuzzy, CASE WHEN h.job_id_hash IN (SELECT job_id_hash FROM old) THEN h.job_id_hash END) AS matched_hash, (h.url IN (SELECT url FROM old WHERE last_seen_date >= {_DAY} - 90) OR h.job_id IN (SELECT new_key FROM fuzzy)) AS dup_store, h.job_id_hash IN (SELECT job_id_hash FROM old) AS dup_hash FROM h LEFT JOIN urls ON h.url = urls.url LEFT JOIN best ON h.job_id = best.new_key WHERE job_id % 2 = 1),
 firsts AS (SELECT dt, dc, min(seq) AS first_pass FROM tests WHERE NOT dup_store AND tier3_pass AND NOT dup_hash GROUP BY dt, dc),
 classified AS (SELECT t.*, CASE WHEN coalesce(t.seq > f.first_pass, false) THEN 'dup_cross' WHEN dup_store THEN 'dup_store' WHEN NOT tier3_pass THEN 'low_quality' WHEN dup_hash THEN 'dup_hash' ELSE 'new' END AS outcome
   FROM tests t LEFT JOIN firsts f ON t.dt = f.dt AND t.dc = f.dc)"""
@@ -86,7 +91,7 @@ def classified(spark, sf):
 register("ingest_accounting", lambda s, d: ingest.ingest_accounting(classified(s, d)), ctes("postings") + "," + _CLASSIFY_SQL + """
 SELECT count(*) AS total, count(*) FILTER (outcome = 'new') AS n_new, count(*) FILTER (outcome = 'dup_cross') AS n_dup_cross, count(*) FILTER (outcome = 'dup_store') AS n_dup_store, count(*) FILTER (outcome = 'low_quality') AS n_low_quality,
   count(*) FILTER (outcome = 'dup_hash') AS n_dup_hash, true AS adds_up, round(count(*) FILTER (outcome IN ('dup_cross', 'dup_store', 'low_quality')) * 100.0 / count(*), 1) AS savings_percent FROM classified""")
-register("classify_ingest", lambda s, d: classified(s, d).select("job_id", "outcome"), ctes("postings") + "," + _CLASSIFY_SQL + "\nSELECT job_id, outcome FROM classified")
+register("classify_ingest", lambda s, d: classified(s, d).select("job_id", "outcome", "matched_hash"), ctes("postings") + "," + _CLASSIFY_SQL + "\nSELECT job_id, outcome, matched_hash FROM classified")
 register("title_filter", lambda s, d: filters.title_filter(postings(s, d), _KW).select("job_id", "tier1_pass", "tier1_rule", "tier1_reason"), ctes("postings") + "," + _TITLE_SQL + "\nSELECT job_id, tier1_pass, tier1_rule, tier1_reason FROM flagged")
 register("expand_acronyms", lambda s, d: postings(s, d).select("job_id", filters.expand_acronyms(F.col("title"), _KW.acronyms).alias("expanded")), ctes("postings") + f"\nSELECT job_id, {_FULL} AS expanded FROM postings")
 register("quality_filter", lambda s, d: filters.quality_filter(postings(s, d), _KW).select("job_id", "tier3_pass", "tier3_reason", "keyword_hits"), ctes("postings") + "," + _QUALITY_SQL + "\nSELECT job_id, tier3_pass, tier3_reason, keyword_hits FROM judged")
@@ -124,7 +129,7 @@ w AS (SELECT job_id, {_clean('title')} AS t FROM postings), x AS (SELECT job_id,
 y AS (SELECT a.job_id, a.t AS t1, b.t AS t2, len(a.s) * len(b.s) > 0 AS full_, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM x a JOIN x b ON b.job_id = a.job_id + 1)
 SELECT job_id, CASE WHEN full_ THEN round(CAST(i AS DOUBLE) / u, 9) ELSE 0.0 END AS jaccard, t1 = t2 OR (full_ AND i * 10000 >= u * 2000) AS alike FROM y""")
 register("dedup_in_batch", lambda s, d: ingest.dedup_in_batch(postings(s, d).withColumn("passes", F.col("job_id") % 6 != 0)).select("job_id", "dup_cross"), ctes("postings") + f""",
-k AS (SELECT job_id, seq, lower(trim(title)) AS t, {_norm('company')} AS c FROM postings), m AS (SELECT t, c, min(seq) AS first_pass FROM k WHERE job_id % 6 <> 0 GROUP BY t, c)
+k AS (SELECT job_id, seq, lower({_TRIMMED}) AS t, {_norm('company')} AS c FROM postings), m AS (SELECT t, c, min(seq) AS first_pass FROM k WHERE job_id % 6 <> 0 GROUP BY t, c)
 SELECT job_id, coalesce(seq > first_pass, false) AS dup_cross FROM k LEFT JOIN m ON k.t = m.t AND k.c = m.c""")
 register("match_existing_url", lambda s, d: ingest.match_existing_url(incoming(s, d), existing(s, d), 30, AS_OF).select("job_id", "url"), ctes("postings") + f"\nSELECT job_id, url FROM postings WHERE job_id % 2 = 1 AND url IN (SELECT url FROM postings WHERE job_id % 2 = 0 AND last_seen_date >= {_DAY} - 30)")
 register("match_existing_fuzzy", lambda s, d: ingest.match_existing_fuzzy(incoming(s, d), existing(s, d), as_of=AS_OF), ctes("postings") + "," + _FUZZY_SQL + "\nSELECT new_key, existing_key, existing_source, similarity FROM fuzzy")
@@ -168,9 +173,18 @@ def _updates(s, d):
 
 
 register("apply_updates", lambda s, d: store.apply_updates(postings(s, d), _updates(s, d)).select("job_id", "status", "applied", "applied_date", "priority"), ctes("postings", "status_history") + """,
-u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY changed_at DESC, id DESC) AS r FROM status_history) WHERE r = 1)
-SELECT p.job_id, coalesce(u.new_status, p.status) AS status, CASE WHEN u.new_status = 'applied' THEN true ELSE p.applied END AS applied, CAST(CASE WHEN u.new_status = 'applied' THEN CAST(u.changed_at AS DATE) ELSE CAST(p.applied_date AS DATE) END AS VARCHAR) AS applied_date,
-  CASE WHEN u.id % 2 = 0 THEN 9 ELSE p.priority END AS priority FROM postings p LEFT JOIN u ON p.job_id = u.job_id""")
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY changed_at DESC, id DESC) AS r FROM status_history) WHERE r = 1),
+a AS (SELECT job_id, max(changed_at) FILTER (new_status = 'applied') AS applied_at, bool_or(id % 2 = 0) AS urgent FROM status_history GROUP BY job_id)
+SELECT p.job_id, coalesce(u.new_status, p.status) AS status, p.applied OR a.applied_at IS NOT NULL AS applied, CAST(coalesce(CAST(a.applied_at AS DATE), CAST(p.applied_date AS DATE)) AS VARCHAR) AS applied_date,
+  CASE WHEN a.urgent THEN 9 ELSE p.priority END AS priority FROM postings p LEFT JOIN u ON p.job_id = u.job_id LEFT JOIN a ON p.job_id = a.job_id""")
+
+
+def _rejects(s, d):
+    h = shape(s, d, "status_history")
+    return h.select("job_id", F.col("changed_at").alias("updated_at"), F.col("id").alias("update_id"), (F.col("new_status") == "rejected").alias("rejected"), F.col("note").alias("rejection_notes"))
+
+
+register("rejection_rows", lambda s, d: store.rejection_rows(_rejects(s, d), postings(s, d)).select("job_id", "rejection_category", "rejection_notes", F.to_date("rejected_at").alias("rejected_on")), ctes("postings", "status_history") + "\nSELECT job_id, 'other' AS rejection_category, coalesce(note, '') AS rejection_notes, CAST(CAST(changed_at AS DATE) AS VARCHAR) AS rejected_on FROM status_history WHERE new_status = 'rejected' AND job_id IN (SELECT job_id FROM postings)")
 register("fold_notes", lambda s, d: store.fold_notes(postings(s, d).select("job_id", F.when(F.col("job_id") % 2 == 0, F.lit("old")).otherwise(F.lit("")).alias("notes")), shape(s, d, "status_history").select("job_id", F.col("changed_at").alias("ts"), F.col("id").alias("note_id"), "note")),
          ctes("postings", "status_history") + """,
 n AS (SELECT job_id, string_agg('[' || strftime(changed_at, '%Y-%m-%d') || '] ' || coalesce(note, ''), chr(10) ORDER BY changed_at, id) AS added FROM status_history GROUP BY job_id)

@@ -130,6 +130,18 @@ j AS (SELECT job_id, CASE WHEN matched IS NULL THEN NULL WHEN json_valid(matched
 SELECT job_id, concat_ws(',', 'n=', CAST(len(m) AS VARCHAR), array_to_string(m, ',')) AS matched, concat_ws(',', 'n=', CAST(len(k) AS VARCHAR), array_to_string(k, ',')) AS key_points FROM j""")
 
 
+def _hybrid(s, d):
+    quoted = F.regexp_replace(F.substring_index("title", " ", 1), r'["\\\\]', "")
+    t = shape(s, d, "postings").select("job_id", F.when(F.col("job_id") % 5 == 0, "{bad").when(F.col("job_id") % 7 == 0, "").otherwise(F.concat(F.lit('{"level":"'), quoted, F.lit('","n":'), "job_id", F.lit("}"))).alias("risk_profile"),
+                                       F.when(F.col("job_id") % 5 == 1, "[1").otherwise(F.concat(F.lit('[{"name":"'), quoted, F.lit('","weight":'), "job_id", F.lit("}]"))).alias("components"))
+    return scoring.parse_score_json(t).select("job_id", F.size("risk_profile").alias("risks"), F.col("risk_profile")["level"].alias("level"), F.col("risk_profile")["n"].alias("n"), F.size("components").alias("parts"), F.get("components", F.lit(0))["name"].alias("name"), F.get("components", F.lit(0))["weight"].alias("weight"))
+
+
+register("parse_score_json_nested", _hybrid, ctes("postings") + r"""
+SELECT job_id, CASE WHEN job_id % 5 = 0 THEN 0 WHEN job_id % 7 = 0 THEN NULL ELSE 2 END AS risks, CASE WHEN job_id % 5 <> 0 AND job_id % 7 <> 0 THEN q END AS level, CASE WHEN job_id % 5 <> 0 AND job_id % 7 <> 0 THEN CAST(job_id AS VARCHAR) END AS n,
+  CASE WHEN job_id % 5 = 1 THEN 0 ELSE 1 END AS parts, CASE WHEN job_id % 5 <> 1 THEN q END AS name, CASE WHEN job_id % 5 <> 1 THEN CAST(job_id AS DOUBLE) END AS weight FROM (SELECT job_id, regexp_replace(split_part(title, ' ', 1), '["\\]', '', 'g') AS q FROM postings)""")
+
+
 def chain(s, d):
     """Two scorers: one that only knows titles with 'Engineer', then one for the rest that fails on empty texts."""
     def by_title(rows):

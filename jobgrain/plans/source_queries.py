@@ -87,11 +87,18 @@ def _json(s, d):
 register("write_json", _json, ctes("scores") + "\nSELECT job_id, score, model_used, recommendation FROM scores")
 
 _ARTICLE = r"regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+#: The article's text: blocks part words, other tags do not.
+_UNESCAPED = r"regexp_replace(regexp_replace(regexp_replace(" + _ARTICLE + r", '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<(/?(p|div|h[1-6]|li|ul|ol|section|article|header|footer|form|aside|nav|table|tr|td|th|blockquote|pre|figure|figcaption)|br|hr)([^a-z0-9>][^>]*)?>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
+for _entity, _character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_character}')"
+_ENTRIES = pages.BoardSpec(cards=("section.none", "nav li", "li"))
+register("extract_cards_many", lambda s, d: pages.extract_cards(table(s, d, "pages"), _ENTRIES).groupBy("page_id").agg(F.count("*").alias("cards"), F.max("card_idx").alias("last"), F.sum(F.length("html")).alias("size")), r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS html FROM pages)
+SELECT page_id, count(*) AS cards, CAST(count(*) - 1 AS INT) AS last, CAST(sum(length(html)) AS BIGINT) AS size FROM p GROUP BY 1""")
 register("extract_cards", lambda s, d: pages.extract_cards(table(s, d, "pages"), pages.ARTICLE).select("page_id", "card_idx", F.length("html").alias("size")), f"SELECT page_id, CAST(0 AS INT) AS card_idx, length({_ARTICLE}) + 19 AS size FROM pages")
 register("extract_fields", lambda s, d: pages.extract_fields(pages.extract_cards(table(s, d, "pages"), pages.ARTICLE), pages.ARTICLE).select("page_id", "url", "company", "location", F.md5(F.regexp_replace("title", " +", " ")).alias("title")),
          r"SELECT page_id, split_part(url, '?', 1) AS url, 'Unknown' AS company, 'Unknown' AS location, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS title FROM pages WHERE regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) <> ''".replace('\\"', '"'))
 register("drop_recommended", lambda s, d: pages.drop_recommended(table(s, d, "pages").select("page_id", "html"), ("thanedble", "onon", "ieren")).select("page_id"), "SELECT page_id FROM pages WHERE NOT (contains(lower(html), 'thanedble') OR contains(lower(html), 'onon') OR contains(lower(html), 'ieren'))")
-register("page_description", lambda s, d: pages.page_description(table(s, d, "pages"), ("div.ad", "article"), 200).select("page_id", (F.length("description") > 0).alias("found")), "SELECT page_id, true AS found FROM pages")
+register("page_description", lambda s, d: pages.page_description(table(s, d, "pages"), ("div.none", "article"), 200).select("page_id", F.md5(F.regexp_replace("description", r"\s+", " ")).alias("description")), f"SELECT page_id, md5(trim(regexp_replace({_UNESCAPED}, '\\s+', ' ', 'g'))) AS description FROM pages")
 register("canonical_url", lambda s, d: table(s, d, "pages").select("page_id", pages.canonical_url(F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?://[^/]+", "")).when(F.col("page_id") % 7 == 1, F.lit(None)).otherwise(F.col("url")), "https://board.example", F.col("page_id")).alias("url")),
          r"""WITH u AS (SELECT page_id, split_part(CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^https?://[^/]+', '') WHEN page_id % 7 = 1 THEN NULL ELSE url END, '?', 1) AS p FROM pages)
 SELECT page_id, CASE WHEN p LIKE '/%' THEN 'https://board.example' || p WHEN p IS NULL OR p = '' THEN 'https://board.example/jobs/view/' || page_id ELSE p END AS url FROM u""")
@@ -99,13 +106,14 @@ _MARKED = "CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 50) || ' Must Have ' || s
 register("split_requirements", lambda s, d: pages.split_requirements(table(s, d, "documents").selectExpr("doc_id", f"{_MARKED} AS text")).select("doc_id", "description", "requirement_text"), "WITH m AS (SELECT doc_id, " + _MARKED + " AS t FROM documents),\nh AS (SELECT *, CASE " + " ".join(f"WHEN contains(t, '{h}') THEN '{h}'" for h in pages.REQUIREMENTS) + r""" END AS h FROM m)
 SELECT doc_id, CASE WHEN h IS NULL THEN t ELSE trim(substr(t, 1, instr(t, h) - 1), ' ' || chr(10) || chr(9)) END AS description, CASE WHEN h IS NOT NULL THEN h || chr(10) || trim(substr(t, instr(t, h) + length(h)), ' ' || chr(10) || chr(9)) END AS requirement_text FROM h""")
 _CRITERIA = ("Seniority level Associate", "Employment type Full-time", "Job function Engineering", "Industries Software", "Contract", "Entry level")
-register("classify_criteria", lambda s, d: pages.classify_criteria(shape(s, d, "postings").select("job_id", F.array(*(F.when((F.col("job_id") + i) % 3 != 0, F.lit(c)) for i, c in enumerate(_CRITERIA))).alias("criteria")).withColumn("criteria", F.filter("criteria", lambda x: x.isNotNull()))).drop("criteria"),
+register("classify_criteria", lambda s, d: pages.classify_criteria(shape(s, d, "postings").select("job_id", F.concat(F.filter(F.array(*(F.when((F.col("job_id") + i) % 3 != 0, F.lit(c)) for i, c in enumerate(_CRITERIA))), lambda x: x.isNotNull()), F.split("description", "\n")).alias("criteria"))).drop("criteria"),
          ctes("postings") + "\nSELECT job_id, CASE WHEN (job_id + 5) % 3 <> 0 THEN 'Entry level' WHEN job_id % 3 <> 0 THEN 'Associate' END AS seniority_level, CASE WHEN (job_id + 4) % 3 <> 0 THEN 'Contract' WHEN (job_id + 1) % 3 <> 0 THEN 'Full-time' END AS employment_type, CASE WHEN (job_id + 2) % 3 <> 0 THEN 'Engineering' END AS job_function, CASE WHEN job_id % 3 <> 0 THEN 'Software' END AS industries FROM postings")
 _PANEL = "CASE doc_id % 7 WHEN 0 THEN 'Seniority level:' || chr(10) || ' Director ' WHEN 1 THEN 'Seniority level:' || chr(10) || 'salary 5' WHEN 2 THEN 'an internship program, part time' WHEN 3 THEN 'Employment type:' || chr(10) || 'Casual' || chr(10) || 'Job function:' || chr(10) || 'Design' WHEN 4 THEN 'associate, full-time' WHEN 5 THEN 'Industries:' || chr(10) || 'Mining' || chr(10) || 'contract' ELSE 'associate degree' END"
 register("infer_labels", lambda s, d: pages.infer_labels(table(s, d, "documents").selectExpr("doc_id", f"text || chr(10) || {_PANEL} || chr(10) || text AS text")).drop("text"), """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Director' WHEN 2 THEN 'Entry level' WHEN 4 THEN 'Associate' END AS seniority_level, CASE doc_id % 7 WHEN 2 THEN 'Part-time' WHEN 3 THEN 'Casual' WHEN 4 THEN 'Full-time' WHEN 5 THEN 'Contract' END AS employment_type,
   CASE doc_id % 7 WHEN 3 THEN 'Design' END AS job_function, CASE doc_id % 7 WHEN 5 THEN 'Mining' END AS industries FROM documents""")
-_CARD = "CASE doc_id % 4 WHEN 0 THEN 'Engineer' || chr(10) || ' Posted ' || doc_id || ' days ago ' || chr(10) || 'x' WHEN 1 THEN 'long ago' WHEN 2 THEN 'Ago' || chr(10) || '1 Week' ELSE 'none' END"
-register("posted_age", lambda s, d: table(s, d, "documents").selectExpr("doc_id", f"{_CARD} AS card").select("doc_id", pages.posted_age(F.col("card")).alias("age")), "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'posted ' || doc_id || ' days ago' WHEN 2 THEN 'ago' END AS age FROM documents")
+_CARD = "text || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Engineer' || chr(10) || ' Posted ' || doc_id || ' days ago ' || chr(10) || 'x' WHEN 1 THEN 'long ago' WHEN 2 THEN 'Ago' || chr(10) || '1 Week' ELSE 'none' END || chr(10) || text"
+_SPEAKS = "contains({0}, 'hour') OR contains({0}, 'day') OR contains({0}, 'week') OR contains({0}, 'month')"
+register("posted_age", lambda s, d: table(s, d, "documents").selectExpr("doc_id", f"{_CARD} AS card").select("doc_id", pages.posted_age(F.col("card")).alias("age")), f"SELECT doc_id, CASE WHEN {_SPEAKS.format('low')} THEN trim(list_filter(string_split(low, chr(10)), lambda x: {_SPEAKS.format('x')} OR contains(x, 'ago'))[1], ' ' || chr(9) || chr(10) || chr(13)) END AS age FROM (SELECT doc_id, lower({_CARD}) AS low FROM documents)")
 register("join_skills", lambda s, d: table(s, d, "documents").select("doc_id", pages.join_skills(F.split("text", " ")).alias("skills")), "SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), 1, 10), ', ') AS skills FROM documents")
 
 _PLAN_SQL = r"""
@@ -160,13 +168,13 @@ register("stream_daily_runs", lambda s, d: _sink(s, streams.stream_daily_runs(_s
 
 def _stream_status(s, d):
     path = scratch(s, "stream")
-    keep = ["job_id", "status", "applied", "applied_date", "rejected", "rejected_date"]
-    _finish(streams.stream_status(_stream(s, d, "status_history"), shape(s, d, "postings").select(*keep), path, scratch(s, "state")))
+    keep = ["job_id", "status", "applied", "applied_date", "rejected", "rejected_date", "first_seen_date"]
+    _finish(streams.stream_status(_stream(s, d, "status_history"), shape(s, d, "postings").select(*keep).withColumn("offer_date", F.when(F.col("job_id") % 4 == 0, F.date_add("first_seen_date", 3))), path, scratch(s, "state")))
     last = s.read.parquet(path).agg(F.max("batch")).first()[0]
-    return s.read.parquet(f"{path}/batch={last}").select("job_id", "status", "applied", "rejected")
+    return s.read.parquet(f"{path}/batch={last}").select("job_id", "status", "applied", "rejected", "offer_date", "decision_date")
 
 
 register("stream_status", _stream_status, ctes("postings", "status_history") + """,
 l AS (SELECT job_id, new_status FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY changed_at DESC, id DESC) AS r FROM status_history) WHERE r = 1),
-f AS (SELECT job_id, bool_or(new_status = 'applied') AS a, bool_or(new_status = 'rejected') AS r FROM status_history GROUP BY job_id)
-SELECT p.job_id, coalesce(l.new_status, p.status) AS status, p.applied OR coalesce(f.a, false) AS applied, p.rejected OR coalesce(f.r, false) AS rejected FROM postings p LEFT JOIN l ON p.job_id = l.job_id LEFT JOIN f ON p.job_id = f.job_id""")
+f AS (SELECT job_id, bool_or(new_status = 'applied') AS a, bool_or(new_status = 'rejected') AS r, max(changed_at) FILTER (new_status = 'offer_received') AS o, max(changed_at) FILTER (new_status IN ('accepted', 'declined_offer', 'rejected')) AS e FROM status_history GROUP BY job_id)
+SELECT p.job_id, coalesce(l.new_status, p.status) AS status, p.applied OR coalesce(f.a, false) AS applied, p.rejected OR coalesce(f.r, false) AS rejected, CAST(coalesce(CAST(f.o AS DATE), CASE WHEN p.job_id % 4 = 0 THEN CAST(p.first_seen_date AS DATE) + 3 END) AS VARCHAR) AS offer_date, CAST(CAST(f.e AS DATE) AS VARCHAR) AS decision_date FROM postings p LEFT JOIN l ON p.job_id = l.job_id LEFT JOIN f ON p.job_id = f.job_id""")

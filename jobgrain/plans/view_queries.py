@@ -68,16 +68,24 @@ register("sample_unscored", lambda s, d: views.sample_unscored(jobs(s, d), score
 
 register("status_log", lambda s, d: tracking.status_log(events(s, d)).select("id", "job_id", "old_status", "new_status"), _JE + "SELECT id, job_id, coalesce(lag(new_status) OVER (PARTITION BY job_id ORDER BY changed_at, id), 'new') AS old_status, new_status FROM status_history")
 _STATE = ("job_id", "status", "applied", "applied_date", "offer_date", "decision_date", "rejected", "rejected_date")
-register("fold_status", lambda s, d: tracking.fold_status(jobs(s, d), events(s, d)).select(*_STATE), _JE + """, e AS (SELECT job_id, arg_max(new_status, changed_at * 1) FROM (SELECT 1 AS job_id, 'x' AS new_status, 1 AS changed_at) GROUP BY job_id),
+
+
+def _dated(s, d):
+    """Jobs of which some have an offer and a decision already."""
+    of = lambda m, days: F.when(F.col("job_id") % m == 0, F.date_add("first_seen_date", days))
+    return jobs(s, d).withColumns({"offer_date": of(4, 3), "decision_date": of(6, 9)})
+
+
+register("fold_status", lambda s, d: tracking.fold_status(_dated(s, d), events(s, d)).select(*_STATE), _JE + """, e AS (SELECT job_id, arg_max(new_status, changed_at * 1) FROM (SELECT 1 AS job_id, 'x' AS new_status, 1 AS changed_at) GROUP BY job_id),
 l AS (SELECT job_id, new_status FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY changed_at DESC, id DESC) AS r FROM status_history) WHERE r = 1),
 f AS (SELECT job_id, min(CASE WHEN new_status = 'applied' THEN CAST(changed_at AS DATE) END) AS a, max(CASE WHEN new_status = 'offer_received' THEN CAST(changed_at AS DATE) END) AS o,
   max(CASE WHEN new_status IN ('accepted', 'declined_offer', 'rejected') THEN CAST(changed_at AS DATE) END) AS c, max(CASE WHEN new_status = 'rejected' THEN CAST(changed_at AS DATE) END) AS r FROM status_history GROUP BY job_id)
-SELECT p.job_id, coalesce(l.new_status, p.status) AS status, p.applied OR f.a IS NOT NULL AS applied, CAST(CASE WHEN f.a IS NOT NULL AND NOT p.applied THEN f.a ELSE CAST(p.applied_date AS DATE) END AS VARCHAR) AS applied_date, CAST(f.o AS VARCHAR) AS offer_date, CAST(f.c AS VARCHAR) AS decision_date,
+SELECT p.job_id, coalesce(l.new_status, p.status) AS status, p.applied OR f.a IS NOT NULL AS applied, CAST(CASE WHEN f.a IS NOT NULL AND NOT p.applied THEN f.a ELSE CAST(p.applied_date AS DATE) END AS VARCHAR) AS applied_date, CAST(coalesce(f.o, CASE WHEN p.job_id % 4 = 0 THEN CAST(p.first_seen_date AS DATE) + 3 END) AS VARCHAR) AS offer_date, CAST(coalesce(f.c, CASE WHEN p.job_id % 6 = 0 THEN CAST(p.first_seen_date AS DATE) + 9 END) AS VARCHAR) AS decision_date,
   p.rejected OR f.r IS NOT NULL AS rejected, CAST(coalesce(f.r, CAST(p.rejected_date AS DATE)) AS VARCHAR) AS rejected_date FROM postings p LEFT JOIN l ON p.job_id = l.job_id LEFT JOIN f ON p.job_id = f.job_id""".replace(""", e AS (SELECT job_id, arg_max(new_status, changed_at * 1) FROM (SELECT 1 AS job_id, 'x' AS new_status, 1 AS changed_at) GROUP BY job_id),
 l AS""", ",\nl AS"))
-register("latest_interview", lambda s, d: tracking.latest_interview(jobs(s, d).select("job_id"), interviews(s, d)), _JI + """,
+register("latest_interview", lambda s, d: tracking.latest_interview(jobs(s, d).select("job_id", F.col("first_seen_date").alias("interview_date"), F.lit("call").alias("interview_type")), interviews(s, d)), _JI + """,
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, id DESC) AS r FROM interviews) WHERE r = 1)
-SELECT p.job_id, CAST(CAST(l.interview_date AS DATE) AS VARCHAR) AS interview_date, l.interview_type FROM postings p LEFT JOIN l ON p.job_id = l.job_id""")
+SELECT p.job_id, CAST(CAST(coalesce(l.interview_date, p.first_seen_date) AS DATE) AS VARCHAR) AS interview_date, coalesce(l.interview_type, 'call') AS interview_type FROM postings p LEFT JOIN l ON p.job_id = l.job_id""")
 
 
 def _profiles(s, d):
@@ -108,9 +116,9 @@ cw AS (SELECT *, CASE m WHEN 'yes' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END
 """
 register("top_components", lambda s, d: tracking.top_components(components(s, d), 2).select("job_id", F.posexplode("top").alias("pos", "t")).select("job_id", "pos", "t.name", "t.contribution"),
          _COMP + "SELECT job_id, CAST(r - 1 AS INT) AS pos, name, contribution FROM (SELECT job_id, name, CAST(w * x AS DOUBLE) AS contribution, row_number() OVER (PARTITION BY job_id ORDER BY w * x DESC, name) AS r FROM cw) WHERE r <= 2")
-_FIRSTS = """, f AS (SELECT job_id, min(CASE WHEN new_status = 'applied' THEN CAST(changed_at AS DATE) END) AS a, min(CASE WHEN new_status = 'interview_scheduled' THEN CAST(changed_at AS DATE) END) AS i, min(CASE WHEN new_status = 'offer_received' THEN CAST(changed_at AS DATE) END) AS o FROM status_history GROUP BY job_id)
+_FIRSTS = """, f AS (SELECT job_id, min(CASE WHEN new_status = 'applied' THEN CAST(changed_at AS DATE) END) AS a, min(CASE WHEN new_status = 'interview_scheduled' THEN CAST(changed_at AS DATE) END) AS i, min(CASE WHEN new_status = 'offer_received' THEN CAST(changed_at AS DATE) END) AS o, min(CASE WHEN new_status = 'interested' THEN CAST(changed_at AS DATE) END) AS s, min(CASE WHEN new_status = 'rejected' THEN CAST(changed_at AS DATE) END) AS e FROM status_history GROUP BY job_id)
 """
-register("stage_durations", lambda s, d: tracking.stage_durations(events(s, d), jobs(s, d)).drop("days_to_accepted"), _JE + _FIRSTS + "SELECT round(avg(date_diff('day', CAST(first_seen_date AS DATE), a)), 6) AS days_to_applied, round(avg(date_diff('day', a, i)), 6) AS days_to_interview_scheduled, round(avg(date_diff('day', i, o)), 6) AS days_to_offer_received FROM postings p JOIN f ON p.job_id = f.job_id")
+register("stage_durations", lambda s, d: tracking.stage_durations(events(s, d).replace("interested", "responded", "new_status"), jobs(s, d)), _JE + _FIRSTS + "SELECT round(avg(date_diff('day', CAST(first_seen_date AS DATE), a)), 6) AS days_to_applied, round(avg(date_diff('day', a, s)), 6) AS days_to_responded, round(avg(date_diff('day', s, i)), 6) AS days_to_interview_scheduled, round(avg(date_diff('day', i, o)), 6) AS days_to_offer_received, round(avg(date_diff('day', o, e)), 6) AS days_to_decision, round(avg(date_diff('day', CAST(first_seen_date AS DATE), e)), 6) AS days_in_all FROM postings p JOIN f ON p.job_id = f.job_id")
 register("application_funnel", lambda s, d: tracking.application_funnel(jobs(s, d), events(s, d)), _JE + """,
 n AS (SELECT 'discovered' AS stage, 0 AS position, count(*) AS reached FROM postings UNION ALL SELECT x.stage, x.position, (SELECT count(DISTINCT job_id) FROM status_history h WHERE h.new_status = x.stage) FROM (VALUES ('applied', 1), ('interview_scheduled', 2), ('offer_received', 3), ('accepted', 4)) AS x(stage, position))
 SELECT stage, position, reached, CASE WHEN position = 0 THEN 100.0 ELSE round(coalesce(reached * 100.0 / nullif(lag(reached) OVER (ORDER BY position), 0), 0), 2) END AS step_percent, round(coalesce(reached * 100.0 / nullif(first(reached) OVER (ORDER BY position), 0), 0), 2) AS overall_percent FROM n""")

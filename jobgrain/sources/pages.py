@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -38,7 +39,8 @@ _BLOCK = frozenset("address article aside blockquote br dd div dl dt footer h1 h
 
 
 class _Tree(HTMLParser):
-    """Elements in document order: [tag, attributes, begin, end, text parts]; a block starts a new line of text."""
+    """Elements in document order: [tag, attributes, begin, end, all parts of text, its first part, the part after its last]; a
+    block starts a new line of text. Each part of text is held once, however deep elements nest."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -46,11 +48,11 @@ class _Tree(HTMLParser):
         for i, c in enumerate(html):
             if c == "\n":
                 self.lines.append(i + 1)
-        self.html, self.elements, self.open, self.quiet = html, [], [], 0
+        self.html, self.elements, self.open, self.count, self.parts, self.quiet = html, [], [], Counter(), [], 0
         self.feed(html)
         self.close()
         for i in self.open:
-            self.elements[i][3] = len(html)
+            self.elements[i][3], self.elements[i][6] = len(html), len(self.parts)
 
     def _at(self) -> int:
         line, column = self.getpos()
@@ -60,17 +62,19 @@ class _Tree(HTMLParser):
         if tag in _BLOCK:
             self.handle_data("\n")
         if tag not in _VOID:
-            self.elements.append([tag, {k: v or "" for k, v in attrs}, self._at(), None, []])
+            self.elements.append([tag, {k: v or "" for k, v in attrs}, self._at(), None, self.parts, len(self.parts), None])
             self.open.append(len(self.elements) - 1)
+            self.count[tag] += 1
             self.quiet += tag in ("script", "style")
 
     def handle_endtag(self, tag):
-        if any(self.elements[i][0] == tag for i in self.open):
+        if self.count[tag]:
             end = self.html.find(">", self._at())
             while True:
                 i = self.open.pop()
                 self.quiet -= self.elements[i][0] in ("script", "style")
-                self.elements[i][3] = end + 1 if end >= 0 else len(self.html)
+                self.count[self.elements[i][0]] -= 1
+                self.elements[i][3], self.elements[i][6] = end + 1 if end >= 0 else len(self.html), len(self.parts)
                 if self.elements[i][0] in _BLOCK:
                     self.handle_data("\n")
                 if self.elements[i][0] == tag:
@@ -78,8 +82,7 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if not self.quiet:
-            for i in self.open:
-                self.elements[i][4].append(data)
+            self.parts.append(data)
 
 
 def _fits(element, simple: str) -> bool:
@@ -105,7 +108,7 @@ def select(tree: _Tree, selector: str) -> list:
 
 
 def _text(element) -> str:
-    lines = (" ".join(x.split()) for x in "".join(element[4]).split("\n"))
+    lines = (" ".join(x.split()) for x in "".join(element[4][element[5] : element[6]]).split("\n"))
     return "\n".join(x for x in lines if x)
 
 

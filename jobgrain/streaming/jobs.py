@@ -33,7 +33,8 @@ def _before(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
 
 def stream_ingest(source: DataFrame, store: DataFrame, path: str, kw: Keywords, as_of, checkpoint: str, **options) -> StreamingQuery:
     """Classifies every micro-batch against store and what earlier batches took, and appends under path: accepted rows,
-    touched hashes (rows of the store seen again) and outcome counts, each a folder a batch."""
+    touched hashes (of the stored rows that were seen again, not of those that repeat them) and outcome counts, each a
+    folder a batch."""
     keep = ["job_id", "title", "company", "url", "source", "last_seen_date"]
     base = store.select(*keep)
 
@@ -43,7 +44,7 @@ def stream_ingest(source: DataFrame, store: DataFrame, path: str, kw: Keywords,
         rows = classify_ingest(df, existing, kw, as_of=as_of, **options).persist()
         day = F.lit(as_of).cast("date")
         rows.where("outcome = 'new'").withColumn("last_seen_date", day).write.mode("overwrite").parquet(f"{path}/accepted/batch={number}")
-        rows.where("outcome IN ('dup_hash', 'dup_store')").select("job_id_hash", day.alias("seen")).distinct().write.mode("overwrite").parquet(f"{path}/touched/batch={number}")
+        rows.where("outcome IN ('dup_hash', 'dup_store')").select(F.col("matched_hash").alias("job_id_hash"), day.alias("seen")).distinct().write.mode("overwrite").parquet(f"{path}/touched/batch={number}")
         rows.groupBy("outcome").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
         rows.unpersist()
 
@@ -68,14 +69,12 @@ def stream_daily_runs(source: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def stream_status(source: DataFrame, jobs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Folds status events into the jobs' state; each batch writes the state after it under path/batch=N. Events come in order
-    across batches; within one any order does."""
+    """Folds status events into the jobs' state; each batch writes the state after it under path/batch=N, dates of offers and
+    decisions with it. Events come in order across batches; within one any order does."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        before = jobs
-        if number:
-            before = spark.read.parquet(f"{path}/batch={number - 1}").drop("offer_date", "decision_date")
+        before = spark.read.parquet(f"{path}/batch={number - 1}") if number else jobs
         fold_status(before, df).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

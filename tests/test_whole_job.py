@@ -6,8 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from jobgrain.operators import parse
+from jobgrain.functions import text
+from jobgrain.operators import ingest, parse, scoring, store, tracking, views
 from jobgrain.plans import catalogue, registry  # noqa: F401
+from jobgrain.plans.fixtures import AS_OF, KEYWORDS
+from jobgrain.streaming import jobs as streams
 
 FAR = "lorem ipsum dolor sit amet " * 40 + "\n"
 ADVERT = FAR + "Must have Python. Asks 5 years of experience. PhD required. Hold nv1. For a recent graduate. Deep learning. Work in Melbourne, office-based. Coaching at a startup."
@@ -83,3 +86,65 @@ def test_searches_are_packed_in_small_objects(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(source_queries, "through_file", lambda df, *a, **k: sent.append(df) or through(df, *a, **k))
     assert registry.queries()["read_searches"](spark, str(tmp_path)).count() == 750
     assert sent[0].count() == 10 and sent[0].selectExpr("max(size(seek) + size(jora) + size(linkedin)) AS n").first().n == 50
+
+
+def test_titles_match_whatever_their_case(spark):
+    rows = [(1, "DATA Engineer ", "Acme Ltd", "u1", "a"), (2, "Data engineer", "ACME", "u2", "b"), (3, "\tdata ENGINEER\n", "acme", "u3", "a")]
+    df = spark.createDataFrame(rows, "job_id long, title string, company string, url string, source string")
+    got = {(r.new_key, r.existing_key, r.similarity) for r in ingest.match_existing_fuzzy(df.where("job_id <> 2"), df.where("job_id = 2"), window_days=None).collect()}
+    assert got == {(1, 2, 1.0), (3, 2, 1.0)}
+    dup = ingest.dedup_in_batch(df.selectExpr("job_id AS seq", "title", "'Acme' AS company", "true AS passes")).collect()
+    assert sorted((r.seq, r.dup_cross) for r in dup) == [(1, False), (2, True), (3, True)]
+
+
+def test_updates_of_different_columns_add_up(spark):
+    jobs = spark.createDataFrame([(1, "new", 0, False), (2, "new", 0, False)], "job_id long, status string, priority int, rejected boolean")
+    updates = spark.createDataFrame([(1, 1, "2026-01-01", None, 9, None, None), (1, 2, "2026-01-02", "applied", None, None, None), (1, 3, "2026-01-03", "rejected", None, True, "visa"), (7, 4, "2026-01-03", "rejected", None, True, "visa")],
+                                    "job_id long, update_id long, updated_at string, status string, priority int, rejected boolean, rejection_category string")
+    assert sorted(map(tuple, store.apply_updates(jobs, updates).collect())) == [(1, "rejected", 9, True), (2, "new", 0, False)]
+    assert [tuple(r) for r in store.rejection_rows(updates, jobs).collect()] == [(1, "visa", "", "2026-01-03")]
+    assert store.apply_updates(jobs, updates.select("job_id", "update_id", "updated_at")).count() == 2
+
+
+def test_dates_of_offers_outlive_later_batches(spark, tmp_path):
+    jobs = spark.createDataFrame([(1, "new", False, None, False, None, None, None), (2, "new", False, None, False, None, "2025-12-01", None)], "job_id long, status string, applied boolean, applied_date string, rejected boolean, rejected_date string, offer_date string, decision_date string")
+    jobs = jobs.withColumns({c: F.col(c).cast("date") for c in jobs.columns if c.endswith("_date")})
+    source = str(tmp_path / "in")
+    for i, (job, status, at) in enumerate([(1, "offer_received", "2026-01-02 00:00:00"), (1, "accepted", "2026-01-05 00:00:00"), (2, "applied", "2026-01-06 00:00:00")]):
+        spark.createDataFrame([(i, job, status, at)], "id long, job_id long, new_status string, at string").withColumn("changed_at", F.to_timestamp("at")).drop("at").coalesce(1).write.mode("append").parquet(source)
+    like = spark.read.parquet(source)
+    streams.stream_status(streams.files_stream(spark, source, like, 1), jobs, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    last = spark.read.parquet(str(tmp_path / "out" / "batch=2"))
+    assert {(r.job_id, r.status, str(r.offer_date), str(r.decision_date)) for r in last.collect()} == {(1, "accepted", "2026-01-02", "2026-01-05"), (2, "applied", "2025-12-01", "None")}
+    assert tracking.latest_interview(jobs.selectExpr("job_id", "CAST(NULL AS DATE) AS interview_date"), spark.createDataFrame([(1, "2026-02-01", "phone", "x", 1)], "job_id long, interview_date string, interview_type string, created_at string, id long").withColumn("interview_date", F.to_date("interview_date"))).columns == ["job_id", "interview_date", "interview_type"]
+
+
+def test_touched_rows_are_those_of_the_store(spark, tmp_path):
+    old = spark.createDataFrame([(1, "Data Engineer", "Acme", "u1", "seek", "2026-02-27")], "job_id long, title string, company string, url string, source string, last_seen_date string")
+    new = spark.createDataFrame([(1, 5, "DATA ENGINEER", "Acme Ltd", "u9", "jora", "text")], "seq long, job_id long, title string, company string, url string, source string, description string")
+    source = str(tmp_path / "in")
+    new.write.parquet(source)
+    streams.stream_ingest(streams.files_stream(spark, source, new), old, str(tmp_path / "out"), KEYWORDS, AS_OF, str(tmp_path / "state")).awaitTermination()
+    want = old.select(text.job_hash(F.col("title"), F.col("company"), F.col("url"))).first()[0]
+    assert [r.job_id_hash for r in spark.read.parquet(str(tmp_path / "out" / "touched")).collect()] == [want]
+
+
+def test_parser_without_any_terms(spark):
+    cfg = parse.ParserConfig(exclude_visa=(), exclude_seniority=(), exclude_education=(), cities=())
+    r = parse.parse_postings(spark.createDataFrame([("security clearance and phd required", "Senior Cook", "Perth")], "description string, title string, location string"), cfg).first()
+    assert r.reasons == [] and not r.place.requires_pr and r.place.cities == []
+
+
+def test_score_json_of_every_kind(spark):
+    df = spark.createDataFrame([(1, '["a"]', '[{"name": "x", "weight": 2}]', '{"final_score": 7}'), (2, "[", "[", "{"), (3, "", "", ""), (4, None, None, None)], "job_id long, matched string, components string, score_breakdown string")
+    got = {r.job_id: r for r in scoring.parse_score_json(df).collect()}
+    assert got[1].matched == ["a"] and (got[1].components[0].name, got[1].components[0].weight) == ("x", 2.0) and got[1].score_breakdown == {"final_score": "7"}
+    assert (got[2].matched, got[2].components, got[2].score_breakdown) == ([], [], {})
+    assert all(x is None for i in (3, 4) for x in (got[i].matched, got[i].components, got[i].score_breakdown))
+
+
+def test_orders_of_views(spark):
+    jobs = spark.createDataFrame([(1, "2026-01-01", None), (2, "2026-01-03", "2026-01-02"), (3, "2026-01-02", "2026-01-02")], "job_id long, first_seen_date string, applied_date string")
+    assert [r.job_id for r in views.newest_first(jobs, "applied_date", "first_seen_date").collect()] == [2, 3, 1]
+    assert [r.job_id for r in views.newest_first(jobs, "first_seen_date").collect()] == [2, 3, 1]
+    assert [r.job_id for r in views.soonest_first(jobs.withColumnRenamed("first_seen_date", "interview_date")).collect()] == [1, 3, 2]
