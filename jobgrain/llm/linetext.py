@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,179 +20,241 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 AROUND = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies
 consent disqus disclaimer footer gdpr header menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup privacy promo promos promotion
 recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets""".split())
+#: Words beside such a name that say no more than what kind of box it is.
+BOX = frozenset("""area articles bar block bottom box button buttons center col column container content count form global group inner item items left links list main module outer page panel
+popular post posts primary right row secondary section site slot stories thread top unit wrap wrapper""".split())
 #: Elements that close an open p, and those that a sibling of the same kind closes.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
-
 #: Elements whose names say nothing of this kind: whole pages, articles, and their headings.
 WHOLE = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+#: Elements whose content is text up to their own end, whatever it looks like.
+RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 #: Elements of other languages, in which a tag may close itself.
 FOREIGN = frozenset(("svg", "math"))
 #: Elements whose content closes nothing outside, if they are closed themselves.
-APART = FOREIGN | {"object", "template", "canvas", "select"}
+APART = tuple(FOREIGN | {"object", "template", "canvas", "select"})
+
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+#: One attribute, or the end of the tag. A quote that does not open a value is part of a name, as browsers read it.
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _surrounds(name: str, tag: str) -> bool:
-    """Whether an element holds what surrounds an article, by its tag, class, id, role or hiding."""
-    if name in HIDDEN:
+def _surrounds(name: str, attributes: list[tuple[str, str]], in_article: bool) -> bool:
+    """Whether an element holds what surrounds an article, by its tag, class, id, role or hiding. The header of an article is its own."""
+    if name in HIDDEN and not (name == "header" and in_article):
         return True
-    for key, value in _ATTRIBUTE.findall(tag[len(name) + 1 :]):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+    for key, value in attributes:
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _NONE.search(value):
             return True
-        if key in ("class", "id", "role") and name not in WHOLE and any(_names_around(x) for x in value.split()):
+        if key in ("class", "id", "role") and name not in WHOLE and any(map(_names_around, value.lower().split())):
             return True
     return False
 
 
 def _names_around(word: str) -> bool:
-    """Whether one class name says so; 'has-sidebar' or 'comments-enabled' only say what a page has."""
-    parts = re.split(r"[^a-z0-9]+", word)
-    return not AROUND.isdisjoint(parts) and parts[0] not in ("has", "with", "without", "no", "is") and parts[-1] not in ("enabled", "layout")
+    """Whether one class name says so: it consists of such names, kinds of boxes and numbers. 'related-work' or 'has-sidebar' say
+    something else."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", word) if p and not p.isdigit()]
+    return not AROUND.isdisjoint(parts) and all(p in AROUND or p in BOX for p in parts)
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page without markup: (text, letters in links, inside an article, emptied), one a block in page order.
-    Blocks that surround articles are empty lines and emptied, so that they still part what stands before them from what
-    follows; other empty lines are only where blocks meet."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    text: list[str] = []
-    stack: list[tuple[str, bool]] = []
-    ends: dict[str, int] = {}
-    linked = hidden = inside = at = 0
-
-    def end_line(emptied: bool = False):
-        nonlocal linked
-        joined = _SPACE.sub(" ", "".join(text)).strip()
-        lines.append((joined, min(linked, len(joined)), inside > 0, emptied))
-        text.clear()
-        linked = 0
-
-    def close(depth: int):
-        nonlocal hidden, inside
-        while len(stack) > depth:
-            name, was_hidden = stack.pop()
-            hidden -= was_hidden
+class _Lines:
+    """Reads a page from left to right, once; every step costs what it reads or closes, whatever the nesting."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.text: list[str] = []
+        self.stack: list[tuple[str, bool]] = []
+        self.open: dict[str, list[int]] = defaultdict(list)  # by name, the places in the stack of its open elements
+        self.ends: dict[str, int] = {}
+        self.linked = self.hidden = self.articles = 0
+
+    def end_line(self, emptied: bool = False) -> None:
+        joined = _SPACE.sub(" ", "".join(self.text)).strip()
+        if joined or emptied:
+            self.lines.append((joined, min(self.linked, len(joined)), self.articles > 0, emptied))
+        self.text.clear()
+        self.linked = 0
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name, was_hidden = self.stack.pop()
+            self.open[name].pop()
+            self.hidden -= was_hidden
             if name in BLOCKS:
-                end_line(was_hidden)
-            inside -= name in ("article", "main")
-
-    def add(part: str):
-        nonlocal linked
-        if not hidden and part:
-            text.append(unescape(part))
-            if any(n == "a" for n, _ in stack):
-                linked += len(text[-1].strip())
-
-    def last_end(name: str) -> int:
-        if name not in ends:
-            ends[name] = max((m.start() for m in re.finditer(rf"</{name}\s*>", html, re.I)), default=-1)
-        return ends[name]
-
-    while True:
-        m = _TAG.search(html, at)
-        add(html[at : m.start()] if m else html[at:])
-        if not m:
-            break
-        tag, at = m.group(), m.end()
-        n = _NAME.match(tag)
-        if not n:
-            continue
-        name = n.group(1).lower()
-        if tag[1] == "/":
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                close(depth)
-            elif name == "p":
-                end_line()
-            continue
+                self.end_line(was_hidden and not self.hidden)
+            self.articles -= name in ("article", "main")
+
+    def add(self, part: str) -> None:
+        if part and not self.hidden:
+            part = unescape(part) if "&" in part else part
+            self.text.append(part)
+            if self.open["a"]:
+                self.linked += len(part.strip())
+
+    def last(self, *names: str) -> int:
+        """The place in the stack of the innermost open element of these names; -1 for none."""
+        return max((self.open[n][-1] for n in names if self.open[n]), default=-1)
+
+    def closed_later(self, name: str, at: int) -> bool:
+        if name not in self.ends:
+            self.ends[name] = max((m.start() for m in re.finditer(rf"</{name}\s*>", self.html, re.I)), default=-1)
+        return self.ends[name] >= at
+
+    def close_siblings(self, name: str, at: int) -> None:
+        """Elements that this one closes, unless something between keeps them open."""
+        for kinds, stops in ((("p",), ("td", "th", "div", "section", "article")) if name in CLOSES_P else ((), ()), (SIBLINGS.get(name, ()), ("ul", "ol", "dl", "table"))):
+            place = self.last(*kinds)
+            if place >= 0 and place > self.last(*stops, *(n for n in APART if self.open[n] and self.closed_later(n, at))):
+                self.close(place)
+
+    def start(self, name: str, attributes: list[tuple[str, str]], closed: bool, at: int) -> int:
+        """An element begins; returns where reading goes on."""
         if name == "br":
-            text.append(" ")
-            continue
+            self.add(" ")
+            return at
         if name == "body":  # a form or menu left open in the head ends here
-            close(0)
-        for kinds, stops in ((("p",), ("td", "th", "div", "section", "article")) if name in CLOSES_P else ((), ()), (SIBLINGS.get(name, ()), ("ul", "ol", "dl", "table"))):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in kinds:
-                    close(i)
-                    break
-                if stack[i][0] in stops or stack[i][0] in APART and last_end(stack[i][0]) >= at:
-                    break
+            self.close(0)
+        self.close_siblings(name, at)
         if name in BLOCKS:
-            end_line()
-        if name in VOID:
-            continue
-        if tag.endswith("/>") and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
-            continue
-        off = _surrounds(name, tag)
-        if name in _RAW_END:
-            end = _RAW_END[name].search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        stack.append((name, off))
-        hidden += off
-        inside += name in ("article", "main")
-    close(0)
-    end_line()
-    return lines
+            self.end_line()
+        if name in VOID or closed and (name in FOREIGN or any(self.open[n] for n in FOREIGN)):
+            return at
+        if name in RAW:
+            end = RAW[name].search(self.html, at)
+            return end.start() if end else len(self.html)
+        off = _surrounds(name, attributes, bool(self.open["article"]))
+        # an element that neither parts lines nor hides anything is of no account, but inside one of its own name
+        if off or name in BLOCKS or name == "a" or self.open[name]:
+            self.open[name].append(len(self.stack))
+            self.stack.append((name, off))
+            self.hidden += off
+            self.articles += name in ("article", "main")
+        return at
+
+    def end(self, name: str) -> None:
+        if self.open[name]:
+            self.close(self.open[name][-1])
+        elif name == "p":
+            self.end_line()
+
+    def read(self) -> list[tuple[str, int, bool, bool]]:
+        html, at = self.html, 0
+        while at < len(html):
+            tag = html.find("<", at)
+            self.add(html[at:tag] if tag >= 0 else html[at:])
+            if tag < 0:
+                break
+            if html.startswith("<!--", tag):
+                end = html.find("-->", tag + 4)
+                at = end + 3 if end >= 0 else len(html)
+                continue
+            name = _NAME.match(html, tag + 1)
+            if not name:
+                if html[tag + 1 : tag + 2] in ("!", "?", "/"):
+                    end = html.find(">", tag)
+                    at = end + 1 if end >= 0 else len(html)
+                else:
+                    self.add("<")
+                    at = tag + 1
+                continue
+            attributes, at = [], name.end()
+            if html.startswith(">", at):
+                at += 1
+            else:
+                while True:
+                    m = _ATTRIBUTE.match(html, at)
+                    if not m:  # the page ends inside the tag
+                        at = len(html)
+                        break
+                    at = m.end()
+                    if m[1]:
+                        break
+                    attributes.append((m[2].lower(), m[3] or m[4] or m[5] or ""))
+            if html[tag + 1] == "/":
+                self.end(name[1].lower())
+            else:
+                at = self.start(name[1].lower(), attributes, html.startswith("/>", at - 2), at)
+        self.close(0)
+        self.end_line()
+        return self.lines
+
+
+def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+    """The lines of a page without markup: (text, letters in links, inside an article, emptied), one a block in page order.
+    Blocks that surround articles are empty lines and emptied, so that they still part what stands before them from what
+    follows; other empty lines are left out."""
+    return _Lines(html).read()
+
+
+def weights_of(lines: list[tuple[str, int, bool, bool]], surge: int) -> list[int]:
+    """What each line counts in the curve: its letters outside links. Where a page marks an article or main element, this is
+    evidence beside the lengths: lines inside count with their links and `surge` more, and lines outside only if they are
+    long, with 8 * surge letters or more outside links."""
+    marked = any(inside and text for text, _, inside, _ in lines)
+
+    def weight(text: str, linked: int, inside: bool) -> int:
+        plain = len(text) - linked
+        if not marked:
+            return plain
+        return len(text) + surge if inside and text else plain if plain >= 8 * surge else 0
+
+    return [weight(text, linked, inside) for text, linked, inside, _ in lines]
 
 
 def main_text(html: str, window: int = 3, surge: int = 40) -> str:
     """The article's blocks, joined by newlines.
 
-    Where a page marks an article or main element, these are all lines inside with text, as what stands outside is by its own
-    account not the article. Elsewhere emptied blocks, and runs of `window` lines or more that are nothing but links, part
-    the page into regions. Letters outside links are summed over sliding windows of the lines with text. A region's text
-    begins at the line where the sum surges to `surge` and ends at its last line with letters outside links; between two
-    regions with such text, short lines are kept as well.
+    The weights of lines (see weights_of) are summed over sliding windows of lines; a block emptied of what surrounds articles
+    is as wide as a window. The text surges where a window that begins with weight sums to `surge`, or on pages of little
+    text to half of the largest sum, and dives after the last weight before a window without any, be it links or an
+    emptied block. Text is kept from the first surge to the last dive, without the windows that hold no weight; stretches
+    that never surge are kept between two that do.
     """
     lines = lines_of(html)
-    if any(inside and text for text, _, inside, _ in lines):
-        return "\n".join(text for text, _, inside, _ in lines if inside and text)
-    regions: list[list[tuple[str, int]]] = [[]]
-    run = 0
-    for text, linked, _, emptied in lines:
+    texts, weights = [], []
+    for (text, _, _, emptied), weight in zip(lines, weights_of(lines, surge), strict=True):
         if emptied:
-            regions.append([])
-            run = 0
-        elif text:
-            run = 0 if len(text) > linked else run + 1
-            regions[-1].append((text, len(text) - linked))
-            if run == window:
-                del regions[-1][-window:]
-                regions.append([])
-            elif run > window:
-                regions[-1].clear()
-    parts = [(region, *_text_of([w for _, w in region], window, surge)) for region in regions]
-    full = [i for i, (_, _, surged, _) in enumerate(parts) if surged is not None]
-    kept = []
-    for i, (region, first, surged, last) in enumerate(parts):
-        if full and full[0] <= i <= full[-1]:
-            kept += [text for text, _ in region[surged if i == full[0] else first : last]]
-    return "\n".join(kept)
-
-
-def _text_of(weights: list[int], window: int, surge: int) -> tuple[int, int | None, int]:
-    """Of one region: its first line with weight, the one where the sum surges, and the end of the last one with weight."""
+            texts += [""] * window
+            weights += [0] * window
+        if text:
+            texts.append(text)
+            weights.append(weight)
+    upto = [0]
+    for w in weights:
+        upto.append(upto[-1] + w)
+    curve = [upto[min(i + window, len(weights))] - upto[i] for i in range(len(weights))]
+    level = min(surge, max(curve, default=0) / 2)
     some = [i for i, w in enumerate(weights) if w > 0]
-    surged = next((i for i in some if sum(weights[i : i + window]) >= surge), None)
-    return (some[0], surged, some[-1] + 1) if some else (0, None, 0)
+    stretches: list[list[int]] = []  # of lines with weight, fewer than `window` others between two of them
+    for i in some:
+        if stretches and i - stretches[-1][-1] <= window:
+            stretches[-1].append(i)
+        else:
+            stretches.append([i])
+    surges = [next((i for i in s if curve[i] >= level), None) for s in stretches]
+    strong = [k for k, at in enumerate(surges) if at is not None]
+    kept: list[str] = []
+    for k in range(strong[0], strong[-1] + 1) if strong else ():
+        begin = surges[k] if k == strong[0] else stretches[k][0]
+        kept += [t for t in texts[begin : stretches[k][-1] + 1] if t]
+    return "\n".join(kept)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: id_col, url_col, text ('' if a page has none), n_chars. A null html is empty. Pages are read whole, one at a
-    time; nothing is shuffled; repeated rows and null ids are rows like others; other columns are ignored."""
+    time; nothing is shuffled; repeated rows and null ids are rows like others; ids of any type are returned as they are;
+    other columns are ignored; an empty table gives no rows."""
+
     def extract(it):
-        for rows in it:
-            text = rows["html"].map(lambda h: main_text(h) if h else "")
-            yield pd.DataFrame({id_col: rows["id"], url_col: rows["url"], "text": text, "n_chars": text.map(len)})
+        for b in it:
+            text = [main_text(h) if h else "" for h in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     of = lambda c, name: F.col(f"`{c}`").alias(name)
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    return pages.select(of(id_col, "id"), of(url_col, "url"), of(html_col, "html")).mapInPandas(extract, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return pages.select(of(id_col, "id"), of(url_col, "url"), of(html_col, "html")).mapInArrow(extract, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
