@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from jobgrain.llm.common import connected_components, materialize
 from jobgrain.llm.linking import roots
 
-#: A grid cell with more vectors than this is dealt out in chunks of about this many.
-CELL = 4096
-#: Vectors that one task compares at a time with as many others.
-BLOCK = 1024
+#: A label or grid cell with more vectors than this is dealt out further.
+CELL = 8192
+#: Vectors that one task compares at a time with as many others, and pairs that it verifies at a time.
+BLOCK, PAIRS = 1024, 1 << 17
+#: By how much a squared distance in single precision may be off.
+ROUGH = 1e-5
 
 
 def rotation(width: int, seed: int = 11) -> np.ndarray:
@@ -27,90 +29,109 @@ def block_bounds(width: int, blocks: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def _cells(width: int, blocks: int, axes: int, budget: float):
-    """Vectors of one width -> their homes and visits in each block's grid: rows of block, cell, home."""
-    bounds, turn = block_bounds(width, blocks), rotation(width)
-    # half of the neighbouring cells: a pair meets in the home cell of one of the two
-    steps = np.array(np.meshgrid(*[[-1, 0, 1]] * axes, indexing="ij")).reshape(axes, -1).T
-    ahead = steps[[tuple(s) > (0,) * axes for s in steps]]
+def _units(vectors) -> np.ndarray:
+    """Vectors of one length scaled to length one, safely for very large and very small components."""
+    v = np.stack(vectors).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _cells(blocks: int, axes: int, budget: float):
+    """Vectors -> their homes and visits in each block's grid: rows of block, cell, home.
+
+    Cells are four times as wide as the distance that a block allows. A vector stands in its home cell, and visits those
+    neighbours before its own that come within that distance; so a pair meets in the home cell of one of the two.
+    """
 
     def place(it):
         for rows in it:
-            if rows.empty:
-                continue
-            v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True) @ turn
-            out = []
-            for k, (low, high) in enumerate(bounds):
-                side = np.sqrt(budget * (high - low) / width) * (1 + 1e-9)
-                cell = np.floor(v[:, low : min(high, low + axes)] / side).astype(np.int64)
-                own = ahead[:, : cell.shape[1]] if cell.shape[1] == axes else np.unique(ahead[:, : cell.shape[1]], axis=0)
-                for home, step in [(True, np.zeros(cell.shape[1], np.int64)), *((False, s) for s in own if s.any())]:
-                    at = cell + step
-                    out.append(rows.assign(block=k, cell=[",".join(map(str, c)) for c in at.tolist()], home=home))
-            yield pd.concat(out)[["node", "label", "n", "embedding", "block", "cell", "home"]]
+            for width, same in rows.groupby("width"):
+                turned = _units(same["embedding"].to_numpy()) @ rotation(int(width))
+                out = []
+                for k, (low, high) in enumerate(block_bounds(int(width), blocks)):
+                    reach = np.sqrt(budget * (high - low) / width) * (1 + 1e-9)
+                    x = turned[:, low : min(high, low + axes)] / (4 * reach)
+                    cell = np.floor(x).astype(np.int64)
+                    steps = np.array(np.meshgrid(*[[-1, 0, 1]] * x.shape[1], indexing="ij")).reshape(x.shape[1], -1).T
+                    for step in steps[[tuple(t) <= (0,) * x.shape[1] for t in steps]]:
+                        near = np.where(step < 0, x - cell <= 0.25, np.where(step > 0, cell + 1 - x <= 0.25, True)).all(axis=1)
+                        if near.any():
+                            out.append(same[near].assign(block=k, cell=[",".join(map(str, c)) for c in (cell[near] + step).tolist()], home=not step.any()))
+                yield pd.concat(out)[["node", "label", "width", "n", "embedding", "block", "cell", "home"]]
 
     return place
 
 
-def _compare(width: int, blocks: int, budget: float, threshold: float):
+def _compare(blocks: int, budget: float, threshold: float):
     """Links of the home vectors of one cell among themselves and with its visitors, each pair in one block only: the
-    first whose share of the distance is within its budget. Gives counts of linked rows a node, and a forest of links."""
-    bounds, turn = block_bounds(width, blocks), rotation(width)
-    limits = [budget * (b - a) / width * (1 + 1e-9) for a, b in bounds]
+    first whose share of the distance is within its budget. A cell of no block is a whole label, and all its blocks are
+    joined at once. Gives counts of linked rows a node, and a forest of links."""
 
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
-        k = int(key[1])
+        width, block = int(key[1]), int(key[2])
+        bounds = block_bounds(width, blocks)
+        limits = [budget * (b - a) / width * (1 + 1e-9) for a, b in bounds]
         rows = rows.drop_duplicates(["node", "home"])
         home = rows["home"].to_numpy()
         node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-        raw = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        parts = unit @ turn
-        low, high = bounds[k]
+        unit = _units(rows["embedding"].to_numpy())
+        parts = unit @ rotation(width)
         links = np.zeros(len(rows), np.int64)
         label = np.arange(len(rows))
         mine, diagonal = np.flatnonzero(home), bool(rows["diagonal"].iloc[0])
-        for i in range(0, len(mine), BLOCK):
-            x = mine[i : i + BLOCK]
-            others = np.r_[mine[i:], np.flatnonzero(~home)] if diagonal else np.flatnonzero(~home)
-            for j in range(0, len(others), BLOCK):
-                y = others[j : j + BLOCK]
-                near = _squares(parts[x, low:high], parts[y, low:high]) <= limits[k]
-                a, b = np.nonzero(near)
-                a, b = x[a], y[b]
-                fresh = ~home[b] | (b > a)
-                a, b = a[fresh], b[fresh]
-                for m, (lo, hi) in enumerate(bounds[:k]):
-                    later = ((parts[a, lo:hi] - parts[b, lo:hi]) ** 2).sum(axis=1) > limits[m]
-                    a, b = a[later], b[later]
-                sure = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-                a, b = a[sure], b[sure]
-                np.add.at(links, a, n[b])
-                np.add.at(links, b, n[a])
-                label = roots(len(rows), a, b, label)
+
+        def verify(k: int, a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal label
+            low, high = bounds[k]
+            sure = ((parts[a, low:high] - parts[b, low:high]) ** 2).sum(axis=1) <= limits[k]
+            for m, (low, high) in enumerate(bounds[:k]):
+                sure[sure] = ((parts[a[sure], low:high] - parts[b[sure], low:high]) ** 2).sum(axis=1) > limits[m]
+            sure[sure] = np.einsum("ij,ij->i", unit[a[sure]], unit[b[sure]]) >= threshold
+            a, b = a[sure], b[sure]
+            np.add.at(links, a, n[b])
+            np.add.at(links, b, n[a])
+            label = roots(len(rows), a, b, label)
+
+        for k in range(len(bounds)) if block < 0 else (block,):
+            x, y = _sides(parts[:, slice(*bounds[k])].astype(np.float32))
+            for i in range(0, len(mine), BLOCK):
+                some = mine[i : i + BLOCK]
+                others = np.r_[mine[i:], np.flatnonzero(~home)] if diagonal else np.flatnonzero(~home)
+                for j in range(0, len(others), BLOCK):
+                    more = others[j : j + BLOCK]
+                    at = np.flatnonzero(x[some] @ y[more].T <= limits[k] + ROUGH)
+                    a, b = some[at // len(more)], more[at % len(more)]
+                    fresh = ~home[b] | (b > a)
+                    a, b = a[fresh], b[fresh]
+                    for c in range(0, len(a), PAIRS):
+                        verify(k, a[c : c + PAIRS], b[c : c + PAIRS])
         out = pd.DataFrame({"node": node, "links": links, "other": node[label]})
         return out[(out["links"] > 0) | (out["node"] != out["other"])]
 
     return compare
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0) - 1e-12
+def _sides(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x, y such that x @ y.T has the squared distances between all rows of v."""
+    square, one = (v * v).sum(axis=1, keepdims=True), np.ones((len(v), 1), v.dtype)
+    return np.hstack([-2 * v, square, one]), np.hstack([v, one, square])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, blocks: int = 8, axes: int = 1) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, blocks: int = 4, axes: int = 2) -> DataFrame:
     """One row a vector: id_col, n_links (other rows of its label with a cosine of `threshold` or more), component_id
     (the smallest id that links reach), kept (it is that id).
 
     Vectors of length one with a cosine of t are at a squared distance of 2 - 2t. After a rotation each is cut into
     blocks, and each block gets a share of that budget in proportion to its width; a pair within the whole budget is
-    within the share of some block. So each block is range-joined on its own, on a grid over its first `axes`
-    coordinates whose cells are as wide as the block's share allows, and the union of candidates is verified exactly in
-    double precision. A pair that several blocks find is taken from the first of them.
+    within the share of some block. So each block is range-joined on its own, and the union of candidates is verified
+    exactly in double precision. A pair that several blocks find is taken from the first of them.
+
+    A label of at most CELL classes is one task, to which each vector goes once, and which joins block after block. A
+    larger one is laid out block by block on a grid over the block's first `axes` coordinates, whose cells reach as far
+    as the block's share allows; a cell that is still too full is cut into chunks and every pair of chunks compared apart.
 
-    Equal vectors of one label are one class with a count, so copies cost one row. A cell with very many vectors is cut
-    into chunks and every pair of chunks compared apart. Tasks return counts and a forest of links, never all pairs.
+    Equal vectors of one label are one class with a count, so copies cost one row. Tasks return counts and a forest of
+    links, never all pairs.
 
     A vector that is null, empty, zero or has null or non-finite components, and one with a null label or null id, links with
     nothing. Vectors of different lengths never link. Rows that repeat an id are vectors of their own in counts and
@@ -124,25 +145,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # ids may repeat in other classes, so a class is named by a number of its own: a hash of what it holds
     classes = materialize(classes.withColumn("class", F.xxhash64("label", "embedding")), "classes")
     budget = 2 - 2 * threshold
-    found = None
-    for (width,) in classes.select(F.size("embedding")).distinct().collect():  # lengths of vectors: one as a rule
-        some = classes.where(F.size("embedding") == width).select(F.col("class").alias("node"), "label", "n", "embedding")
-        label_type = classes.schema["label"].dataType.simpleString()
-        cells = some.mapInPandas(_cells(width, blocks, axes, budget), f"node long, label {label_type}, n long, embedding array<double>, block int, cell string, home boolean")
-        sizes = cells.groupBy("label", "block", "cell").agg(F.count("*").alias("m"))
-        hot = materialize(sizes.where(f"m > {CELL}").select("label", "block", "cell", F.ceil(F.col("m") / CELL).cast("int").alias("chunks")), "hot")
-        if hot.isEmpty():
-            dealt = cells.withColumns({"i": F.lit(0), "j": F.lit(0)})
-        else:
-            many = cells.join(hot, ["label", "block", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-            chunk, every = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
-            stands = F.when(F.col("home"), F.transform(every, lambda j: F.struct(chunk.alias("i"), j.alias("j"), F.lit(True).alias("home"))))
-            visits = F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), chunk.alias("j"), F.lit(False).alias("home"))), lambda x: ~F.col("home") | (x["i"] < chunk))
-            dealt = many.select("node", "label", "n", "embedding", "block", "cell", F.explode(F.concat(F.coalesce(stands, F.array().cast("array<struct<i:int,j:int,home:boolean>>")), visits)).alias("p")).select("node", "label", "n", "embedding", "block", "cell", "p.*")
-        out = dealt.withColumn("diagonal", F.col("i") == F.col("j")).groupBy("label", "block", "cell", "i", "j").applyInPandas(_compare(width, blocks, budget, threshold), "node long, links long, other long")
-        found = out if found is None else found.unionByName(out)
-    if found is None:
-        return keyed.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = classes.select(F.col("class").alias("node"), "label", F.size("embedding").alias("width"), "n", "embedding")
+    place = lambda block, cell, home: {"block": F.lit(block), "cell": F.lit(cell), "home": F.lit(home), "i": F.lit(0), "j": F.lit(0)}
+    crowded = materialize(rows.groupBy("label", "width").agg(F.count("*").alias("m")).where(f"m > {CELL}").drop("m"), "crowded")
+    if crowded.isEmpty():
+        dealt = rows.withColumns(place(-1, "", True))
+    else:
+        large = rows.join(crowded, ["label", "width"], "left_semi").select(*rows.columns)
+        kinds = f"node long, label {rows.schema['label'].dataType.simpleString()}, width int, n long, embedding array<double>"
+        cells = large.mapInPandas(_cells(blocks, axes, budget), f"{kinds}, block int, cell string, home boolean")
+        at = ["label", "width", "block", "cell"]
+        hot = materialize(cells.groupBy(*at).agg(F.count("*").alias("m")).where(f"m > {CELL}").select(*at, F.ceil(F.col("m") / CELL).cast("int").alias("chunks")), "hot")
+        many = cells.join(hot, at, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        chunk, every = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
+        stands = F.when(F.col("home"), F.transform(every, lambda j: F.struct(chunk.alias("i"), j.alias("j"), F.lit(True).alias("home"))))
+        visits = F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), chunk.alias("j"), F.lit(False).alias("home"))), lambda x: ~F.col("home") | (x["i"] < chunk))
+        placed = many.withColumn("p", F.explode(F.concat(F.coalesce(stands, F.array().cast("array<struct<i:int,j:int,home:boolean>>")), visits)))
+        dealt = rows.join(crowded, ["label", "width"], "left_anti").select(*rows.columns).withColumns(place(-1, "", True)).unionByName(placed.select(*rows.columns, "block", "cell", "p.home", "p.i", "p.j"))
+    found = dealt.withColumn("diagonal", F.col("i") == F.col("j")).groupBy("label", "width", "block", "cell", "i", "j").applyInPandas(_compare(blocks, budget, threshold), "node long, links long, other long")
     found = materialize(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("class", "node")

@@ -20,7 +20,7 @@ def test_matches_brute_force(spark, sf):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found.collect())
 
 
-@pytest.mark.parametrize("axes,cell", [(2, 4096), (1, 9)])
+@pytest.mark.parametrize("axes,cell", [(2, 8192), (2, 30), (1, 9), (3, 60)])
 def test_dense_groups_near_the_threshold(spark, monkeypatch, axes, cell):
     monkeypatch.setattr(embedding, "CELL", cell)
     rng = np.random.default_rng(5)
@@ -34,6 +34,14 @@ def test_dense_groups_near_the_threshold(spark, monkeypatch, axes, cell):
 
 def test_odd_rows(spark):
     rows = [(1, 1, None), (2, 1, []), (3, 1, [0.0, 0.0]), (4, 1, [1.0, None]), (5, 1, [math.nan, 1.0]), (6, 1, [math.inf, 1.0]), (7, None, [1.0, 0.0]), (8, 1, [1.0, 0.0]), (9, 1, [2.0, 0.0]), (10, 1, [-0.0, 1.0]), (11, 1, [0.0, 1.0]), (12, 2, [0.0, 1.0]), (13, 1, [0.0, 1.0, 0.0])]
-    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<float>, n string")
-    assert got(embedding.near_vectors(table)) == vector_links(rows)
+    rows += [(14, 3, [1e300, 2e300]), (15, 3, [1e-300, 2e-300]), (16, 3, [1.7e308, -1.7e308])]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<double>, n string")
+    want = vector_links(rows[:-3]) | {14: (1, 14), 15: (1, 14), 16: (0, 16)}
+    assert got(embedding.near_vectors(table)) == want
     assert embedding.near_vectors(table.where("vec_id < 0")).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [0.0, 1.0]), (None, 1, [1.0, 0.0]), (3, 1, [1.0, 0.01])]
+    found = embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in found), key=str) == [(0, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
