@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,10 +12,21 @@ from pyspark.sql import SparkSession
 _OWN: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in spark.checkpoint.dir; where that is unset, in the warehouse, or in local tests in a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, one process alone (tests) takes a temporary folder, which goes when it ends;
+    a cluster has no folder that all its machines see then, and none is guessed."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local"):
-        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="jobgrain-"))
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/jobgrain/{tag}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="jobgrain-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/jobgrain/{tag}-{uuid.uuid4().hex}"
