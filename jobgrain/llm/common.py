@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobgrain.functions.scratch import shared_folder
+
 #: The bytes that separate words (space and 0x09-0x0D). bytes.split() splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Fixed value: a word, as a pattern.
@@ -15,17 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes that continue a character in UTF-8; the others each begin one.
 CONTINUATION = bytes(range(0x80, 0xC0))
 
-_OWN_DIRS: dict[str, str] = {}
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (see functions.scratch)."""
+    return shared_folder(spark)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests in one process) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return _OWN_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="jobgrain-"))
+def file_of(docs: DataFrame) -> Column:
+    """The file that a row is read from, which parts equal rows however a scan is split; a constant where rows come from several."""
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:  # a join: no one file
+        return F.lit("")
+    return F.input_file_name()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -48,8 +51,25 @@ def discard(df: DataFrame) -> None:
 
 
 def count_words(text: Column) -> Column:
-    """Words in a text (null: 0): spaces before a non-space, plus one when it begins with a non-space."""
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")) - F.when(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "") == "", 1).otherwise(0)).cast("long")
+    """Words in a text (null: 0): the pieces between runs of space, less an empty one at either end. In linear time."""
+    blank = lambda c: c.rlike(r"[\x20\x09-\x0D]").cast("int")
+    pieces = F.size(F.split(text, r"[\x20\x09-\x0D]+")) - blank(F.substring(text, 1, 1)) - blank(F.substring(text, -1, 1))
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(pieces).cast("long")
+
+
+def numbered(df: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """Adds nth: each row's number from 0 among those of equal keys, in the order of `row`, a monotonically increasing id.
+
+    Rows are numbered within the partition that gave the id, after the counts of the partitions before, so no window
+    holds more than a partition's rows of a key.
+    """
+    part = F.shiftright(row, 33)
+    inside = df.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(row)) - 1)
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, part.alias("part")).agg(F.count("*").alias("m")).withColumn("ahead", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m")
+    counts = counts.select(*(F.col(c).alias(f"key_{c}") for c in keys), F.col("part").alias("key_part"), "ahead")
+    met = inside.join(counts, [F.col(c).eqNullSafe(F.col(f"key_{c}")) for c in (*keys, "part")])
+    return met.withColumn("nth", F.col("nth") + F.col("ahead")).select(*df.columns, "nth")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -10,16 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import materialize
+from jobgrain.llm.common import file_of, materialize
 from jobgrain.llm.exchange import bucket_of, merge, receive, receive_values, send, send_values
 
 #: Bytes of text that one batch holds, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 #: Key of the end of a document, and of the place before its first word, fixed numbers unlike any hash of a word's bytes.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def held_out(doc_id) -> bool:
+def held_out(doc_id: str | None) -> bool:
+    """doc_id: the id as text; a null one counts as the text 'None'."""
     return zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
@@ -92,25 +93,67 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"batch": [b for b, _ in out], "bucket": rows["bucket"], "data": [d for _, d in out], "tokens": [tokens] + [0] * (len(out) - 1), "types": [types] + [0] * (len(out) - 1)})
 
 
-def traverse(counts: list[np.ndarray], place: np.ndarray, starts: float, tokens: int, types: int, strength: float) -> np.ndarray:
-    """log10 probability of each token as the automaton reads from left to right.
+class Automaton:
+    """The model as far as the texts of one batch can reach it: numbered states joined by arcs and failure arcs.
 
-    States are the contexts seen in training. In the state of context h an arc for word w has the weight of the
-    smoothed estimate (c(hw) + strength * p(w | shorter h)) / (c(h) + strength). Where h has no arc for w, the failure arc,
-    of weight strength / (c(h) + strength), leads to the state of the context without its first word; an unseen context has
-    weight one there. The root's arcs are c(w) / (tokens + types), and types / (tokens + types) for any unknown word.
-    Written level by level for all positions at once: p is the sum over the path, as the arcs hold the shorter estimates.
+    Every n-gram of the batch has a number. As a context h it is a state, if training has seen it; two more states are the
+    root (no context) and the start of a document. In state h the arc of word w is the n-gram hw, if training has seen it;
+    its weight is the smoothed estimate (c(hw) + strength * p(w | shorter h)) / (c(h) + strength), and it leads to the
+    longest state that ends in hw. Where h has no arc for w, the failure arc of weight strength / (c(h) + strength) leads to
+    the state of h without its first word. The root's arcs are c(w) / (tokens + types), and types / (tokens + types) for
+    any unknown word, which lead to the word's state and back to the root. Weights are log10; one above zero says no arc.
     """
-    total = max(1, tokens + types)
-    p = np.where(counts[0] > 0, counts[0] / total, max(1, types) / total)
-    for k in range(1, len(counts)):
-        context = np.roll(counts[k - 1], 1).astype(np.float64)
-        context[place == 0] = starts if k == 1 else 0
-        if k > 1:
-            context[place < k - 1] = 0  # no such context so near the start: the failure arc is free
-        arc = (counts[k] + strength * p) / (context + strength)
-        p = np.where(context > 0, arc, p)
-    return np.log10(p)
+
+    def __init__(self, counts: np.ndarray, at: list[np.ndarray], place: np.ndarray, starts: float, tokens: int, types: int, strength: float):
+        """counts: of each n-gram in training; at[k]: the (k+1)-gram that ends at each place; place: within its document."""
+        n, order, total = len(counts), len(at), max(1, tokens + types)
+        self.root, self.begin = n, n + 1
+        self.at, self.order = at, order
+        self.first = self.begin if starts and order > 1 else self.root
+        seen = counts > 0
+        p = np.where(seen, counts / total, max(1, types) / total)
+        fail, length = np.full(n + 2, n, np.int32), np.zeros(n + 2, np.int8)
+        length[self.begin] = 1
+        fallback = np.zeros(n + 2)
+        fallback[self.begin] = np.log10(strength / (starts + strength))
+        length[at[0][seen[at[0]]]] = min(1, order - 1)
+        for k in range(1, order):
+            there = np.flatnonzero(place >= k - 1)  # with a context of k words, or of the start and k - 1
+            grams = at[k][there]
+            context = np.full(len(there), float(starts))
+            inner = place[there] > 0
+            context[inner] = counts[at[k - 1][there[inner] - 1]]
+            fail[grams] = at[k - 1][there]
+            p[grams] = np.where(context > 0, (counts[grams] + strength * p[fail[grams]]) / (context + strength), p[fail[grams]])
+            length[grams] = np.where(seen[grams], min(k + 1, order - 1), 0)
+        fallback[:n] = np.log10(strength / (counts + strength))
+        target = np.arange(n, dtype=np.int32)
+        if order > 1:  # n-grams of full length are no contexts: their arcs lead to what follows their first word
+            target[at[-1]] = fail[at[-1]]
+        else:
+            target[:] = self.root
+        target[~seen] = self.root
+        weight = np.log10(p)
+        for k in range(1, order):
+            weight[at[k][~seen[at[k]]]] = 1.0
+        self.weight, self.fail, self.fallback, self.target, self.length = map(memoryview, (weight, fail, fallback, target, length))
+
+    def score(self, begin: int, end: int) -> float:
+        """log10 probability of the tokens at some places, which are one document: one walk from left to right."""
+        weight, fail, fallback, target, length = self.weight, self.fail, self.fallback, self.target, self.length
+        arcs = [a[begin:end].tolist() for a in self.at]
+        state, total = self.first, 0.0
+        for i in range(end - begin):
+            k = length[state]
+            arc = arcs[k][i]
+            while weight[arc] > 0:
+                total += fallback[state]
+                state = fail[state]
+                k = length[state]
+                arc = arcs[k][i]
+            total += weight[arc]
+            state = target[arc]
+        return total
 
 
 def _score(order: int, buckets: int, tokens: int, types: int, strength: float):
@@ -119,25 +162,23 @@ def _score(order: int, buckets: int, tokens: int, types: int, strength: float):
             return pd.DataFrame({"id": [], "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
         rows = rows.sort_values(["id", "text"], kind="stable", na_position="first")
         b = Batch(rows["id"], rows["text"], order)
-        at = b.requests()[2]
+        keys, _, at = b.requests()
         total = np.concatenate([receive_values(d) for d in replies.sort_values("bucket")["data"]])
-        counts = [total[i] for i in at]
+        if len(total) != len(keys):
+            raise RuntimeError("the documents were dealt differently the second time: write them to a table first")
+        unigrams = total[at[0]]
         sums = lambda x: np.add.reduceat(x, b.first)
-        starts = tokens_of_end(counts[0], b)
-        base = np.log10((counts[0] + 0.1) / (tokens + 0.1 * (types + 1)))
-        logs = traverse(counts, b.place, starts, tokens, types, strength)
-        return pd.DataFrame({"id": rows["id"], "held_out": [held_out(i) for i in rows["id"]], "n_tokens": b.lengths, "n_known": sums((counts[0] > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base), "score": sums(logs)})
+        starts = float(unigrams[b.first[0] + b.lengths[0] - 1])  # as many documents start as end
+        base = np.log10((unigrams + 0.1) / (tokens + 0.1 * (types + 1)))
+        model = Automaton(total, at, b.place, starts, tokens, types, strength)
+        logs = [model.score(i, i + n) for i, n in zip(b.first.tolist(), b.lengths.tolist(), strict=True)]
+        return pd.DataFrame({"id": rows["id"], "held_out": [held_out(i) for i in rows["id"]], "n_tokens": b.lengths, "n_known": sums((unigrams > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base), "score": logs})
 
     return score
 
 
-def tokens_of_end(unigrams: np.ndarray, b: Batch) -> float:
-    """How many documents the model has seen start: as many as it has seen end."""
-    return float(unigrams[b.first[0] + b.lengths[0] - 1])
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, strength: float = 100.0) -> DataFrame:
-    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (see traverse).
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 100.0) -> DataFrame:
+    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (see Automaton).
 
     Learns n-grams up to `order` from the documents that are not held out (crc32 of the id as text is not divisible by
     10) and scores every whole text. The state after each token is the longest seen context, so order 2 keeps the last word.
@@ -145,16 +186,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     around 100 to 300. Tokens are words in lower-case A-Z and one end. Null texts are empty; a null id counts as the text 'None' in the
     choice of held-out rows; repeated rows count each; an empty table gives no rows; other columns are ignored.
 
-    Documents are dealt to batches of bounded size by a hash; n-gram counts meet in buckets by key (see exchange), so
+    Documents are dealt to batches of bounded size by a hash of id, text and file, twice, so docs must read the same rows
+    from the same files again; n-gram counts meet in buckets by key (see exchange), so
     both work and memory follow the input and no table of the model goes to any one place.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), file_of(docs).alias("file"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
     buckets = max(1, -(-batches // 2))
-    dealt = slim.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
+    dealt = slim.withColumn("batch", F.pmod(F.xxhash64("id", "text", "file"), F.lit(batches)).cast("int")).drop("file")
     requests = dealt.groupBy("batch").applyInPandas(_request(order, buckets), "batch int, bucket int, data binary")
     replies = materialize(requests.groupBy("bucket").applyInPandas(_answer, "batch int, bucket int, data binary, tokens long, types long"), "ngrams")
     tokens, types = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     kind = docs.schema[id_col].dataType.simpleString()
-    return dealt.groupBy("batch").cogroup(replies.select("batch", "bucket", "data").groupBy("batch")).applyInPandas(_score(order, buckets, tokens, types, strength), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = dealt.groupBy("batch").cogroup(replies.select("batch", "bucket", "data").groupBy("batch")).applyInPandas(_score(order, buckets, tokens, types, strength), "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("id", F.col("id").cast(kind))
