@@ -3,7 +3,10 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from jobgrain.llm import chat, mixing, quality
+from jobgrain.llm.common import count_words
 from jobgrain.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -66,12 +69,48 @@ def test_mix_of_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)
+    docs = docs.withColumnsRenamed({"size": "mix_rows"}).withColumn("h", docs["doc_id"]).withColumn("copies", docs["doc_id"]).withColumn("nth", docs["doc_id"])
     again = mixing.repeat_documents(docs)
     assert again.columns == docs.columns and again.count() == sum(r.copies for r in got)
     assert mixing.mix_sources(docs.where("doc_id < 0")).count() == 0
     assert mixing.repeat_documents(docs.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("together", [10_000, 7])
+def test_copies_restated(spark, monkeypatch, together):
+    """Copies of each document by the rule: sizes from large to small make up for what is left over, ranks go by hash."""
+    monkeypatch.setattr(mixing, "RANKED_TOGETHER", together)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), " ".join(["w"] * int(rng.integers(0, 12))), ["a", "b", "c", None][int(rng.integers(0, 4))]) for i in range(300)] + [(7, "same text here", "a")] * 200
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    for held in by.values():
+        target, size = held[0].target, held[0].source_size
+        assert size == sum(r.size for r in held)
+        sizes, n = np.unique([r.size for r in held], return_counts=True)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if (np.minimum(3, np.exp(tilt * sizes)) * sizes * n).sum() < target else (low, tilt)
+        due, total = 0.0, {}
+        for z, m, rate in sorted(zip(sizes.tolist(), n.tolist(), np.minimum(3, np.exp(low * sizes)).tolist(), strict=True), reverse=True):
+            due += rate * m * z
+            total[z] = int(np.clip(np.floor(due / z + 0.5), 0, 3 * m)) if z else 0
+            due -= total[z] * z
+        for z, k in total.items():
+            mine = sorted(r.copies for r in held if r.size == z)
+            assert sum(mine) == k and mine[-1] - mine[0] <= 1
+    assert sorted(got, key=str) == sorted(mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect(), key=str)
+
+
+def test_words_are_counted_in_linear_time(spark):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", " a  b\nc ", "\x1ca\x85b", "a" + " " * 1_000_000 + "b", " " * 1_000_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", count_words(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [len((t or "").encode().split()) for t in texts]
+
+
 def test_preference_pairs(spark):
     turns = [("p", "chosen", 0, "user", "hi"), ("p", "chosen", 1, "assistant", "yo"), ("p", "rejected", 0, "user", "hi"), ("p", "rejected", 1, "assistant", "no"), ("p", "rejected", 2, "user", None),
              ("q", "chosen", 0, "user", "a"), ("q", "rejected", 0, "user", "a"), ("r", "chosen", 0, None, "x"), (None, "chosen", 1, "assistant", "z"), (None, "rejected", None, "assistant", "z"), ("p", "other", 0, "user", "?")]
