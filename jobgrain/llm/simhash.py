@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.llm.common import connected_components, materialize
@@ -35,15 +37,16 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """id_col, fp (the 64 bits as a signed long) for every whole text; a null text counts as empty."""
+    """id, h (a hash of id and text), fp (the 64 bits as a signed long) for every whole text; a null text counts as empty."""
 
     def batches(it):
         for b in it:
-            fp = np.array([fingerprint(x or b"", width) for x in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = np.array([fingerprint(x or b"", width) for x in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
 
-    slim = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("binary").alias("text_bytes"))
-    return slim.mapInArrow(batches, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    of = lambda c: F.col(f"`{c}`")
+    slim = docs.select(of(id_col).alias("id"), F.xxhash64(of(id_col), of(text_col)).alias("h"), of(text_col).cast("binary").alias("text_bytes"))
+    return slim.mapInArrow(batches, f"id {docs.schema[id_col].dataType.simpleString()}, h long, fp long")
 
 
 def segment_bounds(radius: int, segments: int) -> list[tuple[int, int]]:
@@ -84,28 +87,35 @@ def _links(radius: int):
     return link
 
 
+def _ball(segment: int, value: Column, flips: list[int]) -> Column:
+    """The cells to look up around a segment's value: flips whose lowest bit goes from 0 to 1."""
+    upward = F.filter(F.array(*(F.lit(m).cast("long") for m in flips)), lambda m: value.bitwiseAND(m).bitwiseAND(-m) == 0)
+    return F.transform(upward, lambda m: F.struct(F.lit(segment).alias("seg"), value.bitwiseXOR(m).alias("value"), F.lit(False).alias("home")))
+
+
 def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """prints (fp, node: one row a distinct fingerprint) -> links a, b between nodes whose components are those of all
     pairs within `radius` bits. Exact; a forest of each bucket's links stands for all of them.
 
     Each fingerprint is stored in one table cell a segment, and looks up the cells of the small Hamming ball around its
-    segment: with 3 segments and 4 bits some segment differs by at most one bit, so the ball has one flip of each bit.
-    Two neighbours would find each other twice, so only 0 -> 1 flips are looked up. Cells are dealt to tasks by hash; a
+    segment: with 3 segments and 4 bits some segment differs by at most one bit, so the ball has one flip of each bit; with
+    2 segments, whose cells hold 2 ** 11 times fewer of a large corpus, it has two. Two neighbours would find each other
+    twice, so only flips whose lowest bit goes from 0 to 1 are looked up. Cells are dealt to tasks by hash; a
     cell that very many share is cut into chunks, and each pair of chunks is a cell of its own.
     """
-    if radius // segments > 1:
-        raise ValueError("more than one flip a segment: take more segments")
-    homes, looks = [], []
+    homes, looks, width = [], [], segments
     for s, (low, bits) in enumerate(segment_bounds(radius, segments)):
         value = F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1)
         homes.append(F.struct(F.lit(s).alias("seg"), value.alias("value"), F.lit(True).alias("home")))
-        if radius >= segments:
-            looks += [F.when(F.shiftrightunsigned("fp", low + i).bitwiseAND(1) == 0, F.struct(F.lit(s).alias("seg"), (value + (1 << i)).alias("value"), F.lit(False).alias("home"))) for i in range(bits)]
+        flips = [sum(1 << i for i in chosen) for k in range(1, radius // segments + 1) for chosen in combinations(range(bits), k)]
+        if flips:
+            width += len(flips) // 2
+            looks.append(_ball(s, value, flips))
     prints = prints.select("fp", "node")
     hot = prints.select(F.explode(F.array(*homes)).alias("c")).groupBy("c.seg", "c.value").agg(F.count("*").alias("n")).where(f"n > {CELL}")
     hot = materialize(hot.select("seg", "value", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), "cells")
-    placed = prints.select("fp", "node", F.explode(F.filter(F.array(*homes, *looks), lambda x: x.isNotNull())).alias("c")).select("fp", "node", "c.*")
-    n = max(1, prints.count() * (segments + 32 * (radius >= segments)) // TASK_ROWS)
+    placed = prints.select("fp", "node", F.explode(F.concat(F.array(*homes), *looks)).alias("c")).select("fp", "node", "c.*")
+    n = max(1, prints.count() * width // TASK_ROWS)
     if hot.isEmpty():
         tasks = placed.select("fp", "node", "home", F.xxhash64("seg", "value").alias("cell"))
     else:
@@ -119,27 +129,40 @@ def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 3) -> Data
     return tasks.groupBy(F.pmod("cell", F.lit(n)).alias("task")).applyInPandas(_links(radius), "a long, b long")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, segments: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """prints: id, h, fp of each document; classes: fp, group of each fingerprint, where group is the smallest that links reach."""
+    prints = materialize(fingerprints(docs, id_col, text_col, width), "prints")
+    classes = materialize(prints.select("fp").distinct(), "classes")
+    joined = connected_components(hamming_links(classes.withColumn("node", F.col("fp")), radius, segments))
+    return prints, materialize(classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")), "groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, segments: int = 3, width: int = 4) -> DataFrame:
     """One row a document: id_col, fp, component_id (the smallest id that links of `radius` bits or fewer reach).
 
-    Documents with one fingerprint are one class, represented by its smallest id, so groups of copies of any size cost
-    one row; links are sought between classes, and each document takes its class's component. Texts without words have
-    fingerprint zero and link like any other. Null ids take part as the largest; a class of null ids alone has a null
-    component. Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    Documents with one fingerprint are one class, so groups of copies of any size cost one row; links are sought between
+    classes, and each document takes the smallest id of the classes that its own reaches. Texts without words have
+    fingerprint zero and link like any other. Null ids take part as the largest; where there are no others, component_id
+    is null. Ids may be of any type that has an order. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, width), "prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("node")), "classes")
-    edges = hamming_links(classes.where("node IS NOT NULL"), radius, segments)
-    joined = connected_components(edges)
-    resolved = classes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(resolved, "fp").select(id_col, "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; rows that repeat an id are copies and one of them
-    stays; rows with a null id stay as they are."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("near_rows"))
-    met = docs.join(keep, id_col).select(*(F.col(f"`{c}`") for c in docs.columns), "near_rows")
-    once, again = met.where("near_rows = 1").drop("near_rows"), met.where("near_rows > 1").drop("near_rows").dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    prints, classes = _classes(docs, id_col, text_col, radius, segments, width)
+    least = prints.groupBy("fp").agg(F.min("id").alias("least")).join(classes, "fp")
+    named = classes.join(least.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "component_id")
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, segments: int = 3, width: int = 4) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest id, a null id being the largest; among
+    texts that share the id the one with the smallest hash; of identical rows one. All columns stay, whatever their
+    names; a null text is empty; an empty table gives no rows."""
+    of = lambda c: F.col(f"`{c}`")
+    prints, classes = _classes(docs, id_col, text_col, radius, segments, width)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first")).join(classes, "fp")
+    stay = first.groupBy("group").agg(F.min("first").alias("first")).select("first.id", "first.h")
+    held = docs.select(F.struct(*map(of, docs.columns)).alias("doc"), of(id_col).alias("own"), F.xxhash64(of(id_col), of(text_col)).alias("own_h"))
+    many = prints.groupBy("id", "h").agg(F.count("*").alias("n"))
+    stay = stay.join(many, stay["h"].eqNullSafe(many["h"]) & stay["id"].eqNullSafe(many["id"])).select(stay["id"], stay["h"], "n")
+    met = held.join(stay, held["own_h"].eqNullSafe(stay["h"]) & held["own"].eqNullSafe(stay["id"]))
+    once, again = met.where("n = 1"), met.where("n > 1").dropDuplicates(["own", "own_h"])
+    return once.select("doc.*").unionByName(again.select("doc.*"))
