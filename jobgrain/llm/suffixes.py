@@ -7,8 +7,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from jobgrain.llm.common import materialize
+from jobgrain.llm.common import file_of, materialize
 from jobgrain.llm.exchange import bucket_of, merge, receive, receive_values, send, send_values
 
 #: Bytes of text that one batch holds, about.
@@ -17,7 +18,10 @@ BATCH_BYTES = 6 << 20
 KEY_WORDS = 16
 #: Fixed odd number whose powers weigh the words of a window.
 BASE = 0x9E3779B97F4A7C15
+#: Stands for a null id, so that ids stay integers in a task; it is the largest.
 NOBODY = np.iinfo(np.int64).max
+#: Who holds a window first: the id, then a hash of the row, which parts rows that share an id.
+OWNER = np.dtype([("id", "<i8"), ("row", "<i8")])
 
 
 def _scan(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -94,7 +98,7 @@ def _ask_suffixes(passage: int, buckets: int):
 def _parcels(batch, buckets: int, keys: np.ndarray, counts: np.ndarray, owners: np.ndarray | None = None) -> pd.DataFrame:
     cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     parts = [(p, i, j) for p, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
-    return pd.DataFrame({"batch": [batch] * len(parts), "bucket": [p for p, _, _ in parts], "data": [send(keys[i:j], np.minimum(counts[i:j], 2)) for _, i, j in parts], "owners": [owners[i:j].astype("<i8").tobytes() if owners is not None else None for _, i, j in parts]})
+    return pd.DataFrame({"batch": [batch] * len(parts), "bucket": [p for p, _, _ in parts], "data": [send(keys[i:j], np.minimum(counts[i:j], 2)) for _, i, j in parts], "owners": [owners[i:j].tobytes() if owners is not None else None for _, i, j in parts]})
 
 
 def _neighbours(rows: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +109,13 @@ def _neighbours(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _order(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(["id", "text"], kind="stable", na_position="last")
+    return rows.sort_values(["id", "h", "text"], kind="stable")
+
+
+def _owners(rows: pd.DataFrame, doc: np.ndarray) -> np.ndarray:
+    out = np.empty(len(doc), OWNER)
+    out["id"], out["row"] = rows["id"].to_numpy(np.int64)[doc], rows["h"].to_numpy(np.int64)[doc]
+    return out
 
 
 def _candidates(rows: pd.DataFrame, replies: pd.DataFrame, passage: int):
@@ -115,6 +125,8 @@ def _candidates(rows: pd.DataFrame, replies: pd.DataFrame, passage: int):
     keys = np.unique(keys)
     replies = replies.sort_values("bucket")
     shared = np.concatenate([receive_values(d) for d in replies["data"]]).astype(bool) if len(replies) else np.zeros(0, bool)
+    if len(shared) != len(keys):
+        raise RuntimeError("the documents were dealt differently the second time: write them to a table first")
     at = np.flatnonzero(b.window)
     at = at[shared[np.searchsorted(keys, selected)]] if len(at) else at
     return b, at, b.hashed(passage)[at]
@@ -128,7 +140,7 @@ def _extend(passage: int, buckets: int):
             return pd.DataFrame({"batch": [], "bucket": [], "data": [], "owners": []})
         rows = _order(rows)
         b, at, windows = _candidates(rows, replies, passage)
-        owner = rows["id"].fillna(NOBODY).to_numpy(np.int64)[b.doc[at]]
+        owner = _owners(rows, b.doc[at])
         keys, first, counts = np.unique(windows, return_index=True, return_counts=True)  # rows go by id, so the first is the least
         return _parcels(rows["batch"].iloc[0], buckets, keys, counts, owner[first])
 
@@ -139,12 +151,14 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     """One bucket of windows: for each batch, which of its windows occur twice or more, and the least id that holds them."""
     sent = [receive(d) for d in rows["data"]]
     keys, total = merge(sent)
-    owner = np.full(len(keys), NOBODY)
+    owner = np.full(len(keys), NOBODY, OWNER)
     places = [np.searchsorted(keys, k) for k, _ in sent]
     for at, own in zip(places, rows["owners"], strict=True):
-        owner[at] = np.minimum(owner[at], np.frombuffer(own, "<i8"))
+        new, old = np.frombuffer(own, OWNER), owner[at]
+        less = (new["id"] < old["id"]) | (new["id"] == old["id"]) & (new["row"] < old["row"])
+        owner[at[less]] = new[less]
     twice = [total[at] > 1 for at in places]
-    return pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "stage": 2, "data": [send_values(t.astype(np.int64)) for t in twice], "owners": [owner[at][t].astype("<i8").tobytes() for at, t in zip(places, twice, strict=True)]})
+    return pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "stage": 2, "data": [send_values(t.astype(np.int64)) for t in twice], "owners": [owner[at][t].tobytes() for at, t in zip(places, twice, strict=True)]})
 
 
 def _found(passage: int, finish, columns: list[str]):
@@ -156,10 +170,10 @@ def _found(passage: int, finish, columns: list[str]):
         keys, where = np.unique(windows, return_inverse=True)
         second = replies[replies["stage"] == 2].sort_values("bucket")
         twice = np.concatenate([receive_values(d) for d in second["data"]]).astype(bool) if len(second) else np.zeros(0, bool)
-        owner = np.full(len(keys), NOBODY)
-        owner[twice] = np.concatenate([np.frombuffer(d, "<i8") for d in second["owners"]]) if len(second) else owner[twice]
+        owner = np.full(len(keys), NOBODY, OWNER)
+        owner[twice] = np.concatenate([np.frombuffer(d, OWNER) for d in second["owners"]]) if len(second) else owner[twice]
         hit = twice[where] if len(where) else np.zeros(0, bool)
-        return finish(rows, b, at[hit], windows[hit], owner[where[hit]] if len(where) else np.zeros(0, np.int64))
+        return finish(rows, b, at[hit], windows[hit], owner[where[hit]] if len(where) else np.zeros(0, OWNER))
 
     return find
 
@@ -169,7 +183,7 @@ def _spans(passage: int):
         begins = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(b.doc[at]) > 0)]) if len(at) else np.zeros(0, np.int64)
         ends = np.r_[begins[1:], len(at)][: len(begins)] - 1
         doc = b.doc[at[begins]]
-        least = np.minimum.reduceat(owner, begins) if len(at) else owner
+        least = np.minimum.reduceat(owner["id"], begins) if len(at) else owner["id"]
         return pd.DataFrame({"id": rows["id"].to_numpy()[doc], "start_word": at[begins] - b.first[doc], "end_word": at[ends] + passage - b.first[doc], "first_id": least})
 
     return spans
@@ -177,9 +191,9 @@ def _spans(passage: int):
 
 def _without(passage: int):
     def without(rows, b: Batch, at, windows, owner) -> pd.DataFrame:
-        ids = rows["id"].fillna(NOBODY).to_numpy(np.int64)[b.doc[at]]
-        seen = pd.DataFrame({"doc": ids, "w": windows}).duplicated().to_numpy()
-        extra = at[(owner != ids) | seen]
+        mine = _owners(rows, b.doc[at])
+        seen = pd.DataFrame({"id": mine["id"], "row": mine["row"], "w": windows}).duplicated().to_numpy()
+        extra = at[(owner != mine) | seen]
         gone = np.zeros(len(b.words) + 1, np.int64)
         np.add.at(gone, extra, 1)
         np.add.at(gone, extra + passage, -1)
@@ -209,7 +223,7 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
 def _both_stages(dealt: DataFrame, passage: int, buckets: int) -> DataFrame:
     """What the buckets reply to each batch: shared suffixes, then repeated windows."""
     parcel, reply = "batch int, bucket int, data binary, owners binary", "batch int, bucket int, stage int, data binary, owners binary"
-    slim = dealt.select("id", "text", "batch")
+    slim = dealt.select("id", "h", "text", "batch")
     asked = slim.groupBy("batch").applyInPandas(_ask_suffixes(passage, buckets), parcel)
     suffixes = materialize(asked.groupBy("bucket").applyInPandas(_neighbours, reply), "suffixes")
     extended = slim.groupBy("batch").cogroup(suffixes.select("batch", "bucket", "data").groupBy("batch")).applyInPandas(_extend(passage, buckets), parcel)
@@ -217,10 +231,14 @@ def _both_stages(dealt: DataFrame, passage: int, buckets: int) -> DataFrame:
     return suffixes.unionByName(windows)
 
 
-def _deal(slim: DataFrame) -> tuple[DataFrame, int]:
+def _deal(docs: DataFrame, id_col: str, text_col: str, *others) -> tuple[DataFrame, int]:
+    """id, h, text and others of each document with its batch, and how many buckets there are. Equal rows of one file share h
+    and so their batch; those of other files may be elsewhere."""
+    of = lambda c: F.col(f"`{c}`")
+    slim = docs.select(F.coalesce(of(id_col).cast("long"), F.lit(NOBODY)).alias("id"), F.coalesce(of(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(of(id_col), of(text_col), file_of(docs)).alias("h"), *others)
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
-    return slim.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int")), max(1, -(-batches // 4))
+    return slim.withColumn("batch", F.pmod("h", F.lit(batches)).cast("int")), max(1, -(-batches // 4))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 50) -> DataFrame:
@@ -234,27 +252,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole, and runs of repeated windows join up to spans. Every key travels once a batch with a count, so a passage that
     very many documents hold is no larger for a bucket than any other.
 
-    Words are [^\\x20\\x09-\\x0D]+, compared exactly. Ids must be integers; null ids count as the largest. A null text is
-    empty; texts shorter than a passage have none; repeated rows repeat each other; an empty table gives no rows.
+    Words are [^\\x20\\x09-\\x0D]+, compared exactly. Ids must be integers; null ids count as the largest, and first_id is null
+    where they alone hold the run. A null text is empty; texts shorter than a passage have none; repeated rows repeat
+    each other; other columns are ignored; an empty table gives no rows.
     """
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    dealt, buckets = _deal(slim)
+    dealt, buckets = _deal(docs, id_col, text_col)
     replies = _both_stages(dealt, passage, buckets)
     columns = ["id", "start_word", "end_word", "first_id"]
-    return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_found(passage, _spans(passage), columns), "id long, start_word long, end_word long, first_id long")
+    found = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_found(passage, _spans(passage), columns), "id long, start_word long, end_word long, first_id long")
+    return found.withColumns({c: F.nullif(c, F.lit(NOBODY)) for c in ("id", "first_id")})
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", passage: int = 50, least_left: int = 1) -> DataFrame:
     """docs with repeated passages cut out of all texts but one: the least id that holds a window keeps it, at its first
-    place. Documents left with fewer than least_left words by a cut are dropped; others keep all columns, with chars_col recounted.
+    place; a null id is the largest, and of several rows of one id one row keeps it. Documents left with fewer than
+    least_left words by a cut are dropped; others keep all columns, whatever their names, with chars_col recounted. A null
+    text stays null, texts without repeats stay as they are, an empty table gives no rows.
     """
     others = [c for c in docs.columns if c != text_col]
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others), F.col(f"`{text_col}`").isNull().alias("no_text")).alias("row"))
-    dealt, buckets = _deal(slim)
+    row = F.struct(F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"), F.col(f"`{text_col}`").isNull().alias("no_text")).alias("row")
+    dealt, buckets = _deal(docs, id_col, text_col, row)
     replies = _both_stages(dealt, passage, buckets)
-    cut = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_found(passage, _without(passage), ["row", "text", "n_words", "n_gone"]), f"row {slim.schema['row'].dataType.simpleString()}, text binary, n_words long, n_gone long")
+    cut = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_found(passage, _without(passage), ["row", "text", "n_words", "n_gone"]), StructType([dealt.schema["row"], dealt.schema["text"], StructField("n_words", LongType()), StructField("n_gone", LongType())]))
     kept = cut.where(f"n_gone = 0 OR n_words - n_gone >= {least_left}")
     text = F.when(F.col("row.no_text"), F.lit(None)).otherwise(F.col("text").cast("string"))
     kept = kept.withColumn("text_now", text)
-    columns = [F.col("text_now").alias(c) if c == text_col else F.when(F.col("n_gone") > 0, F.length("text_now")).otherwise(F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    columns = [F.col("text_now").alias(c) if c == text_col else F.when(F.col("n_gone") > 0, F.length("text_now")).otherwise(F.col(f"row.doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"row.doc.`{c}`").alias(c) for c in docs.columns]
     return kept.select(*columns)

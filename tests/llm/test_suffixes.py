@@ -73,3 +73,21 @@ def test_cut_keeps_the_rest():
 
     assert suffixes._cut(b"  a b\n c d  e ", np.array([0, 1, 1, 0, 0], bool)) == b"a d  e"
     assert suffixes._cut(b"a b ", np.array([0, 0], bool)) == b"a b "
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 300)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(9007199254740993, words + " x"), (None, words), (None, words + " y"), (9007199254740995, "z " + words)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, no_text int, n_chars long").repartition(3)
+    found = sorted(((r.id or 0, r.start_word, r.end_word, r.first_id) for r in suffixes.repeated_passages(docs).collect()))
+    first = 9007199254740993
+    assert found == [(0, 0, 60, first), (0, 0, 60, first), (first, 0, 60, first), (9007199254740995, 1, 61, first)]
+    kept = suffixes.drop_repeats(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.text) for r in kept.collect()) == sorted([words + " x", "y", "z"])
+    alone = docs.where("doc_id IS NULL")
+    assert sorted(len(r.text.split()) for r in suffixes.drop_repeats(alone).collect()) in ([1, 60], [61])
+    assert {r.first_id for r in suffixes.repeated_passages(alone).collect()} == {None}
+    twice = spark.createDataFrame([(5, words, 1), (5, words + " q", 1), (5, words, 1)], "doc_id long, text string, n_chars long")
+    assert sum(r.text.split().count("w3") for r in suffixes.drop_repeats(twice).collect()) == 1
