@@ -1,4 +1,4 @@
-"""Counting 64-bit keys over a whole corpus, and telling each batch of documents the counts of its own keys.
+"""Counting keys of up to 64 bits over a whole corpus, and telling each batch of documents the counts of its own keys.
 
 A batch sends each bucket (a range of keys) its distinct keys, sorted, with its own counts, as one compressed row; a bucket adds
 up the counts of equal neighbours in the merged order and answers every batch in the batch's order. Each key travels
@@ -11,9 +11,9 @@ import numpy as np
 import zstandard
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets split the range of unsigned 64-bit keys evenly, so sorted keys are sorted by bucket."""
-    return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Buckets split the range of unsigned keys of so many bits evenly, so sorted keys are sorted by bucket."""
+    return ((keys >> np.uint64(bits - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def send(keys: np.ndarray, values: np.ndarray) -> bytes:
