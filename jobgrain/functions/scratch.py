@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -27,6 +27,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this application writes in the shared folder."""
+    return f"{shared_folder(spark)}/jobgrain/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written on the way, once no result of it is read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/jobgrain/{tag}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote, once nothing reads it any more."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobgrain.functions.scratch import materialize
 from jobgrain.functions.text import cleaned, job_hash, normalize_company, strip, word_set
 from jobgrain.operators.filters import Keywords, quality_filter
 
@@ -62,25 +63,23 @@ def match_existing_fuzzy(new: DataFrame, existing: DataFrame, basis_points: int
         t, c = cleaned(F.lower("title")), cleaned(normalize_company(F.col("company")))
         return df.select(F.col("job_id").alias("key"), "source", t.alias("t"), c.alias("c"))
 
-    def classes(df: DataFrame) -> DataFrame:
-        return df.select("t", "c").distinct().select("t", "c", word_set(F.col("t")).alias("tw"), word_set(F.col("c")).alias("cw"), F.xxhash64("t", "c").alias("row_key"))
-
     fresh, stored = prepared(new), prepared(_look_back(existing, window_days, as_of))
-    a, b = classes(fresh), classes(stored)
-    every = a.unionByName(b)
-    blocked = []
-    title_n, company_n = (every.select(F.explode(w).alias("word")).groupBy("word").agg(F.count("*").alias("n")) for w in ("tw", "cw"))
-    for side in (a, b):
-        side = _rare_first(_rare_first(side, "tw", title_n), "cw", company_n)
-        side = side.withColumn("kt", F.explode(_prefix(F.col("tw_sorted"), basis_points))).withColumn("kc", F.explode(_prefix(F.col("cw_sorted"), basis_points)))
-        blocked.append(side.select("t", "c", "tw", "cw", "kt", "kc"))
-    left, right = blocked
+    sides = lambda df, a, b: df.select("t", "c", F.lit(a).alias("is_new"), F.lit(b).alias("is_stored"))
+    texts = sides(fresh, True, False).unionByName(sides(stored, False, True)).groupBy("t", "c").agg(F.max("is_new").alias("is_new"), F.max("is_stored").alias("is_stored"))
+    texts = texts.select("*", word_set(F.col("t")).alias("tw"), word_set(F.col("c")).alias("cw"), F.xxhash64("t", "c").alias("row_key"))
+    classes = materialize(texts, "classes")
+    title_n, company_n = (classes.select(F.explode(w).alias("word")).groupBy("word").agg(F.count("*").alias("n")) for w in ("tw", "cw"))
+    blocked = _rare_first(_rare_first(classes, "tw", title_n), "cw", company_n)
+    blocked = blocked.withColumn("kt", F.explode(_prefix(F.col("tw_sorted"), basis_points))).withColumn("kc", F.explode(_prefix(F.col("cw_sorted"), basis_points)))
+    blocked = materialize(blocked.select("t", "c", "tw", "cw", "kt", "kc", "is_new", "is_stored"), "blocked")
+    left, right = blocked.where("is_new"), blocked.where("is_stored")
     right = right.select(F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("tw").alias("tw2"), F.col("cw").alias("cw2"), "kt", "kc")
 
     def alike(x: str, y: str, w: str, v: str) -> Column:
         both = F.size(F.array_intersect(w, v))
         union = F.size(w) + F.size(v) - both
-        return (F.col(x) == F.col(y)) | ((F.size(w) > 0) & (F.size(v) > 0) & (both * 10000 >= union * basis_points))
+        long_enough = F.least(F.size(w), F.size(v)) * 10000 >= F.greatest(F.size(w), F.size(v)) * basis_points
+        return (F.col(x) == F.col(y)) | ((F.size(w) > 0) & (F.size(v) > 0) & long_enough & (both * 10000 >= union * basis_points))
 
     both = F.size(F.array_intersect("tw", "tw2"))
     share = F.when(F.col("t") == F.col("t2"), 1.0).otherwise(both.cast("double") / (F.size("tw") + F.size("tw2") - both))

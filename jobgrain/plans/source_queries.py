@@ -102,7 +102,7 @@ register("page_description", lambda s, d: pages.page_description(table(s, d, "pa
 register("canonical_url", lambda s, d: table(s, d, "pages").select("page_id", pages.canonical_url(F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?://[^/]+", "")).when(F.col("page_id") % 7 == 1, F.lit(None)).otherwise(F.col("url")), "https://board.example", F.col("page_id")).alias("url")),
          r"""WITH u AS (SELECT page_id, split_part(CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^https?://[^/]+', '') WHEN page_id % 7 = 1 THEN NULL ELSE url END, '?', 1) AS p FROM pages)
 SELECT page_id, CASE WHEN p LIKE '/%' THEN 'https://board.example' || p WHEN p IS NULL OR p = '' THEN 'https://board.example/jobs/view/' || page_id ELSE p END AS url FROM u""")
-_MARKED = "CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 50) || ' Must Have ' || substr(text, 51) WHEN 1 THEN text || 'Requirements: x' || chr(10) || ' Basic Qualifications y ' || text WHEN 2 THEN 'a Minimum Qualifications b ' || text || ' Requirements: c' ELSE text END"
+_MARKED = "CASE doc_id % 6 WHEN 0 THEN text || ' Must Have ' || text WHEN 1 THEN text || 'Requirements: x' || chr(10) || ' Basic Qualifications y ' || text WHEN 2 THEN 'a Minimum Qualifications b ' || text || ' Requirements: c' ELSE text END"
 register("split_requirements", lambda s, d: pages.split_requirements(table(s, d, "documents").selectExpr("doc_id", f"{_MARKED} AS text")).select("doc_id", "description", "requirement_text"), "WITH m AS (SELECT doc_id, " + _MARKED + " AS t FROM documents),\nh AS (SELECT *, CASE " + " ".join(f"WHEN contains(t, '{h}') THEN '{h}'" for h in pages.REQUIREMENTS) + r""" END AS h FROM m)
 SELECT doc_id, CASE WHEN h IS NULL THEN t ELSE trim(substr(t, 1, instr(t, h) - 1), ' ' || chr(10) || chr(9)) END AS description, CASE WHEN h IS NOT NULL THEN h || chr(10) || trim(substr(t, instr(t, h) + length(h)), ' ' || chr(10) || chr(9)) END AS requirement_text FROM h""")
 _CRITERIA = ("Seniority level Associate", "Employment type Full-time", "Job function Engineering", "Industries Software", "Contract", "Entry level")
