@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobgrain.functions.scratch import shared_folder
+from jobgrain.functions.scratch import discard, materialize  # noqa: F401  (the other modules take them from here)
 
 #: The bytes that separate words (space and 0x09-0x0D). bytes.split() splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -17,10 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes that continue a character in UTF-8; the others each begin one.
 CONTINUATION = bytes(range(0x80, 0xC0))
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (see functions.scratch)."""
-    return shared_folder(spark)
-
 
 def file_of(docs: DataFrame) -> Column:
     """The file that a row is read from, which parts equal rows however a scan is split; a constant where rows come from several."""
@@ -31,25 +25,6 @@ def file_of(docs: DataFrame) -> Column:
     return F.input_file_name()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/jobgrain/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def count_words(text: Column) -> Column:
     """Words in a text (null: 0): the pieces between runs of space, less an empty one at either end. In linear time."""
     blank = lambda c: c.rlike(r"[\x20\x09-\x0D]").cast("int")

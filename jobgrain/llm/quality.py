@@ -118,9 +118,10 @@ def ablate(ledger: DataFrame, version: str = "v2") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the policy rejects, all columns kept.
+    """docs without the rows that the policy rejects, all columns kept, whatever their names.
 
-    The whole row travels through the measuring step, so that no join is needed.
+    The whole row travels through the measuring step, so that no join is needed. A null or empty text has few words and
+    goes; repeated rows and null ids stay or go like others; an empty table gives no rows.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     ledger = _measured(docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text_bytes")))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobgrain.functions.scratch import scratch
 from jobgrain.llm import chat, embedding, linetext, lm, mixing, packing, quality, simhash, suffixes, token_files
-from jobgrain.llm.common import scratch_dir
+from jobgrain.llm.common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +21,12 @@ def word_tokenizer() -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality.rule_ledger(_table(spark, sf_dir, "documents"))
+    ledger = materialize(quality.rule_ledger(_table(spark, sf_dir, "documents")), "ledger")
     return quality.apply_policy(ledger).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
 def op1_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ablate(quality.rule_ledger(_table(spark, sf_dir, "documents")))
+    return quality.ablate(materialize(quality.rule_ledger(_table(spark, sf_dir, "documents")), "ledger"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/jobgrain/ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "ids")
     token_files.write_ids(_table(spark, sf_dir, "documents"), path, word_tokenizer(), end_id=2)
     return token_files.read_documents(spark, path).drop("ids")
 

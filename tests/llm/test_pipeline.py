@@ -4,6 +4,30 @@ from jobgrain.llm import quality
 from test_suffixes import brute
 
 
+LONG = " ".join(f"word{i}" for i in range(120))
+
+
+def test_odd_rows_pass_every_stage(spark, sf, tmp_path):
+    other = " ".join(f"other{i}" for i in range(80))
+    rows = [(1, LONG, "en", "a", 1, "x"), (1, LONG, "en", "a", 1, "x"), (None, LONG + " end", None, None, None, "y"), (None, other, "de", None, 5, None), (2, None, "en", "a", 0, "z"), (3, "", "en", "b", 0, "z"), (4, " \n" * 3000, "en", "b", 0, "z"), (9007199254740993, "q" + other[5:] + " " + LONG, "en", "b", 7, "z")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, near_rows string, mix_h string, no_text string, h string, copies string"
+    docs = spark.createDataFrame([(*r, None, "n", None, "c") for r in rows], columns)
+    step = dict(corpus_pipeline.STAGES)
+    for name in ("quality_rules", "simhash_near_dedup", "suffix_array_dedup", "mix_to_weights"):
+        docs = step[name](spark, docs, sf)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == [c.split()[0] for c in columns.split(", ")]
+    texts = [r.text for r in docs.collect()]
+    assert all(texts) and sum(t.count("word7 ") for t in set(texts)) == 1
+    assert step["best_fit_packing"](spark, docs, sf).where("piece = 0").count() == len(texts)
+
+
+def test_empty_table(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 0").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = docs.columns
