@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.operators.parse import LETTER, SPACE
+from jobgrain.operators.parse import SPACE, begins, names
 
 # Phrases that fail a gate, in the order of the gates.
 GATES = {
@@ -25,16 +25,12 @@ BREAKDOWN = "struct<component_score:double,hireability_score:double,final_score:
 RESPONSE = f"struct<hard_gate_failed:string,components:{COMPONENTS},score_breakdown:{BREAKDOWN},recommendation:string,explanation:string,final_score:double,score:double,key_points:array<string>>"
 
 
-def words(phrases) -> str:
-    return rf"(?<!{LETTER})(?:" + "|".join(rf"\Q{p}\E" for p in phrases) + rf")(?!{LETTER})"
-
-
 def hard_gates(description: Column, title: Column, gates: dict[str, tuple[str, ...]] = GATES, visa_expires_soon: bool | None = None, overseas_only: Column | None = None) -> Column:
     """The first gate that fails, null if all pass. Gates that need facts of a profile apply only when those are given."""
     low, head = F.lower(F.coalesce(description, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
-    tests = [F.when(low.rlike(words(p)), F.lit(name)) for name, p in gates.items()]
-    years = rf"(?<!{LETTER})([3-9]|[1-9][0-9])\+{SPACE}*years"
-    tests.append(F.when(low.rlike(years) | head.rlike(words(SENIOR_TITLES)), F.lit("Minimum experience not met")))
+    tests = [F.when(names(low, p), F.lit(name)) for name, p in gates.items()]
+    years = rf"{begins('123456789')}([3-9]|[1-9][0-9])\+{SPACE}*years"
+    tests.append(F.when(low.contains("years") & low.rlike(years) | names(head, SENIOR_TITLES), F.lit("Minimum experience not met")))
     if visa_expires_soon:
         tests.append(F.when(low.contains("no visa sponsorship"), F.lit("No visa sponsorship")))
     if overseas_only is not None:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobgrain.operators.scoring import parse_score_json
+
 #: Cities that count as Australian places.
 CITIES = ("perth", "melbourne", "sydney", "brisbane", "adelaide", "canberra")
 
@@ -97,6 +99,13 @@ def job_detail(job_ids: DataFrame, jobs: DataFrame, scores: DataFrame) -> DataFr
     return jobs.join(asked, "job_id", "left_semi").join(latest_scores(scores.join(asked, "job_id", "left_semi")), "job_id", "left")
 
 
+def job_components(job_ids: DataFrame, scores: DataFrame) -> DataFrame:
+    """job_id and what the latest score of each given job is made of: components, hireability_factors, risk_profile and
+    score_breakdown, read from their JSON. Jobs without a score have no row."""
+    asked = job_ids.select("job_id").distinct()
+    return parse_score_json(latest_scores(scores.join(asked, "job_id", "left_semi"))).select("job_id", "components", "hireability_factors", "risk_profile", "score_breakdown")
+
+
 def location_matches(location: Column, mode: str) -> Column:
     """Whether a place belongs to a view; a null place belongs to none."""
     low = F.lower(location)

@@ -60,6 +60,19 @@ a AS (SELECT job_id FROM postings),
 r AS (SELECT job_id, 'status' AS kind, CAST(changed_at AS TIMESTAMP) AS happened, new_status AS detail, id FROM status_history WHERE job_id IN (SELECT job_id FROM a) UNION ALL SELECT job_id, 'interview', CAST(interview_date AS TIMESTAMP), interview_type, id FROM interviews WHERE job_id IN (SELECT job_id FROM a))
 SELECT job_id, kind, strftime(happened, '%Y-%m-%d %H:%M:%S') AS happened, detail, row_number() OVER (PARTITION BY job_id, kind ORDER BY happened DESC, id DESC) AS nth FROM r""")
 register("job_detail", lambda s, d: views.job_detail(_asked(s, d), jobs(s, d), scores(s, d)).select("job_id", "title", "score", "recommendation"), _JS + "SELECT p.job_id, title, score, recommendation FROM postings p LEFT JOIN scores s ON p.job_id = s.job_id")
+
+
+def _made_of(s, d):
+    """Scores of two rounds, the later one with other parts."""
+    one = shape(s, d, "scores").select("job_id", "score_id", "scored_at", "matched", "m0", "m1")
+    said = lambda c: F.concat(F.lit('{"level":"'), c, F.lit('"}'))
+    parts = {"components": F.concat(F.lit('[{"name":"skills","match_status":"'), "m0", F.lit('","weight":50}]')), "hireability_factors": said("m0"), "risk_profile": said("m1"), "score_breakdown": F.coalesce("matched", F.lit(""))}
+    later = one.withColumns({"scored_at": F.col("scored_at") + F.expr("INTERVAL 1 DAY"), "score_id": F.col("score_id") + 1, "m0": F.upper("m0")}).where("job_id % 2 = 0")
+    return one.unionByName(later).withColumns(parts).drop("matched", "m0", "m1")
+
+
+register("job_components", lambda s, d: views.job_components(_asked(s, d), _made_of(s, d)).select("job_id", F.col("components")[0]["match_status"].alias("part"), F.col("components")[0]["weight"].alias("weight"), F.col("hireability_factors")["level"].alias("hire"), F.col("risk_profile")["level"].alias("risk"), F.size("score_breakdown").alias("broken")), _JS + """
+SELECT p.job_id, CASE WHEN p.job_id % 2 = 0 THEN upper(m0) ELSE m0 END AS part, 50.0 AS weight, CASE WHEN p.job_id % 2 = 0 THEN upper(m0) ELSE m0 END AS hire, m1 AS risk, CASE WHEN matched IS NOT NULL THEN 0 END AS broken FROM postings p JOIN scores s ON p.job_id = s.job_id""")
 _AU = "(contains(lower(location), 'australia') OR " + " OR ".join(f"contains(lower(location), '{c}')" for c in views.CITIES) + ")"
 register("location_filter", lambda s, d: jobs(s, d).select("job_id", *(views.location_matches(F.col("location"), m).alias(m) for m in ("perth", "australia", "world")), views.region_matches(F.col("region"), "australia").alias("home")),
          ctes("postings") + f"\nSELECT job_id, coalesce(contains(lower(location), 'perth'), false) AS perth, coalesce({_AU} AND (contains(lower(location), 'remote') OR contains(lower(location), 'hybrid')), false) AS australia, coalesce(contains(lower(location), 'remote'), false) AS world, coalesce(region, 'australia') = 'australia' AS home FROM postings")
