@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import file_of, materialize
+from jobgrain.llm.common import file_of, free_exchanges, materialize
 from jobgrain.llm.exchange import bucket_of, merge, receive, receive_values, send, send_values
 
 #: Bytes of text that one batch holds, about.
@@ -200,6 +200,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = slim.withColumn("batch", F.pmod(F.xxhash64("id", "text", "file"), F.lit(batches)).cast("int")).drop("file")
     requests = dealt.groupBy("batch").applyInPandas(_request(order, buckets), "batch int, bucket int, data binary")
     replies = materialize(requests.groupBy("bucket").applyInPandas(_answer, "batch int, bucket int, data binary, tokens long, types long"), "ngrams")
+    free_exchanges(replies)
     tokens, types = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     kind = docs.schema[id_col].dataType.simpleString()
     scored = dealt.groupBy("batch").cogroup(replies.select("batch", "bucket", "data").groupBy("batch")).applyInPandas(_score(order, buckets, tokens, types, strength), "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

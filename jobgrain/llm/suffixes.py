@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from jobgrain.llm.common import file_of, materialize
+from jobgrain.llm.common import file_of, free_exchanges, materialize
 from jobgrain.llm.exchange import bucket_of, merge, receive, receive_values, send, send_values
 
 #: Bytes of text that one batch holds, about.
@@ -226,8 +226,10 @@ def _both_stages(dealt: DataFrame, passage: int, buckets: int) -> DataFrame:
     slim = dealt.select("id", "h", "text", "batch")
     asked = slim.groupBy("batch").applyInPandas(_ask_suffixes(passage, buckets), parcel)
     suffixes = materialize(asked.groupBy("bucket").applyInPandas(_neighbours, reply), "suffixes")
+    free_exchanges(suffixes)
     extended = slim.groupBy("batch").cogroup(suffixes.select("batch", "bucket", "data").groupBy("batch")).applyInPandas(_extend(passage, buckets), parcel)
     windows = materialize(extended.groupBy("bucket").applyInPandas(_settle, reply), "windows")
+    free_exchanges(windows)
     return suffixes.unionByName(windows)
 
 
