@@ -100,7 +100,8 @@ ledger AS (
   FROM docs d LEFT JOIN sizes s USING (rid) LEFT JOIN lines l USING (rid) LEFT JOIN repeats r USING (rid)),
 bits AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
-    + (CASE WHEN n_lines > 3 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_exclamations > 3 * n_words THEN 32 ELSE 0 END) AS failed_rules
+    + (CASE WHEN n_lines > 3 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_exclamations > 3 * n_words THEN 32 ELSE 0 END)
+    + (CASE WHEN n_words >= 50 AND 100 * n_repeat_words > 50 * n_words THEN 64 ELSE 0 END) + (CASE WHEN n_words = 0 THEN 128 ELSE 0 END) AS failed_rules
   FROM ledger)
 """
 
@@ -108,9 +109,9 @@ _TURN = "'<|' || {0}.role || '|>' || chr(10) || {0}.text || '<|end|>' || chr(10)
 
 ORACLE_SQL = {
     "op1_quality_rules": _OP1 + """SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  failed_rules & 3 <> 0 AS base_failed, failed_rules = 0 AS kept, CAST(failed_rules AS INTEGER) AS failed_rules FROM bits""",
-    "op1_rule_ablation": _OP1 + """SELECT r.rule, CAST(sum(CASE WHEN failed_rules & r.bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN failed_rules = r.bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only,
-  CAST(sum(CASE WHEN failed_rules IN (0, r.bit) THEN 1 ELSE 0 END) AS BIGINT) AS n_kept_without
+  failed_rules & 3 <> 0 AS base_failed, failed_rules & 63 = 0 AS kept, CAST(failed_rules AS INTEGER) AS failed_rules FROM bits""",
+    "op1_rule_ablation": _OP1 + """SELECT r.rule, CAST(sum(CASE WHEN failed_rules & r.bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN failed_rules & 63 = r.bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only,
+  CAST(sum(CASE WHEN failed_rules & 63 IN (0, r.bit) THEN 1 ELSE 0 END) AS BIGINT) AS n_kept_without
 FROM bits CROSS JOIN (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32)) AS r(rule, bit) GROUP BY r.rule""",
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),

@@ -35,8 +35,10 @@ def test_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_array_dedup", "mix_to_weights", "best_fit_packing"]
     rows = {r.doc_id: r for r in docs.collect()}
     good = step["quality_rules"](spark, docs, sf).cache()
-    kept = {r.doc_id for r in quality.apply_policy(quality.rule_ledger(docs)).where("kept").collect()}
+    kept = {r.doc_id for r in quality.apply_policy(quality.rule_ledger(docs), "v3").where("kept").collect()}
     assert good.columns == names and {r.doc_id: r for r in good.collect()} == {i: rows[i] for i in kept}
+    clean = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 AND toxic = 0").collect()} & set(rows)
+    assert clean and clean <= kept and len(kept) < 0.97 * len(rows)
     lone = step["simhash_near_dedup"](spark, good, sf).cache()
     _, comp = simhash_components({i: rows[i].text for i in kept})
     assert lone.columns == names and sorted(r.doc_id for r in lone.collect()) == sorted(set(comp.values()))

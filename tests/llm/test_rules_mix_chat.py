@@ -19,7 +19,9 @@ def test_ledger_and_policies(spark):
     assert [r.n_repeat_words for r in got] == [0, 0, 0, 55, 0, 0, 70]
     assert [r.kept for r in got] == [False, False, False, False, True, False, False]
     assert (got[5].word_chars, got[5].n_symbols, got[5].n_dup_lines) == (6, 1, 1)
-    assert [r.doc_id for r in quality.keep_good(docs).collect()] == [5]
+    assert [r.doc_id for r in quality.keep_good(docs, "v2").collect()] == [5] == [r.doc_id for r in quality.keep_good(docs).collect()]
+    short = spark.createDataFrame([(1, "Four words are here"), (2, "# # # #"), (3, ""), (4, None)], "doc_id long, text string")
+    assert [r.doc_id for r in quality.keep_good(short).collect()] == [1] and quality.keep_good(short, "v2").count() == 0
     assert quality.keep_good(docs).columns == docs.columns
     assert quality.rule_ledger(docs.where("doc_id < 0")).count() == 0
     ablation = {r.rule: r for r in quality.ablate(quality.rule_ledger(docs)).collect()}
