@@ -13,7 +13,7 @@ from jobgrain.llm.common import discard, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go, null and empty texts among them."""
+    """Documents that policy v3 of the rules rejects go, texts without words among them; short ones stay."""
     return quality.keep_good(docs)
 
 
