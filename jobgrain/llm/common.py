@@ -25,12 +25,6 @@ def file_of(docs: DataFrame) -> Column:
     return F.input_file_name()
 
 
-def free_exchanges(df: DataFrame) -> None:
-    """Spark deletes the files of an exchange once the driver has collected the plan that made it; ask for that now, where the
-    next exchange is as large, so that the disk never holds both."""
-    df.sparkSession._jvm.System.gc()
-
-
 def count_words(text: Column) -> Column:
     """Words in a text (null: 0): the pieces between runs of space, less an empty one at either end. In linear time."""
     blank = lambda c: c.rlike(r"[\x20\x09-\x0D]").cast("int")
