@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobgrain.functions.scratch import scratch
-from jobgrain.llm import chat, embedding, linetext, lm, mixing, packing, quality, simhash, suffixes, token_files
+from jobgrain.llm import chat, embedding, linetext, lm, mixing, packing, pieces, quality, runs, search, simhash, suffixes, token_files
 from jobgrain.llm.common import materialize
 
 
@@ -20,6 +20,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = materialize(quality.rule_ledger(_table(spark, sf_dir, "documents")), "ledger")
     return quality.apply_policy(ledger).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
@@ -72,6 +78,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", runs.looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.collapse_runs(docs).withColumn("best", runs.most_periodic(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    best = [F.col(f"best.{c}") for c in ("start", "length", "period")]
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), *best, exponent, F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op13_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), piece_model())
+    counted = encoded.select("id", "ids", F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0), lambda x, y: x + y).cast("long").alias("n_bytes"))
+    texts = pieces.decode_pieces(counted, piece_model())
+    return texts.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op1_rule_ablation": op1_rule_ablation,
@@ -84,6 +111,9 @@ QUERIES = {
     "op8_sparse_suffixes": op8_sparse_suffixes,
     "op9_config_packing": op9_config_packing,
     "op10_simhash": op10_simhash,
+    "op11_reversed_search": op11_reversed_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_piece_spans": op13_piece_spans,
 }
 
 _OP1 = r"""
@@ -143,4 +173,16 @@ win AS (SELECT rid, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' '
 dup AS (SELECT rid, doc_id, i, count(*) OVER (PARTITION BY h) AS c, min(doc_id) OVER (PARTITION BY h) AS o FROM win),
 runs AS (SELECT rid, doc_id, i, o, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS g FROM dup WHERE c > 1)
 SELECT doc_id, min(i) - 1 AS start_word, max(i) + 49 AS end_word, min(o) AS first_id FROM runs GROUP BY rid, doc_id, g""",
+    "op11_reversed_search": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT row_number() OVER () AS qid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT qid, item_id, term, count(*) AS times FROM q GROUP BY ALL),
+t AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+part AS (SELECT tf.rid, tf.doc_id, tf.term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + CAST((25 * CAST(n AS HUGEINT) * n_docs) // n_terms AS BIGINT)))) AS part
+         FROM tf JOIN df USING (term) CROSS JOIN t WHERE tf.term IN (SELECT term FROM asked)),
+s AS (SELECT a.qid, a.item_id, p.rid, p.doc_id, CAST(sum(p.part * a.times) AS BIGINT) AS score FROM asked a JOIN part p USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) <= 20""",
 }
