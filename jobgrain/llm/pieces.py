@@ -13,13 +13,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.llm.linking import ragged
 
 #: Source bytes of segments that a worker remembers at most before it starts over, and bytes of text encoded at a time.
-REMEMBERED, AT_A_TIME = 32 << 20, 4 << 20
+REMEMBERED, AT_A_TIME = 12 << 20, 2 << 20
 #: The mark of a space, and the character that stands for malformed bytes.
 SPACE, BAD = "▁".encode(), "�".encode()
 #: Kinds of pieces in a model file.
@@ -280,16 +281,18 @@ def _parts(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]
         start = stop
 
 
-def _encode(model):
+def _encode(model, decode: bool):
+    names = ["id", "ids", "begins", "ends", *(["decoded"] if decode else [])]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for some in _parts(batch, np.array([len(t) for t in texts], np.int64)):
+            for some in _parts(batch, pc.binary_length(batch.column(1)).to_numpy()):
                 ids, spans, counts = pieces.encode(some.column(1).to_pylist())
-                offsets = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, *spans)]
-                yield pa.RecordBatch.from_arrays([some.column(0), *lists], ["id", "ids", "begins", "ends"])
+                offsets = np.r_[0, np.cumsum(counts)]
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, *spans)]
+                texts = [pa.array(pieces.decode(ids, offsets), pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([some.column(0), *lists, *texts], names)
 
     return encode
 
@@ -313,8 +316,8 @@ def _read(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, ids, begins, ends. ids are those of the SentencePiece model file, without begin or end; piece k
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """One row a document: id, ids, begins, ends, and with decode their text, decoded, as decode_pieces() gives it. ids are those of the SentencePiece model file, without begin or end; piece k
     stands for the bytes begins[k] to ends[k] of the text in UTF-8. A character that is spelled in bytes belongs to the
     last of its pieces, the others are empty there.
 
@@ -327,7 +330,8 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return slim.mapInArrow(_encode(_read(docs.sparkSession, model)), f"id {kind}, ids array<int>, begins array<int>, ends array<int>")
+    columns = f"id {kind}, ids array<int>, begins array<int>, ends array<int>" + (", decoded string" if decode else "")
+    return slim.mapInArrow(_encode(_read(docs.sparkSession, model), decode), columns)
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

@@ -93,10 +93,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), piece_model())
-    counted = encoded.select("id", "ids", F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0), lambda x, y: x + y).cast("long").alias("n_bytes"))
-    texts = pieces.decode_pieces(counted, piece_model())
-    return texts.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
+    encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), piece_model(), decode=True)
+    covered = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0), lambda x, y: x + y).cast("long").alias("n_bytes")
+    return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), covered)
 
 
 QUERIES = {
