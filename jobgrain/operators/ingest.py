@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobgrain.functions.names import spare
 from jobgrain.functions.scratch import materialize
-from jobgrain.functions.text import cleaned, job_hash, normalize_company, strip, word_set
+from jobgrain.functions.text import job_hash, normalize_company, strip
+from jobgrain.operators import similar
 from jobgrain.operators.filters import Keywords, quality_filter
+from jobgrain.operators.index import StoreIndex
 
 
 def _look_back(existing: DataFrame, window_days: int | None, as_of) -> DataFrame:
@@ -20,10 +23,11 @@ def dedup_in_batch(df: DataFrame, passes: str = "passes") -> DataFrame:
 
     One partial minimum a key and a join, rather than a window, so a key that very many rows share still combines early.
     """
-    key = df.withColumns({"dedup_title": F.lower(strip(F.coalesce("title", F.lit("")))), "dedup_company": normalize_company(F.col("company"))})
-    first = key.where(F.col(passes)).groupBy("dedup_title", "dedup_company").agg(F.min("seq").alias("first_pass"))
-    out = key.join(first, ["dedup_title", "dedup_company"], "left")
-    return out.withColumn("dup_cross", F.coalesce(F.col("seq") > F.col("first_pass"), F.lit(False))).drop("dedup_title", "dedup_company", "first_pass")
+    t, c, first = spare(df, "t", "c", "first")
+    rows = df.withColumns({t: F.lower(strip(F.coalesce("title", F.lit("")))), c: normalize_company(F.col("company"))})
+    firsts = rows.where(F.col(passes)).groupBy(t, c).agg(F.min("seq").alias(first))
+    rows = rows.join(firsts, [t, c], "left").select(*df.columns, first)
+    return rows.withColumn("dup_cross", F.coalesce(F.col("seq") > F.col(first), F.lit(False))).drop(first)
 
 
 def match_existing_url(new: DataFrame, existing: DataFrame, window_days: int | None = None, as_of=None) -> DataFrame:
@@ -36,57 +40,31 @@ def match_existing_hash(new: DataFrame, existing: DataFrame) -> DataFrame:
     return new.join(existing.select("job_id_hash"), "job_id_hash", "left_semi")
 
 
-def _prefix(words: Column, basis_points: int) -> Column:
-    """The first words of a set that any set as similar must share one of, in any fixed order of words: all but
-    ceil(t * size) - 1 of them. An empty set has one sentinel, as equal empty texts match."""
-    keep = F.size(words) - F.floor((F.size(words) * basis_points + 9999) / 10000).cast("int") + 1
-    return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.slice(words, 1, keep))
-
-
-def _rare_first(df: DataFrame, column: str, frequency: DataFrame) -> DataFrame:
-    """Sorts each row's word set from rare to frequent, so that prefixes fall on rare words."""
-    rows = df.select("row_key", F.explode_outer(column).alias("word")).join(frequency, "word", "left")
-    order = rows.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))), lambda x: x["word"]).alias(f"{column}_sorted"))
-    return df.join(order, "row_key")
-
-
 def match_existing_fuzzy(new: DataFrame, existing: DataFrame, basis_points: int = 8500, window_days: int | None = 90, as_of=None) -> DataFrame:
     """Pairs of new and existing rows whose lower-cased titles and normalised companies both match (see fuzzy_match): new_key,
     existing_key, existing_source, similarity (of titles, as a fraction; 1.0 for equal cleaned titles). Both sides need job_id, title, company, source.
 
-    An exact prefix-filter join: two word sets that are as similar as asked share a word of their prefixes in one global
-    order, so only rows that share a pair of prefix words (title and company) are compared. Rows with equal keys are
-    one class on each side, so that a frequent posting is compared once. Equal cleaned texts share their whole prefix.
+    New rows with equal keys are one class. Where the classes are few, as in a daily batch, they go to every task, so the
+    store is read and never shuffled; more of them meet the store's classes by their keys (see similar.matches).
     """
 
     def prepared(df: DataFrame) -> DataFrame:
-        t, c = cleaned(F.lower("title")), cleaned(normalize_company(F.col("company")))
-        return df.select(F.col("job_id").alias("key"), "source", t.alias("t"), c.alias("c"))
+        return df.select(F.col("job_id").alias("key"), "source", *similar.clean_texts(F.col("title"), F.col("company")))
 
     fresh, stored = prepared(new), prepared(_look_back(existing, window_days, as_of))
-    sides = lambda df, a, b: df.select("t", "c", F.lit(a).alias("is_new"), F.lit(b).alias("is_stored"))
-    texts = sides(fresh, True, False).unionByName(sides(stored, False, True)).groupBy("t", "c").agg(F.max("is_new").alias("is_new"), F.max("is_stored").alias("is_stored"))
-    texts = texts.select("*", word_set(F.col("t")).alias("tw"), word_set(F.col("c")).alias("cw"), F.xxhash64("t", "c").alias("row_key"))
-    classes = materialize(texts, "classes")
-    title_n, company_n = (classes.select(F.explode(w).alias("word")).groupBy("word").agg(F.count("*").alias("n")) for w in ("tw", "cw"))
-    blocked = _rare_first(_rare_first(classes, "tw", title_n), "cw", company_n)
-    blocked = blocked.withColumn("kt", F.explode(_prefix(F.col("tw_sorted"), basis_points))).withColumn("kc", F.explode(_prefix(F.col("cw_sorted"), basis_points)))
-    blocked = materialize(blocked.select("t", "c", "tw", "cw", "kt", "kc", "is_new", "is_stored"), "blocked")
-    left, right = blocked.where("is_new"), blocked.where("is_stored")
-    right = right.select(F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("tw").alias("tw2"), F.col("cw").alias("cw2"), "kt", "kc")
-
-    def alike(x: str, y: str, w: str, v: str) -> Column:
-        both = F.size(F.array_intersect(w, v))
-        union = F.size(w) + F.size(v) - both
-        long_enough = F.least(F.size(w), F.size(v)) * 10000 >= F.greatest(F.size(w), F.size(v)) * basis_points
-        return (F.col(x) == F.col(y)) | ((F.size(w) > 0) & (F.size(v) > 0) & long_enough & (both * 10000 >= union * basis_points))
-
-    both = F.size(F.array_intersect("tw", "tw2"))
-    share = F.when(F.col("t") == F.col("t2"), 1.0).otherwise(both.cast("double") / (F.size("tw") + F.size("tw2") - both))
-    met = left.join(right, ["kt", "kc"]).where(alike("t", "t2", "tw", "tw2") & alike("c", "c2", "cw", "cw2"))
-    pairs = met.select("t", "c", "t2", "c2", share.alias("similarity")).distinct()
-    found = fresh.select(F.col("key").alias("new_key"), "t", "c").join(pairs, ["t", "c"])
-    return found.join(stored.select(F.col("key").alias("existing_key"), F.col("source").alias("existing_source"), F.col("t").alias("t2"), F.col("c").alias("c2")), ["t2", "c2"]).select("new_key", "existing_key", "existing_source", "similarity")
+    asking = materialize(fresh.select("t", "c").distinct(), "classes")
+    small = similar.is_small(asking)
+    order = similar.WordOrder.of(asking)
+    probes = similar.probes(similar.entries(asking, order, basis_points), basis_points)
+    theirs = [F.col("key").alias("existing_key"), F.col("source").alias("existing_source")]
+    if small:
+        pairs = similar.matches(probes, similar.entries(stored, order, basis_points), basis_points, True)
+        found = pairs.select("q_t", "q_c", *theirs, "similarity")
+    else:
+        classes = materialize(similar.entries(stored.select("t", "c").distinct(), order, basis_points), "entries")
+        pairs = similar.matches(materialize(probes, "probes"), classes, basis_points, False).select("q_t", "q_c", "t", "c", "similarity")
+        found = pairs.join(stored, ["t", "c"]).select("q_t", "q_c", *theirs, "similarity")
+    return fresh.select(F.col("key").alias("new_key"), F.col("t").alias("q_t"), F.col("c").alias("q_c")).join(found, ["q_t", "q_c"]).drop("q_t", "q_c")
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
@@ -104,17 +82,36 @@ def classify_ingest(batch: DataFrame, existing: DataFrame, kw: Keywords, basis_p
     Whether a row passes all but the first test depends on no other row of the batch, so these flags come first and one
     minimum a key settles the rest.
     """
-    rows = quality_filter(batch.withColumn("job_id_hash", job_hash(F.col("title"), F.col("company"), F.col("url"))), kw)
+    rows = _judged(batch, kw)
     stored = existing.withColumn("job_id_hash", job_hash(F.col("title"), F.col("company"), F.col("url")))
     seen = _look_back(stored, window_days, as_of)
-    mark = lambda df, name: df.withColumn(name, F.lit(True))
-    rows = rows.join(seen.where("url IS NOT NULL").groupBy("url").agg(F.min("job_id_hash").alias("by_url")), "url", "left")
+    by_url = seen.where("url IS NOT NULL").groupBy("url").agg(F.min("job_id_hash").alias("by_url"))
     fuzzy = best_match(match_existing_fuzzy(batch, existing, basis_points, window_days, as_of)).select(F.col("new_key").alias("job_id"), "existing_key")
-    fuzzy = fuzzy.join(stored.groupBy(F.col("job_id").alias("existing_key")).agg(F.min("job_id_hash").alias("by_fuzzy")), "existing_key").drop("existing_key")
-    rows = rows.join(fuzzy, "job_id", "left").join(mark(stored.select("job_id_hash").distinct(), "by_hash"), "job_id_hash", "left")
-    same = F.when(F.col("by_hash"), F.col("job_id_hash"))
-    rows = rows.withColumns({"dup_store": F.coalesce("by_url", "by_fuzzy").isNotNull(), "dup_hash": same.isNotNull(), "matched_hash": F.coalesce("by_url", "by_fuzzy", same)}).drop("by_url", "by_fuzzy", "by_hash")
-    rows = dedup_in_batch(rows.withColumn("passes", ~F.col("dup_store") & F.col("tier3_pass") & ~F.col("dup_hash"))).drop("passes")
+    by_fuzzy = fuzzy.join(stored.groupBy(F.col("job_id").alias("existing_key")).agg(F.min("job_id_hash").alias("by_fuzzy")), "existing_key").drop("existing_key")
+    return settle(rows, by_url, by_fuzzy, stored.select("job_id_hash").distinct())
+
+
+def classify_indexed(batch: DataFrame, index: StoreIndex, number: int, kw: Keywords, window_days: int | None = 90, as_of=None) -> DataFrame:
+    """classify_ingest() against a kept index of the store, as the batches before `number` have left it. Work follows the batch: of
+    the store, the buckets of the batch's keys are read."""
+    rows = _judged(batch, kw)
+    return settle(rows, *index.look_up(rows, number, window_days, as_of))
+
+
+def _judged(batch: DataFrame, kw: Keywords) -> DataFrame:
+    return quality_filter(batch.withColumn("job_id_hash", job_hash(F.col("title"), F.col("company"), F.col("url"))), kw)
+
+
+def settle(rows: DataFrame, by_url: DataFrame, by_fuzzy: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Outcomes of a batch's rows (with job_id_hash and tier3_pass), from what the store has: by_url (url, by_url), by_fuzzy (job_id,
+    by_fuzzy), each with the job_id_hash that matches, one row a url or job at most, and hashes (job_id_hash)."""
+    by = spare(rows, "by_url", "by_fuzzy", "by_hash", "passes")
+    named = [df.withColumnRenamed(old, new) for df, old, new in zip((by_url, by_fuzzy, hashes.withColumn("by_hash", F.col("job_id_hash"))), ("by_url", "by_fuzzy", "by_hash"), by, strict=False)]
+    columns = rows.columns
+    rows = rows.join(named[0], "url", "left").join(named[1], "job_id", "left").join(named[2], "job_id_hash", "left")
+    met = F.coalesce(*by[:2])
+    rows = rows.select(*columns, met.isNotNull().alias("dup_store"), F.col(by[2]).isNotNull().alias("dup_hash"), F.coalesce(met, by[2]).alias("matched_hash"))
+    rows = dedup_in_batch(rows.withColumn(by[3], ~F.col("dup_store") & F.col("tier3_pass") & ~F.col("dup_hash")), by[3]).drop(by[3])
     outcome = F.when(F.col("dup_cross"), "dup_cross").when(F.col("dup_store"), "dup_store").when(~F.col("tier3_pass"), "low_quality").when(F.col("dup_hash"), "dup_hash").otherwise("new")
     return rows.withColumn("outcome", outcome)
 

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobgrain.functions.names import spare
 
-def insert_new(store: DataFrame, batch: DataFrame, as_of) -> DataFrame:
-    """store with the rows of batch whose job_id_hash it lacks, one a hash (the first by seq), seen first and last on as_of."""
-    first = batch.withColumn("nth", F.row_number().over(Window.partitionBy("job_id_hash").orderBy("seq"))).where("nth = 1").drop("nth")
-    fresh = first.join(store.select("job_id_hash"), "job_id_hash", "left_anti")
+
+def new_rows(store: DataFrame, batch: DataFrame, as_of) -> DataFrame:
+    """The rows of batch whose job_id_hash the store lacks, one a hash (the first by seq), with the store's columns, seen first and last
+    on as_of. The first row of a hash is a minimum, so equal ones meet early."""
+    rows = batch.select(F.struct("*").alias("row"), "seq", "job_id_hash")
+    first = rows.groupBy("job_id_hash").agg(F.min_by("row", F.col("seq")).alias("row"))
+    fresh = first.join(store.select("job_id_hash"), "job_id_hash", "left_anti").select("row.*")
     day = F.lit(as_of).cast("date")
     fresh = fresh.withColumns({"first_seen_date": day, "last_seen_date": day, "is_active": F.lit(True), "applied": F.lit(False), "rejected": F.lit(False), "status": F.lit("new")})
-    return store.unionByName(fresh.select(*(F.col(c) if c in fresh.columns else F.lit(None).cast(store.schema[c].dataType).alias(c) for c in store.columns)))
+    return fresh.select(*(F.col(c) if c in fresh.columns else F.lit(None).cast(store.schema[c].dataType).alias(c) for c in store.columns))
+
+
+def insert_new(store: DataFrame, batch: DataFrame, as_of) -> DataFrame:
+    """store with the rows of batch that are new to it, see new_rows."""
+    return store.unionByName(new_rows(store, batch, as_of))
 
 
 def touch_last_seen(store: DataFrame, hashes: DataFrame, as_of) -> DataFrame:
     """Rows whose hash is in hashes were seen on as_of and are active."""
-    seen = hashes.select("job_id_hash").distinct().withColumn("hit", F.lit(True))
-    hit = F.coalesce("hit", F.lit(False))
-    return store.join(seen, "job_id_hash", "left").withColumns({"last_seen_date": F.when(hit, F.lit(as_of).cast("date")).otherwise(F.col("last_seen_date")), "is_active": hit | F.col("is_active")}).drop("hit").select(*store.columns)
+    (met,) = spare(store, "met")
+    rows = store.join(hashes.select(F.col("job_id_hash").alias(met)).distinct(), F.col("job_id_hash") == F.col(met), "left")
+    hit = F.col(met).isNotNull()
+    return rows.withColumns({"last_seen_date": F.when(hit, F.lit(as_of).cast("date")).otherwise(F.col("last_seen_date")), "is_active": hit | F.col("is_active")}).select(*store.columns)
 
 
 def mark_inactive(store: DataFrame, seen: DataFrame, searches: DataFrame, require_nonempty: bool = False) -> DataFrame:
@@ -27,14 +37,15 @@ def mark_inactive(store: DataFrame, seen: DataFrame, searches: DataFrame, requir
 
     A search in which nothing was seen loses all its rows, as a failed crawl would; require_nonempty spares such searches.
     """
-    found = seen.select("source_search_id", "job_id_hash").distinct().withColumn("seen_now", F.lit(True))
-    on = searches.where("enabled").select(F.col("id").alias("source_search_id")).distinct()
+    under, met, crawled = spare(store, "under", "met", "crawled")
+    found = seen.select(F.col("source_search_id").alias(under), F.col("job_id_hash").alias(met)).distinct()
+    on = searches.where("enabled").select(F.col("id").alias(crawled)).distinct()
     if require_nonempty:
-        on = on.join(found.select("source_search_id").distinct(), "source_search_id", "left_semi")
-    on = on.withColumn("crawled", F.lit(True))
-    out = store.join(on, "source_search_id", "left")
-    gone = F.col("crawled").isNotNull() & F.col("seen_now").isNull()
-    return out.join(found, ["source_search_id", "job_id_hash"], "left").withColumn("is_active", F.when(gone, F.lit(False)).otherwise(F.col("is_active"))).select(*store.columns)
+        on = on.join(found, F.col(crawled) == F.col(under), "left_semi")
+    rows = store.join(on, F.col("source_search_id") == F.col(crawled), "left")
+    rows = rows.join(found, (F.col("source_search_id") == F.col(under)) & (F.col("job_id_hash") == F.col(met)), "left")
+    gone = F.col(crawled).isNotNull() & F.col(met).isNull()
+    return rows.withColumn("is_active", F.when(gone, F.lit(False)).otherwise(F.col("is_active"))).select(*store.columns)
 
 
 def apply_retention(jobs: DataFrame, children: dict[str, DataFrame], as_of, days: int) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -54,8 +65,10 @@ def apply_updates(store: DataFrame, updates: DataFrame) -> DataFrame:
     if not columns:
         return store
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("updated_at", "update_id")))
-    latest = updates.groupBy("job_id").agg(F.struct(*(last(c).alias(c) for c in columns)).alias("u"))
-    return store.join(latest, "job_id", "left").withColumns({c: F.coalesce(F.col(f"u.{c}"), F.col(c)) for c in columns}).select(*store.columns)
+    updated, to = spare(store, "updated", "to")
+    latest = updates.groupBy(F.col("job_id").alias(updated)).agg(F.struct(*(last(c).alias(c) for c in columns)).alias(to))
+    rows = store.join(latest, F.col("job_id") == F.col(updated), "left")
+    return rows.withColumns({c: F.coalesce(F.col(f"{to}.{c}"), F.col(c)) for c in columns}).select(*store.columns)
 
 
 def rejection_rows(updates: DataFrame, store: DataFrame) -> DataFrame:

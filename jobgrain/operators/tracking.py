@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobgrain.functions.names import spare
+
 #: Stages of an application, in order.
 STAGES = ("applied", "interview_scheduled", "offer_received", "accepted")
 #: Stages between which time is measured, and the statuses that reach each.
@@ -16,21 +18,38 @@ def status_log(events: DataFrame) -> DataFrame:
     return events.withColumn("old_status", F.lag("new_status", 1, "new").over(Window.partitionBy("job_id").orderBy("changed_at", "id")))
 
 
-def fold_status(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """Jobs after their events: status is the last one; the first 'applied' applies a job that was not; an offer's, decision's and
-    rejection's dates are those of their last event, else those that the job has. Aggregates rather than windows, so that each
-    map side combines."""
-    on = lambda *names: F.max(F.when(F.col("new_status").isin(*names), F.to_date("changed_at")))
-    last = events.groupBy("job_id").agg(
-        F.max_by("new_status", F.struct("changed_at", "id")).alias("last_status"), F.min(F.when(F.col("new_status") == "applied", F.to_date("changed_at"))).alias("first_applied"),
-        on("offer_received").alias("last_offer"), on("accepted", "declined_offer", "rejected").alias("last_decision"), on("rejected").alias("last_rejected"))
-    out = jobs.join(last, "job_id", "left")
+def status_events(events: DataFrame) -> DataFrame:
+    """One row a job of an event log: last (changed_at, id, new_status of its last event) and the days of its first application and last
+    offer, decision and rejection. Minima and maxima, so parts of a log, in any order, add up to the whole: see add_status."""
+    day = lambda *names: F.when(F.col("new_status").isin(*names), F.to_date("changed_at"))
+    return events.groupBy("job_id").agg(
+        F.max(F.struct("changed_at", "id", "new_status")).alias("last"), F.min(day("applied")).alias("first_applied"), F.max(day("offer_received")).alias("last_offer"),
+        F.max(day("accepted", "declined_offer", "rejected")).alias("last_decision"), F.max(day("rejected")).alias("last_rejected"))
+
+
+def add_status(parts: DataFrame) -> DataFrame:
+    """status_events() of a log from those of its parts."""
+    latest = ("last", "last_offer", "last_decision", "last_rejected")
+    return parts.groupBy("job_id").agg(F.min("first_applied").alias("first_applied"), *(F.max(c).alias(c) for c in latest))
+
+
+def with_status(jobs: DataFrame, state: DataFrame) -> DataFrame:
+    """Jobs with what their events say (status_events): status is the last one; the first 'applied' applies a job that was not; an
+    offer's, decision's and rejection's dates are those of their last event, else those that the job has."""
+    of, told = spare(jobs, "of", "told")
+    state = state.select(F.col("job_id").alias(of), F.struct("last.new_status", "first_applied", "last_offer", "last_decision", "last_rejected").alias(told))
+    rows = jobs.join(state, F.col("job_id") == F.col(of), "left")
     stored = lambda c: F.col(c) if c in jobs.columns else F.lit(None).cast("date")
-    applies = F.col("first_applied").isNotNull() & ~F.col("applied")
-    return out.withColumns({
-        "status": F.coalesce("last_status", "status"), "applied_date": F.when(applies, F.col("first_applied")).otherwise(F.col("applied_date")), "applied": F.col("applied") | F.col("first_applied").isNotNull(),
-        "rejected_date": F.coalesce("last_rejected", "rejected_date"), "rejected": F.col("rejected") | F.col("last_rejected").isNotNull(),
-        "offer_date": F.coalesce("last_offer", stored("offer_date")), "decision_date": F.coalesce("last_decision", stored("decision_date"))}).drop("last_status", "first_applied", "last_rejected", "last_offer", "last_decision")
+    applies = F.col(f"{told}.first_applied").isNotNull()
+    return rows.withColumns({
+        "status": F.coalesce(f"{told}.new_status", "status"), "applied_date": F.when(applies & ~F.col("applied"), F.col(f"{told}.first_applied")).otherwise(F.col("applied_date")), "applied": F.col("applied") | applies,
+        "rejected_date": F.coalesce(f"{told}.last_rejected", "rejected_date"), "rejected": F.col("rejected") | F.col(f"{told}.last_rejected").isNotNull(),
+        "offer_date": F.coalesce(f"{told}.last_offer", stored("offer_date")), "decision_date": F.coalesce(f"{told}.last_decision", stored("decision_date"))}).drop(of, told)
+
+
+def fold_status(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """Jobs after their events, see with_status. Aggregates rather than windows, so that each map side combines."""
+    return with_status(jobs, status_events(events))
 
 
 def latest_interview(jobs: DataFrame, interviews: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def _logged(s, d):
     path = scratch(s, "log")
     tables.run_log_append(r.where("run_id % 2 = 0"), path)
     tables.run_log_append(r.where("run_id % 2 = 1"), path)
-    return s.read.option("header", True).csv(path).select(F.col("run_id").cast("long").alias("run_id"), "platform", F.col("jobs_collected").cast("long").alias("jobs_collected"), "efficiency_percent", "duration_seconds")
+    tables.run_log_append(r.where("run_id % 2 = 1"), path)  # a rerun
+    return tables.read_run_log(s, path).select(F.col("run_id").cast("long").alias("run_id"), "platform", F.col("jobs_collected").cast("long").alias("jobs_collected"), "efficiency_percent", "duration_seconds")
 
 
 _ONE = "printf('%.1f', round({}, 1))"
@@ -63,7 +64,8 @@ def _exported(s, d):
     r = analytics.run_row(shape(s, d, "runs"))
     path = scratch(s, "export")
     tables.export_runs(r, path, _RUN_DAY, 30)
-    return s.read.option("header", True).csv(path).select(F.col("run_id").cast("long").alias("run_id"), "platform", "efficiency_percent")
+    tables.run_log_append(r.where("run_id % 2 = 1"), path)  # a rerun
+    return tables.read_run_log(s, path).select(F.col("run_id").cast("long").alias("run_id"), "platform", "efficiency_percent")
 
 
 register("export_runs", _exported, _R + f"SELECT run_id, platform, {_ONE.format('efficiency_percent')} AS efficiency_percent FROM (SELECT * FROM rr WHERE run_timestamp >= TIMESTAMP '{_RUN_DAY}' - INTERVAL 30 DAY ORDER BY run_timestamp DESC, run_id LIMIT 10000)")
@@ -169,9 +171,9 @@ register("stream_daily_runs", lambda s, d: _sink(s, streams.stream_daily_runs(_s
 def _stream_status(s, d):
     path = scratch(s, "stream")
     keep = ["job_id", "status", "applied", "applied_date", "rejected", "rejected_date", "first_seen_date"]
-    _finish(streams.stream_status(_stream(s, d, "status_history"), shape(s, d, "postings").select(*keep).withColumn("offer_date", F.when(F.col("job_id") % 4 == 0, F.date_add("first_seen_date", 3))), path, scratch(s, "state")))
-    last = s.read.parquet(path).agg(F.max("batch")).first()[0]
-    return s.read.parquet(f"{path}/batch={last}").select("job_id", "status", "applied", "rejected", "offer_date", "decision_date")
+    jobs = shape(s, d, "postings").select(*keep).withColumn("offer_date", F.when(F.col("job_id") % 4 == 0, F.date_add("first_seen_date", 3)))
+    _finish(streams.stream_status(_stream(s, d, "status_history"), path, scratch(s, "state")))
+    return streams.streamed_status(jobs, path).select("job_id", "status", "applied", "rejected", "offer_date", "decision_date")
 
 
 register("stream_status", _stream_status, ctes("postings", "status_history") + """,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +76,23 @@ def run_log(runs: DataFrame) -> DataFrame:
     return runs.select(*rest, one("efficiency_percent"), one("duration_seconds"))
 
 
-def run_log_append(runs: DataFrame, path: str) -> None:
-    run_log(runs).write.mode("append").option("header", True).csv(path)
+def run_log_append(runs: DataFrame, path: str, run: str | None = None) -> str:
+    """Logs run rows as CSV with a header in a folder of their run, path/run=KEY, which it replaces; the key.
+
+    The same append twice leaves one copy, and runs with different keys may be logged at the same time. Without a key it is
+    made of the rows (their number and a sum of their hashes), so equal rows are one run and others are another.
+    """
+    rows = run_log(runs)
+    if run is None:
+        n, mark = rows.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*rows.columns).bitwiseAND(F.lit(0xFFFFFFFFFF))), F.lit(0))).first()
+        run = f"{n}-{mark:x}"
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/run={quote(run, safe='')}")
+    return run
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """All logged run rows, as text, with the key of their run."""
+    return spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", False).csv(path).withColumn("run", F.col("run").cast("string"))
 
 
 def recent_log(runs: DataFrame, as_of, days: int = 30, limit: int = 10_000) -> DataFrame:

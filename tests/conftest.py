@@ -23,3 +23,17 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+def opened(df):
+    """How many files the scans of a plan opened."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        leaves = plan.collectLeaves()
+        return sum(leaves.apply(i).metrics().get("numFiles").get().value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numFiles"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

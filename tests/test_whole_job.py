@@ -113,8 +113,8 @@ def test_dates_of_offers_outlive_later_batches(spark, tmp_path):
     for i, (job, status, at) in enumerate([(1, "offer_received", "2026-01-02 00:00:00"), (1, "accepted", "2026-01-05 00:00:00"), (2, "applied", "2026-01-06 00:00:00")]):
         spark.createDataFrame([(i, job, status, at)], "id long, job_id long, new_status string, at string").withColumn("changed_at", F.to_timestamp("at")).drop("at").coalesce(1).write.mode("append").parquet(source)
     like = spark.read.parquet(source)
-    streams.stream_status(streams.files_stream(spark, source, like, 1), jobs, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out" / "batch=2"))
+    streams.stream_status(streams.files_stream(spark, source, like, 1), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    last = streams.streamed_status(jobs, str(tmp_path / "out"))
     assert {(r.job_id, r.status, str(r.offer_date), str(r.decision_date)) for r in last.collect()} == {(1, "accepted", "2026-01-02", "2026-01-05"), (2, "applied", "2025-12-01", "None")}
     assert tracking.latest_interview(jobs.selectExpr("job_id", "CAST(NULL AS DATE) AS interview_date"), spark.createDataFrame([(1, "2026-02-01", "phone", "x", 1)], "job_id long, interview_date string, interview_type string, created_at string, id long").withColumn("interview_date", F.to_date("interview_date"))).columns == ["job_id", "interview_date", "interview_type"]
 
