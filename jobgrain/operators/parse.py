@@ -118,12 +118,13 @@ def every(text: Column, pattern: str, group: int, when: Column) -> Column:
     return F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
 
 
-def around(text: Column, word: str, width: int = 50) -> Column:
+def around(text: Column, word: str | Column, width: int = 50) -> Column:
     """The text without what stands further than a pattern of width characters on both sides of a word can reach: a newline
     takes its place. Such a pattern finds the same in it, and no longer tries every position of a long text."""
-    n = 2 * width + len(word)
-    cut = lambda x: F.when(F.length(x) > 2 * n, F.concat(F.substring(x, 1, n), F.lit("\n"), F.substring(x, -n, n))).otherwise(x)
-    return F.array_join(F.transform(F.split(text, literal(word)), cut), word)
+    word = F.lit(word) if isinstance(word, str) else word
+    n = F.length(word) + 2 * width
+    cut = lambda x: F.when(F.length(x) > 2 * n, F.concat(F.left(x, n), F.lit("\n"), F.right(x, n))).otherwise(x)
+    return F.call_function("array_join", F.transform(F.split(text, F.concat(F.lit(r"\Q"), word, F.lit(r"\E"))), cut), word)
 
 
 def _listed(*columns: Column) -> Column:
@@ -134,10 +135,31 @@ def _first_word(phrase: str) -> str:
     return phrase.split("[ -]")[0].split(" ")[0]
 
 
+def alternation(words) -> str:
+    """A pattern of any of some literal words, the longest that fits first, with beginnings that they share written once: what a place
+    costs follows the length of a word and not the number of words."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        options = [(c if c.isalnum() else f"\\{c}") + pattern(node[c]) for c in sorted(node) if c]
+        if not options:
+            return ""
+        return f"(?:{'|'.join(options)})" + ("?" if "" in node else "") if len(options) > 1 or "" in node else options[0]
+
+    return pattern(tree)
+
+
 #: Where a phrase of any list, a senior role or a number of years can begin, with the five words from there on.
 _LISTS = (GRADUATE, ENTRY, MASTERS, *DOMAINS.values(), REMOTE, ONSITE, SPONSOR, MENTOR, GROWTH, STARTUP, SCALEUP, ENTERPRISE, ("senior", "lead", "principal", "staff", "head", "hybrid"))
 _STARTS = tuple(sorted({_first_word(p) for phrases in _LISTS for p in phrases}))
-SPOT = rf"{begins([*(w[0] for w in _STARTS), *'jge0123456789'])}(?=((?:(?:{'|'.join(_STARTS)})(?!{LETTER})|junior|graduate|entry|[0-9])[^ \t\n\r\x0B\f]{{0,40}}(?:{SPACE}+[^ \t\n\r\x0B\f]{{1,40}}){{0,4}}))"
+_PLAIN = [w for w in _STARTS if re.fullmatch("[a-z0-9%/]+", w)]
+_START = "|".join([alternation(_PLAIN), *(w for w in _STARTS if w not in _PLAIN)])
+SPOT = rf"{begins([*(w[0] for w in _STARTS), *'jge0123456789'])}(?=((?:(?:{_START})(?!{LETTER})|junior|graduate|entry|[0-9])[^ \t\n\r\x0B\f]{{0,40}}(?:{SPACE}+[^ \t\n\r\x0B\f]{{1,40}}){{0,4}}))"
 
 
 def spots(low: Column) -> Column:
@@ -201,19 +223,34 @@ def domains(low: Column, step=_inline) -> Column:
     return F.struct(F.coalesce(F.get(listed, F.lit(0)), F.lit("Unknown")).alias("primary_domain"), (F.size(listed) > 0).alias("is_ai_ml_role"), listed.alias("domains_present"), F.slice(keywords, 1, 10).alias("domain_keywords"))
 
 
+def _present(low: Column, universe: tuple[str, ...]) -> Column:
+    """Which words of a list stand alone in a text, found in one reading. At a place the longest is found; shorter ones that it begins
+    with, up to the end of a word, stand there too."""
+    alone = rf"{begins(w[0] for w in universe)}(?=({alternation(universe)})(?!{LETTER}))"
+    longest = F.array_distinct(F.regexp_extract_all(low, F.lit(alone), F.lit(1)))
+    inside = {w: [v for v in universe if v != w and w.startswith(v) and not re.match(r"\w", w[len(v)])] for w in universe}
+    if not any(inside.values()):
+        return longest
+    of = F.create_map(*(x for w, vs in inside.items() if vs for x in (F.lit(w), F.array(*map(F.lit, (w, *vs))))))
+    return F.array_distinct(F.flatten(F.transform(longest, lambda w: F.coalesce(F.try_element_at(of, w), F.array(w)))))
+
+
 def tech_stack(low: Column, cfg: ParserConfig, required_universe: tuple[str, ...] | None = None, step=_inline) -> Column:
     """Skills that the text mentions; required if a cue of need stands within 50 characters on the line, or no cue at all.
-    With required_universe, skills outside the profile count as missing."""
-    universe = tuple(dict.fromkeys(cfg.skills if required_universe is None else (*cfg.skills, *required_universe)))
-    states = []
-    for i, skill in enumerate(universe):
-        word = rf"{begins(skill[0])}{literal(skill)}(?!{LETTER})"
-        cut = step(f"around_{i}", F.when(holds(low, skill), around(low, skill)).otherwise(""))
-        there = step(f"skill_{i}", cut.rlike(word))
-        near = step(f"near_{i}", every(cut, rf"(?d).{{0,50}}{word}.{{0,50}}", 0, there))
-        needs, likes = F.exists(near, lambda x: x.rlike(REQUIRED_CUES)), F.exists(near, lambda x: x.rlike(PREFERRED_CUES))
-        states.append(F.when(there, F.struct(F.lit(skill).alias("skill"), (needs | ~likes).alias("required"))))
-    all_ = step("skills", _listed(*states) if states else F.array().cast("array<struct<skill:string,required:boolean>>"))
+    With required_universe, skills outside the profile count as missing. The text is read once for all skills; what stands
+    around a skill is looked at for those that it mentions."""
+    universe = tuple(dict.fromkeys(w for w in (cfg.skills if required_universe is None else (*cfg.skills, *required_universe)) if w))
+    none = F.array().cast("array<struct<skill:string,required:boolean>>")
+
+    def judged(skill: Column, text: Column) -> Column:
+        word = F.concat(F.lit(rf"(?<!{LETTER})\Q"), skill, F.lit(rf"\E(?!{LETTER})"))
+        near = F.regexp_extract_all(around(text, skill), F.concat(F.lit("(?d).{0,50}"), word, F.lit(".{0,50}")), F.lit(0))
+        cues = F.transform(F.array(near), lambda n: F.exists(n, lambda x: x.rlike(REQUIRED_CUES)) | ~F.exists(n, lambda x: x.rlike(PREFERRED_CUES)))[0]
+        return F.struct(skill.alias("skill"), cues.alias("required"))
+
+    present = step("present", _present(low, universe)) if universe else none
+    states = F.transform(present, lambda w: judged(w, low)) if universe else none
+    all_ = step("skills", states)
     skills = lambda name, cond: step(name, F.sort_array(F.transform(F.filter(all_, cond), lambda x: x["skill"])))
     required, preferred = skills("required", lambda x: x["required"]), skills("preferred", lambda x: ~x["required"])
     own = F.array(*map(F.lit, cfg.skills)) if cfg.skills else F.array().cast("array<string>")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.operators.parse import SPACE, begins, names
+from jobgrain.functions.names import spare
+from jobgrain.operators.parse import SPACE, ParserConfig, begins, names, parse_postings
 
 # Phrases that fail a gate, in the order of the gates.
 GATES = {
@@ -105,19 +107,69 @@ def parse_score_json(df: DataFrame) -> DataFrame:
     return df.withColumns({c: read(c, kind) for c, kind in kinds.items() if c in df.columns})
 
 
+#: Weights of the rule scorer's components; they add up to 100.
+RULE_WEIGHTS = {"skills": 50.0, "experience": 20.0, "domain": 15.0, "location": 15.0}
+
+
+def rule_scores(jobs: DataFrame, cfg: ParserConfig, gates: dict[str, tuple[str, ...]] = GATES) -> DataFrame:
+    """Adds hard_gate_failed, components, hireability, component_score, hireability_score, score and recommendation, by rules alone,
+    from what the parser finds in title, description and location (see parse_postings).
+
+    Components: required skills that the candidate has (yes from 70 %, partial from 40 % or where none are asked), experience
+    (no behind a dealbreaker, yes where graduates are welcome), a known domain, and how far the place is preferred. Factors:
+    the right to work, credible experience, a level that is told, the share of skills, and a domain to tell of. Both are
+    blended as final_score() says. A job without a description cannot be judged: its score and parts are null.
+    """
+    signals = ("reasons", "graduate", "domain", "tech", "place", "company_signals", "suitable", "confidence", "description_length", "has_description")
+    own = dict(zip(jobs.columns, spare(jobs.select(*(F.lit(0).alias(c) for c in signals)), *jobs.columns), strict=True))  # their names meanwhile
+    t = jobs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    t = parse_postings(t, cfg, own["description"], own["title"], own["location"])
+    of = {c: F.col(c) for c in signals}
+    fresh, asked, share = of["graduate"]["accepts_fresh_grads"], F.size(of["tech"]["required"]), of["tech"]["match_percentage"]
+    clear, liked = F.size(of["reasons"]) == 0, of["place"]["preference"]
+    met = {
+        "skills": F.when(asked == 0, "partial").when(share >= 70, "yes").when(share >= 40, "partial").otherwise("no"),
+        "experience": F.when(~clear, "no").when(fresh, "yes").otherwise("partial"),
+        "domain": F.when(of["domain"]["is_ai_ml_role"], "yes").otherwise("no"),
+        "location": F.when(liked >= 80, "yes").when(liked > 0, "partial").otherwise("no")}
+    components = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), met[n].alias("match_status")) for n, w in RULE_WEIGHTS.items()))
+    factors = {
+        "legal_visa": F.when(of["place"]["blocker"], 0.0).when(of["place"]["requires_pr"], 12.0).otherwise(25.0),
+        "experience_credibility": F.when(fresh, 25.0).when(clear, 15.0).otherwise(5.0),
+        "recruiter_comprehension": F.when(of["graduate"]["seniority_level"] == "Unknown", 8.0).otherwise(15.0),
+        "skill_monetization": F.when(asked == 0, 7.0).otherwise(share * 0.15),
+        "narrative_coherence": F.when(of["domain"]["is_ai_ml_role"], 10.0).otherwise(4.0)}
+    judged = F.coalesce(own["description"], F.lit("")) != ""
+    only = lambda c: F.when(judged, c)
+    gate, parts = hard_gates(F.col(own["description"]), F.col(own["title"]), gates), F.struct(*(c.alias(n) for n, c in factors.items()))
+    steps = spare(t, "hard_gate_failed", "components", "hireability", "component_score", "hireability_score", "score")
+    t = t.withColumns(dict(zip(steps, (only(gate), only(components), only(parts)), strict=False)))
+    t = t.withColumns({steps[3]: component_score(F.col(steps[1])), steps[4]: only(hireability_score(**{n: F.col(f"{steps[2]}.{n}") for n in factors}))})
+    t = t.withColumn(steps[5], only(final_score(F.col(steps[3]), F.col(steps[4]), F.col(steps[0]))))
+    names_ = ("hard_gate_failed", "components", "hireability", "component_score", "hireability_score", "score")
+    told = F.struct(*(F.col(n).alias(c) for n, c in zip(steps, names_, strict=True)), only(tier(F.col(steps[5]))).alias("recommendation"))
+    # a generated row keeps filters on a score from being rewritten as filters on all that it is made of
+    return t.select(*(F.col(n).alias(c) for c, n in own.items()), F.inline(F.array(told)))
+
+
 Scorer = tuple[str, Callable[[pd.DataFrame], pd.Series]]
+#: Integers go to scorers as pandas' own nullable ones, so that a null beside them changes none.
+_WHOLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
 
 
-def score_batch(jobs: DataFrame, scorers: Sequence[Scorer], key: str = "job_id") -> DataFrame:
+def score_batch(jobs: DataFrame, scorers: Sequence[Scorer], key: str = "job_id", rules: ParserConfig | None = None) -> DataFrame:
     """key, score, model_used, error: each row's score from the first scorer of the chain that gives one.
 
-    A scorer maps a frame of rows to a series of scores, null where it fails; one that raises fails for all rows it
-    was given. Only rows without a score go on to the next. Rows that no scorer manages keep the last error.
+    With rules, the rule scorer stands first, as columns ("rules" in model_used); only rows that it cannot judge, those
+    without a description, go on to Python. A scorer maps a frame of rows to a series of scores, null where it fails; one
+    that raises fails for all rows it was given. Only rows without a score go on to the next. Rows that no scorer
+    manages keep the last error. Keys go around the scorers as they are, whatever their type.
     """
 
-    def run(it):
-        for rows in it:
-            out = pd.DataFrame({key: rows[key], "score": pd.Series([None] * len(rows), dtype="float64"), "model_used": None, "error": None})
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pandas(types_mapper=_WHOLE.get)
+            out = pd.DataFrame({"score": pd.Series([None] * len(rows), dtype="float64"), "model_used": None, "error": None if rules is None else "rules: no description"}, index=rows.index)
             for name, scorer in scorers:
                 left = out["score"].isna()
                 if not left.any():
@@ -132,9 +184,15 @@ def score_batch(jobs: DataFrame, scorers: Sequence[Scorer], key: str = "job_id")
                 out.loc[got.index, "score"] = got
                 out.loc[done, "model_used"], out.loc[done, "error"] = name, None
                 out.loc[got.index[got.isna()], "error"] = f"{name}: no score"
-            yield out
-
-    return jobs.mapInPandas(run, f"{key} {jobs.schema[key].dataType.simpleString()}, score double, model_used string, error string")
+            told = [pa.Array.from_pandas(out["score"], type=pa.float64()), *(pa.Array.from_pandas(out[c], type=pa.string()) for c in ("model_used", "error"))]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(key)), *told], [key, "score", "model_used", "error"])
+
+    schema = f"{key} {jobs.schema[key].dataType.simpleString()}, score double, model_used string, error string"
+    if rules is None:
+        return jobs.mapInArrow(run, schema)
+    told = F.coalesce(F.col("description"), F.lit("")) != ""
+    native = rule_scores(jobs.where(told), rules).select(key, "score", F.lit("rules").alias("model_used"), F.lit(None).cast("string").alias("error"))
+    return native.unionByName(jobs.where(~told).mapInArrow(run, schema))
 
 
 def score_summary(scored: DataFrame) -> DataFrame:

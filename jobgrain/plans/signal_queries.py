@@ -161,6 +161,18 @@ register("score_batch", lambda s, d: chain(s, d), _CHAIN + "SELECT *, CASE WHEN
 register("score_summary", lambda s, d: scoring.score_summary(chain(s, d)), _CHAIN + "SELECT count(*) AS processed, count(*) FILTER (score IS NULL) AS failed, round(coalesce(avg(score), 0), 1) AS avg_score FROM r")
 
 
+_WELCOME = "(grad OR entry OR coalesce(years <= 1, false))"
+_RULES = _BASE + f""",
+f AS (SELECT *, {_GATES} AS gate, CASE cities[1] WHEN 'Perth' THEN 100 WHEN 'Melbourne' THEN 90 WHEN 'Remote' THEN 80 ELSE CASE WHEN remote AND contains(place, 'australia') THEN 80 WHEN remote THEN 60 ELSE 0 END END AS liked FROM p WHERE description <> ''),
+m AS (SELECT *, CAST(CASE WHEN len(needs) = 0 THEN 25 ELSE 50 END + CASE WHEN len(reasons) > 0 THEN 0 WHEN {_WELCOME} THEN 20 ELSE 10 END + CASE WHEN len(present) > 0 THEN 15 ELSE 0 END + CASE WHEN liked >= 80 THEN 15 WHEN liked > 0 THEN 7.5 ELSE 0 END AS DOUBLE) AS component,
+  CAST(CASE WHEN pr AND NOT sponsor THEN 0 WHEN pr THEN 12 ELSE 25 END + CASE WHEN {_WELCOME} THEN 25 WHEN len(reasons) = 0 THEN 15 ELSE 5 END + CASE WHEN {_WELCOME} THEN 15 ELSE 8 END + CASE WHEN len(needs) = 0 THEN 7 ELSE 15 END + CASE WHEN len(present) > 0 THEN 10 ELSE 4 END AS DOUBLE) AS hire FROM f),
+z AS (SELECT job_id, gate, component, hire, CASE WHEN gate IS NOT NULL THEN CAST(0 AS DOUBLE) ELSE round(component * 0.6 + hire * 0.4, 6) END AS score FROM m)"""
+register("rule_scores", lambda s, d: scoring.rule_scores(shape(s, d, "adverts"), CONFIG).where("score IS NOT NULL").select("job_id", F.col("hard_gate_failed").alias("gate"), F.col("component_score").alias("component"), F.col("hireability_score").alias("hire"), "score", "recommendation"),
+         _RULES + "\nSELECT job_id, gate, component, hire, score, CASE WHEN score >= 70 THEN 'APPLY' WHEN score >= 50 THEN 'CLARIFY' ELSE 'SKIP' END AS recommendation FROM z")
+register("score_batch_rules", lambda s, d: scoring.score_batch(shape(s, d, "adverts"), [("title", lambda rows: rows["title"].str.len().astype("float64"))], rules=CONFIG).select("job_id", "score", "model_used"),
+         _RULES + "\nSELECT job_id, score, 'rules' AS model_used FROM z UNION ALL SELECT job_id, CAST(length(title) AS DOUBLE), 'title' FROM p WHERE description = '' AND title IS NOT NULL UNION ALL SELECT job_id, NULL, NULL FROM p WHERE description = '' AND title IS NULL")
+
+
 def _external(s, d):
     t = shape(s, d, "scores").withColumn("job_id_hash", F.md5(F.col("job_id").cast("string")))
     js = t.select("score_id", "job_id_hash", F.col("score").alias("total_score"), "model_used", "recommendation")

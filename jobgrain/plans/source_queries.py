@@ -64,8 +64,7 @@ def _exported(s, d):
     r = analytics.run_row(shape(s, d, "runs"))
     path = scratch(s, "export")
     tables.export_runs(r, path, _RUN_DAY, 30)
-    tables.run_log_append(r.where("run_id % 2 = 1"), path)  # a rerun
-    return tables.read_run_log(s, path).select(F.col("run_id").cast("long").alias("run_id"), "platform", "efficiency_percent")
+    return s.read.option("header", True).csv(path).select(F.col("run_id").cast("long").alias("run_id"), "platform", "efficiency_percent")
 
 
 register("export_runs", _exported, _R + f"SELECT run_id, platform, {_ONE.format('efficiency_percent')} AS efficiency_percent FROM (SELECT * FROM rr WHERE run_timestamp >= TIMESTAMP '{_RUN_DAY}' - INTERVAL 30 DAY ORDER BY run_timestamp DESC, run_id LIMIT 10000)")
@@ -97,7 +96,7 @@ _ENTRIES = pages.BoardSpec(cards=("section.none", "nav li", "li"))
 register("extract_cards_many", lambda s, d: pages.extract_cards(table(s, d, "pages"), _ENTRIES).groupBy("page_id").agg(F.count("*").alias("cards"), F.max("card_idx").alias("last"), F.sum(F.length("html")).alias("size")), r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS html FROM pages)
 SELECT page_id, count(*) AS cards, CAST(count(*) - 1 AS INT) AS last, CAST(sum(length(html)) AS BIGINT) AS size FROM p GROUP BY 1""")
 register("extract_cards", lambda s, d: pages.extract_cards(table(s, d, "pages"), pages.ARTICLE).select("page_id", "card_idx", F.length("html").alias("size")), f"SELECT page_id, CAST(0 AS INT) AS card_idx, length({_ARTICLE}) + 19 AS size FROM pages")
-register("extract_fields", lambda s, d: pages.extract_fields(pages.extract_cards(table(s, d, "pages"), pages.ARTICLE), pages.ARTICLE).select("page_id", "url", "company", "location", F.md5(F.regexp_replace("title", " +", " ")).alias("title")),
+register("extract_fields", lambda s, d: pages.extract_records(table(s, d, "pages"), pages.ARTICLE).select("page_id", "url", "company", "location", F.md5(F.regexp_replace("title", " +", " ")).alias("title")),
          r"SELECT page_id, split_part(url, '?', 1) AS url, 'Unknown' AS company, 'Unknown' AS location, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS title FROM pages WHERE regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) <> ''".replace('\\"', '"'))
 register("drop_recommended", lambda s, d: pages.drop_recommended(table(s, d, "pages").select("page_id", "html"), ("thanedble", "onon", "ieren")).select("page_id"), "SELECT page_id FROM pages WHERE NOT (contains(lower(html), 'thanedble') OR contains(lower(html), 'onon') OR contains(lower(html), 'ieren'))")
 register("page_description", lambda s, d: pages.page_description(table(s, d, "pages"), ("div.none", "article"), 200).select("page_id", F.md5(F.regexp_replace("description", r"\s+", " ")).alias("description")), f"SELECT page_id, md5(trim(regexp_replace({_UNESCAPED}, '\\s+', ' ', 'g'))) AS description FROM pages")

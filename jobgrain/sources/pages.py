@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from jobgrain.functions.text import strip
+from jobgrain.sources.markup import Element, Page, Selectors
 
 
 @dataclass(frozen=True)
@@ -34,119 +35,58 @@ JORA = BoardSpec(("div.job-card.result", "div.job-card"), {"title": ("h2.job-tit
 #: The crawled pages of this repository's tables: one card a page.
 ARTICLE = BoardSpec(("article",), {"title": ("h1",), "description": ("article",)}, {"company": "Unknown", "location": "Unknown", "description": ""})
 
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_BLOCK = frozenset("address article aside blockquote br dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-
-
-class _Tree(HTMLParser):
-    """Elements in document order: [tag, attributes, begin, end, all parts of text, its first part, the part after its last]; a
-    block starts a new line of text. Each part of text is held once, however deep elements nest."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.lines = [0]
-        for i, c in enumerate(html):
-            if c == "\n":
-                self.lines.append(i + 1)
-        self.html, self.elements, self.open, self.count, self.parts, self.quiet = html, [], [], Counter(), [], 0
-        self.feed(html)
-        self.close()
-        for i in self.open:
-            self.elements[i][3], self.elements[i][6] = len(html), len(self.parts)
-
-    def _at(self) -> int:
-        line, column = self.getpos()
-        return self.lines[line - 1] + column
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _BLOCK:
-            self.handle_data("\n")
-        if tag not in _VOID:
-            self.elements.append([tag, {k: v or "" for k, v in attrs}, self._at(), None, self.parts, len(self.parts), None])
-            self.open.append(len(self.elements) - 1)
-            self.count[tag] += 1
-            self.quiet += tag in ("script", "style")
-
-    def handle_endtag(self, tag):
-        if self.count[tag]:
-            end = self.html.find(">", self._at())
-            while True:
-                i = self.open.pop()
-                self.quiet -= self.elements[i][0] in ("script", "style")
-                self.count[self.elements[i][0]] -= 1
-                self.elements[i][3], self.elements[i][6] = end + 1 if end >= 0 else len(self.html), len(self.parts)
-                if self.elements[i][0] in _BLOCK:
-                    self.handle_data("\n")
-                if self.elements[i][0] == tag:
-                    break
-
-    def handle_data(self, data):
-        if not self.quiet:
-            self.parts.append(data)
-
-
-def _fits(element, simple: str) -> bool:
-    tag, attrs = element[0], element[1]
-    head, _, test = simple.partition("[")
-    name, *classes = head.split(".")
-    if name not in ("*", "", tag) or not set(classes) <= set(attrs.get("class", "").split()):
-        return False
-    if test:
-        key, _, value = test.rstrip("]").partition("=")
-        return attrs.get(key) == value.strip("'\"")
-    return True
-
-
-def select(tree: _Tree, selector: str) -> list:
-    """Elements that a selector names, in document order."""
-    *outer, last = selector.split()
-    found = [e for e in tree.elements if _fits(e, last)]
-    for simple in outer:
-        around = [e for e in tree.elements if _fits(e, simple)]
-        found = [e for e in found if any(a[2] < e[2] and e[3] <= a[3] for a in around)]
-    return found
-
-
-def _text(element) -> str:
-    lines = (" ".join(x.split()) for x in "".join(element[4][element[5] : element[6]]).split("\n"))
-    return "\n".join(x for x in lines if x)
 
+def _read_pages(df: DataFrame, keep: list[str], html: str, selectors: list[str], rows, schema: str) -> DataFrame:
+    """Reads html once a row. rows(page) gives tuples of what a row becomes, for the columns of schema; the columns keep go with each,
+    as they are and never through Python, so that any type of id stays what it is."""
+    compiled = Selectors(selectors)
+    added = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
 
-def extract_cards(pages: DataFrame, spec: BoardSpec) -> DataFrame:
-    """page_id, url, card_idx, html: a page's cards by the first selector that finds any."""
+    def read(batches):
+        for batch in batches:
+            source: list[int] = []
+            out: list[tuple] = []
+            for i, text in enumerate(batch.column(len(keep))):
+                new = list(rows(Page(text.as_py() or "", compiled)))
+                out += new
+                source += [i] * len(new)
+            kept = [batch.column(k).take(pa.array(source, pa.int64())) for k in range(len(keep))]
+            columns = [pa.array([r[k] for r in out], f.type) for k, f in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*keep, *added.names])
 
-    def cards(it):
-        for rows in it:
-            out = []
-            for page_id, url, html in zip(rows["page_id"], rows["url"], rows["html"], strict=True):
-                tree = _Tree(html or "")
-                found = next((f for f in (select(tree, s) for s in spec.cards) if f), [])
-                out += [(page_id, url, i, html[e[2] : e[3]]) for i, e in enumerate(found)]
-            yield pd.DataFrame(out, columns=["page_id", "url", "card_idx", "html"])
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, html).mapInArrow(read, f"{kinds}, {schema}")
 
-    return pages.select("page_id", "url", "html").mapInPandas(cards, "page_id long, url string, card_idx int, html string")
 
+def _cards(page: Page, spec: BoardSpec) -> list[Element]:
+    """A page's cards by the first selector that finds any."""
+    return next((f for f in (list(page.elements(s)) for s in spec.cards) if f), [])
 
-def extract_fields(cards: DataFrame, spec: BoardSpec) -> DataFrame:
-    """page_id, card_idx and a column a field: the first selector whose text is not empty, else the default. A selector ending
-    in @name reads an attribute. Cards without a title, or without a url where the board has one, are dropped."""
-    names = list(spec.fields)
-
-    def read(it):
-        for rows in it:
-            out = {n: [] for n in names}
-            for html in rows["html"]:
-                tree = _Tree(html or "")
-                for n in names:
-                    got = []
-                    for s in spec.fields[n]:
-                        s, _, attribute = s.partition("@")
-                        got.append(next((t for e in select(tree, s) for t in [e[1].get(attribute, "").strip() if attribute else _text(e)] if t), ""))
-                    out[n].append(got)
-            yield pd.DataFrame({"page_id": rows["page_id"], "page_url": rows["url"], "card_idx": rows["card_idx"], **out})
-
-    raw = cards.mapInPandas(read, "page_id long, page_url string, card_idx int, " + ", ".join(f"{n} array<string>" for n in names))
-    first = {n: F.get(F.filter(n, lambda x: x != ""), F.lit(0)) for n in names}
+
+def _fields(page: Page, spec: BoardSpec, card: Element | None) -> list[list[str]]:
+    """For each field what each of its selectors finds first that is not empty."""
+    out = []
+    for selectors in spec.fields.values():
+        got = []
+        for s in selectors:
+            s, _, attribute = s.partition("@")
+            got.append(next((t for e in page.elements(s, card) for t in [e.attributes.get(attribute, "").strip() if attribute else page.text(e)] if t), ""))
+        out.append(got)
+    return out
+
+
+def _selectors(spec: BoardSpec) -> list[str]:
+    return [s.partition("@")[0] for selectors in spec.fields.values() for s in selectors]
+
+
+def extract_cards(pages: DataFrame, spec: BoardSpec) -> DataFrame:
+    """page_id, url, card_idx, html: a page's cards by the first selector that finds any. A null page has none."""
+    rows = lambda page: [(i, page.html[e.begin : e.end]) for i, e in enumerate(_cards(page, spec))]
+    return _read_pages(pages, ["page_id", "url"], "html", list(spec.cards), rows, "card_idx int, html string")
+
+
+def _named_fields(raw: DataFrame, spec: BoardSpec) -> DataFrame:
+    first = {n: F.get(F.filter(n, lambda x: x != ""), F.lit(0)) for n in spec.fields}
     if spec.location_differs and "company" in first:
         first["location"] = F.get(F.filter("location", lambda x: (x != "") & (x != F.coalesce(first["company"], F.lit("")))), F.lit(0))
     url = first.get("url", F.col("page_url"))
@@ -156,6 +96,23 @@ def extract_fields(cards: DataFrame, spec: BoardSpec) -> DataFrame:
     return out.where("title IS NOT NULL AND url IS NOT NULL")
 
 
+def extract_fields(cards: DataFrame, spec: BoardSpec) -> DataFrame:
+    """page_id, card_idx and a column a field: the first selector whose text is not empty, else the default. A selector ending
+    in @name reads an attribute. Cards without a title, or without a url where the board has one, are dropped."""
+    fields = ", ".join(f"{n} array<string>" for n in spec.fields)
+    raw = _read_pages(cards.withColumnRenamed("url", "page_url"), ["page_id", "page_url", "card_idx"], "html", _selectors(spec), lambda page: [tuple(_fields(page, spec, None))], fields)
+    return _named_fields(raw, spec)
+
+
+def extract_records(pages: DataFrame, spec: BoardSpec) -> DataFrame:
+    """extract_fields() of extract_cards(), from one reading of each page: a field counts for a card if it is inside it, and what
+    its selector wants around it is inside too."""
+    fields = ", ".join(f"{n} array<string>" for n in spec.fields)
+    rows = lambda page: [(i, *_fields(page, spec, card)) for i, card in enumerate(_cards(page, spec))]
+    raw = _read_pages(pages.withColumnRenamed("url", "page_url"), ["page_id", "page_url"], "html", [*spec.cards, *_selectors(spec)], rows, f"card_idx int, {fields}")
+    return _named_fields(raw, spec)
+
+
 def drop_recommended(cards: DataFrame, words: tuple[str, ...] = ("top-pick", "recommended", "discover", "similar", "might")) -> DataFrame:
     """Cards whose lower-cased HTML has none of the words."""
     low = F.lower("html")
@@ -168,15 +125,10 @@ def drop_recommended(cards: DataFrame, words: tuple[str, ...] = ("top-pick", "re
 def page_description(pages: DataFrame, containers: tuple[str, ...], least: int = 200) -> DataFrame:
     """page_id, description: the text of the first container longer than least, else of the last one found, else of main."""
 
-    def read(it):
-        for rows in it:
-            texts = []
-            for html in rows["html"]:
-                tree = _Tree(html or "")
-                texts.append([next((_text(e) for e in select(tree, s)), None) for s in (*containers, "main")])
-            yield pd.DataFrame({"page_id": rows["page_id"], "texts": texts})
+    def texts(page: Page) -> list[tuple]:
+        return [([next((page.text(e) for e in page.elements(s)), None) for s in (*containers, "main")],)]
 
-    raw = pages.select("page_id", "html").mapInPandas(read, "page_id long, texts array<string>")
+    raw = _read_pages(pages, ["page_id"], "html", [*containers, "main"], texts, "texts array<string>")
     tried = F.filter(F.slice("texts", 1, len(containers)), lambda x: x.isNotNull())
     long_ = F.get(F.filter(tried, lambda x: F.length(x) > least), F.lit(0))
     last = F.when(F.size(tried) > 0, F.try_element_at(tried, F.lit(-1)))
