@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobgrain.functions.names import spare
 from jobgrain.functions.scratch import discard, materialize  # noqa: F401  (the other modules take them from here)
 
 #: The bytes that separate words (space and 0x09-0x0D). bytes.split() splits at exactly these.
@@ -16,13 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
-def file_of(docs: DataFrame) -> Column:
-    """The file that a row is read from, which parts equal rows however a scan is split; a constant where rows come from several."""
+def placed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs, and where each of its rows is stored: the file and the row's number in it, which parts equal rows and is the same however a
+    scan is split. Rows that are not those of Parquet files are written to the shared folder first."""
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     try:
-        docs.select(F.input_file_name())
-    except AnalysisException:  # a join: no one file
-        return F.lit("")
-    return F.input_file_name()
+        if "_metadata" not in docs.columns:
+            docs.select(place)
+            return docs, place
+    except AnalysisException:
+        pass
+    (name,) = spare(docs, "stored_row")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), F.col(name).cast("string")
 
 
 def count_words(text: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import file_of, materialize
+from jobgrain.llm.common import materialize, placed
 from jobgrain.llm.exchange import bucket_of, merge, receive, receive_values, send, send_values
 
 #: Bytes of text that one batch holds, about.
@@ -189,15 +189,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     around 100 to 300. Tokens are words in lower-case A-Z and one end. Null texts are empty; a null id counts as the text 'None' in the
     choice of held-out rows; repeated rows count each; an empty table gives no rows; other columns are ignored.
 
-    Documents are dealt to batches of bounded size by a hash of id, text and file, twice, so docs must read the same rows
-    from the same files again; n-gram counts meet in buckets by key (see exchange), so
-    both work and memory follow the input and no table of the model goes to any one place.
+    Documents are dealt to batches of bounded size by a hash of the place where each is stored (see placed), twice, so equal
+    rows are spread as others are and docs must lie where they are; n-gram counts meet in buckets by key (see
+    exchange), so both work and memory follow the input and no table of the model goes to any one place.
     """
-    slim = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), file_of(docs).alias("file"))
+    docs, place = placed(docs)
+    slim = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), place.alias("place"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
     buckets = max(1, -(-batches // 2))
-    dealt = slim.withColumn("batch", F.pmod(F.xxhash64("id", "text", "file"), F.lit(batches)).cast("int")).drop("file")
+    dealt = slim.withColumn("batch", F.pmod(F.xxhash64("place"), F.lit(batches)).cast("int")).drop("place")
     requests = dealt.groupBy("batch").applyInPandas(_request(order, buckets), "batch int, bucket int, data binary")
     replies = materialize(requests.groupBy("bucket").applyInPandas(_answer, "batch int, bucket int, data binary, tokens long, types long"), "ngrams")
     tokens, types = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from jobgrain.llm.common import file_of, materialize
+from jobgrain.llm.common import materialize, placed
 from jobgrain.llm.exchange import bucket_of, merge, receive, receive_values, send, send_values
 
 #: Bytes of text that one batch holds, about.
@@ -20,7 +20,7 @@ KEY_WORDS = 16
 BASE = 0x9E3779B97F4A7C15
 #: Stands for a null id, so that ids stay integers in a task; it is the largest.
 NOBODY = np.iinfo(np.int64).max
-#: Who holds a window first: the id, then a hash of the row, which parts rows that share an id.
+#: Who holds a window first: the id, then a hash of the row's place, which parts rows that share an id.
 OWNER = np.dtype([("id", "<i8"), ("row", "<i8")])
 
 
@@ -232,10 +232,11 @@ def _both_stages(dealt: DataFrame, passage: int, buckets: int) -> DataFrame:
 
 
 def _deal(docs: DataFrame, id_col: str, text_col: str, *others) -> tuple[DataFrame, int]:
-    """id, h, text and others of each document with its batch, and how many buckets there are. Equal rows of one file share h
-    and so their batch; those of other files may be elsewhere."""
+    """id, h, text and others of each document with its batch, and how many buckets there are. h is a hash of the place where a row is
+    stored, so equal rows are spread as others are."""
     of = lambda c: F.col(f"`{c}`")
-    slim = docs.select(F.coalesce(of(id_col).cast("long"), F.lit(NOBODY)).alias("id"), F.coalesce(of(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(of(id_col), of(text_col), file_of(docs)).alias("h"), *others)
+    docs, place = placed(docs)
+    slim = docs.select(F.coalesce(of(id_col).cast("long"), F.lit(NOBODY)).alias("id"), F.coalesce(of(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(place).alias("h"), *others)
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
     return slim.withColumn("batch", F.pmod("h", F.lit(batches)).cast("int")), max(1, -(-batches // 4))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobgrain.llm import lm
 
@@ -83,3 +84,19 @@ def test_odd_rows(spark):
     same(got(lm.score_texts(docs)), brute(rows))
     assert lm.score_texts(docs.where("doc_id < 0")).count() == 0
     same(got(lm.score_texts(docs, order=3)), brute(rows, 3))
+
+
+def test_equal_rows_are_spread(spark, tmp_path, monkeypatch):
+    """A third of all rows are failed crawls, of no id and no text: no batch has many more of them than another."""
+    from jobgrain.llm import suffixes
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "CASE WHEN id % 3 > 0 THEN repeat(concat('w', id, ' '), 20) ELSE 'not found' END AS text")
+    rows.coalesce(2).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 12_000)
+    for docs in (spark.read.parquet(f"{tmp_path}/t"), rows.where("true").repartition(3)):
+        dealt, _ = suffixes._deal(docs, "doc_id", "text")
+        hot = [r["count"] for r in dealt.where(F.col("id") == suffixes.NOBODY).groupBy("batch").count().collect()]
+        assert sum(hot) == 1000 and len(hot) > 10 and max(hot) < 3 * sum(hot) / len(hot)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 12_000)
+    scored = lm.score_texts(spark.read.parquet(f"{tmp_path}/t"))
+    assert scored.count() == 3000 and scored.where("id IS NULL").select("score", "base_score").distinct().count() == 1
