@@ -28,6 +28,10 @@ CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "t
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 #: Elements whose names say nothing of this kind: whole pages, articles, and their headings.
 WHOLE = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+#: Names of what readers say.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+#: Boxes that may hold adverts or comments inside an article.
+BOXES = frozenset("div aside section ul ol dl table figure ins".split())
 #: Elements whose content is text up to their own end, whatever it looks like.
 RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 #: Elements of other languages, in which a tag may close itself.
@@ -42,15 +46,19 @@ _NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _surrounds(name: str, attributes: list[tuple[str, str]], in_article: bool) -> bool:
-    """Whether an element holds what surrounds an article, by its tag, class, id, role or hiding. The header of an article is its own."""
+def _surrounds(name: str, attributes: list[tuple[str, str]], in_article: bool, inside: bool = False) -> bool:
+    """Whether an element holds what surrounds an article, by its tag, class, id, role or hiding. The header of an article is its own. inside: within an article or main element."""
     if name in HIDDEN and not (name == "header" and in_article):
         return True
     for key, value in attributes:
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _NONE.search(value):
             return True
-        if key in ("class", "id", "role") and name not in WHOLE and any(map(_names_around, value.lower().split())):
-            return True
+        # inside a marked article a name is no proof for its own paragraphs, headings and inline elements; a box's class is one, its id
+        # only of readers' comments
+        named = key == "role" or key in ("class", "id") and (not inside or name in BOXES)
+        if named and name not in WHOLE and any(map(_names_around, value.lower().split())):
+            if key != "id" or not inside or not READERS.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
+                return True
     return False
 
 
@@ -127,7 +135,7 @@ class _Lines:
         if name in RAW:
             end = RAW[name].search(self.html, at)
             return end.start() if end else len(self.html)
-        off = _surrounds(name, attributes, bool(self.open["article"]))
+        off = _surrounds(name, attributes, bool(self.open["article"]), self.articles > 0)
         # an element that neither parts lines nor hides anything is of no account, but inside one of its own name
         if off or name in BLOCKS or name == "a" or self.open[name]:
             self.open[name].append(len(self.stack))
