@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _at(spark: SparkSession, path: str):
@@ -29,6 +30,12 @@ def numbers(spark: SparkSession, path: str, name: str, complete: bool = True) ->
     return sorted(int(p.getName().partition("=")[2]) for p in found if not complete or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def by_partition(df: DataFrame, column: str) -> DataFrame:
+    """df dealt for partitionBy(column): the rows of a partition lie together, small ones beside others, and one that is too large for a
+    task is split, so that it becomes several files."""
+    return df.hint("rebalance", F.col(column))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table under path; one without rows if nothing is there yet."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

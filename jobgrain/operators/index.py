@@ -50,7 +50,7 @@ class StoreIndex:
         keys, schema = _TABLES[name]
         columns = [c.split()[0] for c in schema.split(", ")]
         rows = rows.select(*columns).withColumn("bucket", self._bucket(*keys))
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/base={base}/batch={batch}")
+        folders.by_partition(rows, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/base={base}/batch={batch}")
 
     def _write_rows(self, rows: DataFrame, day: Column, order: similar.WordOrder, base: int, batch: int) -> None:
         """rows: job_id, title, company, url, job_id_hash."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobgrain.functions import folders
+from jobgrain.functions.folders import by_partition
 from jobgrain.functions.scratch import discard, materialize
 from jobgrain.operators import store
 
@@ -39,12 +40,12 @@ class StoredTable:
         return rows.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(self.by)), F.lit(self.buckets)).cast("int"))
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        writer = rows.repartition(self.column).write.mode(mode).partitionBy(self.column)
+        writer = by_partition(rows, self.column).write.mode(mode).partitionBy(self.column)
         (writer.option("partitionOverwriteMode", "dynamic") if mode == "overwrite" else writer).parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
         """The table anew. Rows with many days or buckets are dealt so that each partition is one file, or a few where it is large."""
-        self._dealt(rows).repartition(self.column).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(self.column).parquet(self.path)
+        by_partition(self._dealt(rows), self.column).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(self.column).parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
         """More rows, in files of their own."""
