@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobgrain.functions import folders
-from jobgrain.functions.scratch import materialize
+from jobgrain.functions.scratch import discard, materialize
 from jobgrain.functions.text import job_hash
 from jobgrain.operators import similar
 
@@ -40,6 +40,7 @@ class StoreIndex:
     def __init__(self, spark: SparkSession, path: str, basis_points: int = 8500, buckets: int = 64, fold_every: int = 20):
         self.spark, self.path, self.basis_points, self.buckets, self.fold_every = spark, path, basis_points, buckets, fold_every
         self._orders: dict[int, similar.WordOrder] = {}
+        self._scratch: list[DataFrame] = []
 
     # -- writing
 
@@ -128,6 +129,15 @@ class StoreIndex:
             found[r.name][r.b] = r.n
         return found
 
+    def _keep(self, df: DataFrame, tag: str) -> DataFrame:
+        self._scratch.append(materialize(df, tag))
+        return self._scratch[-1]
+
+    def release(self) -> None:
+        """Deletes what look_up() has written on its way, once nothing reads its results any more."""
+        while self._scratch:
+            discard(self._scratch.pop())
+
     def look_up(self, batch: DataFrame, before: int, window_days: int | None, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
         """What earlier batches and the store know of a batch (job_id, url, job_id_hash, title, company): by_url, by_fuzzy and hashes, as
         ingest.settle takes them. Urls and fuzzy matches count if their rows were seen within the window.
@@ -136,17 +146,17 @@ class StoreIndex:
         very many rows is dealt by its keys instead.
         """
         base, order = self._base(before)
-        asking = materialize(batch.select("job_id", "url", "job_id_hash", *similar.clean_texts(F.col("title"), F.col("company"))), "asking")
+        asking = self._keep(batch.select("job_id", "url", "job_id_hash", *similar.clean_texts(F.col("title"), F.col("company"))), "asking")
         small = similar.is_small(asking)
         send = F.broadcast if small else (lambda df: df)
         classes = asking.select("t", "c").distinct()
-        probes = materialize(similar.probes(similar.entries(classes, order, self.basis_points), self.basis_points), "probes")
+        probes = self._keep(similar.probes(similar.entries(classes, order, self.basis_points), self.basis_points), "probes")
         asked = self._buckets({"words": (probes, ("q_kt", "q_kc")), "urls": (asking.where("url IS NOT NULL"), ("url",)), "stored": (asking, ("job_id_hash",))})
         words, urls, stored = (self._read(n, base, before, sorted(asked[n])) for n in ("words", "urls", "stored"))
         pairs = similar.matches(probes, words, self.basis_points, small).select("q_t", "q_c", F.col("job_id").alias("existing_key"), F.col("job_id_hash").alias("met"), "similarity")
         same_url = urls.join(send(asking.select("url").distinct()), "url", "left_semi").select(F.col("url").alias("q_t"), F.lit(None).cast("string").alias("q_c"), F.lit(None).cast("long").alias("existing_key"), F.col("job_id_hash").alias("met"), F.lit(None).cast("double").alias("similarity"))
-        found = materialize(pairs.unionByName(same_url), "found")
-        hashes = materialize(found.select(F.col("met").alias("job_id_hash")).distinct(), "hashes")
+        found = self._keep(pairs.unionByName(same_url), "found")
+        hashes = self._keep(found.select(F.col("met").alias("job_id_hash")).distinct(), "hashes")
         days = self._days(base, before, hashes)
         if window_days is not None:
             days = days.where(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), window_days))

@@ -51,6 +51,7 @@ def stream_ingest(source: DataFrame, store: DataFrame, path: str, kw: Keywords,
         rows.groupBy("outcome").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
         known.add(number, accepted, touched, as_of)
         rows.unpersist()
+        known.release()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
