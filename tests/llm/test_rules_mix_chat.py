@@ -134,5 +134,5 @@ def test_no_python_in_chat_plans(spark, sf, capsys):
 
 
 def test_names():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
