@@ -34,9 +34,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     return slim.mapInArrow(cut, f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, capacity: int, lengths: np.ndarray) -> dict[int, int]:
-    """The multiset of lengths within capacity of the largest total price: an unbounded knapsack by dynamic programming
-    over the lengths that occur, in ascending order."""
+def price_fillings(price: np.ndarray, capacity: int, lengths: np.ndarray) -> list[int]:
+    """For each room up to capacity, the first length of the filling of the largest total price (0: none fits); the next one is
+    that of the room then left. An unbounded knapsack by dynamic programming over `lengths`, in ascending order."""
     value, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     worth = price[lengths]
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
@@ -45,12 +45,20 @@ def best_configuration(price: np.ndarray, capacity: int, lengths: np.ndarray) ->
         options = value[c - lengths[:n]] + worth[:n]
         best = int(options.argmax())
         value[c], pick[c] = options[best], lengths[best]
-    out: dict[int, int] = {}
-    c = capacity
-    while pick[c] > 0 and value[c] > 0:
-        out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-        c -= int(pick[c])
-    return {n: k for n, k in out.items() if price[n] > 0}
+    return pick.tolist()
+
+
+def _configuration(first: int, pick: list[int], left: list[int], capacity: int) -> dict[int, int] | None:
+    """The length `first` and the best filling of the room beside it, unless more of a length is in it than is left."""
+    out, room = {first: 1}, capacity - first
+    while pick[room]:
+        n = pick[room]
+        k = out.get(n, 0) + 1
+        if k > left[n]:
+            return None
+        out[n] = k
+        room -= n
+    return out
 
 
 def best_fit(left: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
@@ -82,53 +90,63 @@ def best_fit(left: dict[int, int], capacity: int, begun: list[tuple[dict[int, in
     return [(config, m) for _, config, m in groups]
 
 
-def _configuration_program(histogram: dict[int, int], capacity: int, rounds: int, step: float) -> list[tuple[dict[int, int], int]]:
-    """Whole numbers of configurations from the fractional solution; no length more often than it occurs."""
-    left = dict(histogram)
-    count, covered, price = np.zeros(capacity + 1), np.zeros(capacity + 1), np.zeros(capacity + 1)
-    lengths = np.array(sorted(left), np.int64)
-    count[lengths] = [left[n] for n in lengths.tolist()]
-    price[lengths] = lengths / capacity
-    taken: dict[tuple, float] = {}
+def configuration_program(histogram: dict[int, int], capacity: int, rounds: int = 100, step: float = 1.0, rate: float = 0.02, enough: float = 0.99) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """(configuration, times) pairs and what they leave of the histogram; no length is held more often than it occurs.
+
+    Prices start at each length's share of a sequence. In each round one knapsack table prices the fillings of all rooms, so
+    it names the best configuration for every length; each is taken a whole number of times, for up to `step` (a share) of what was
+    left of its length, as far as its lengths last. Then the price of a length falls exponentially in how much of its count the
+    round covered, less the mean of that, and rises where it was covered less; so lengths that are short are spared by the next
+    round's fillings. It ends when `enough` of all tokens are held, or after `rounds`.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    count = np.zeros(capacity + 1)
+    count[lengths] = [histogram[n] for n in lengths.tolist()]
+    price = np.arange(capacity + 1) / capacity
+    left = [0] * (capacity + 1)
+    for n, k in histogram.items():
+        left[n] = k
+    open_tokens = total = sum(n * k for n, k in histogram.items())
+    taken: dict[tuple, int] = {}
     for _ in range(rounds):
-        best = best_configuration(price, capacity, lengths)
-        best = {n: min(k, left[n]) for n, k in best.items()}
-        amount = step * min(left[n] / k for n, k in best.items())
-        key = tuple(sorted(best.items(), reverse=True))
-        taken[key] = taken.get(key, 0.0) + amount
-        for n, k in best.items():
-            covered[n] += k * amount / count[n]
-            price[n] *= np.exp(-k * amount / count[n])
-    scale = 1.0 / max(1.0, float(np.average(covered[lengths], weights=lengths * count[lengths])))
-    plan = []
-    for key, amount in sorted(taken.items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(amount * scale), *(left[n] // k for n, k in key)])
-        if times > 0:
-            plan.append((dict(key), times))
-            for n, k in key:
-                left[n] -= k * times
-    return best_fit(left, capacity, plan)
-
-
-def plan_packing(histogram: dict[int, int], capacity: int, rounds: int = 150, step: float = 0.5) -> list[tuple[dict[int, int], int]]:
+        live = [n for n in lengths.tolist() if left[n]]
+        if not live or open_tokens <= (1 - enough) * total:
+            break
+        at = np.array(live, np.int64)
+        pick, before = price_fillings(price, capacity, at), list(left)
+        for n in reversed(live):
+            config = _configuration(n, pick, left, capacity) if left[n] else None
+            if config is None:
+                continue
+            times = min(int(np.ceil(step * before[n])), *(left[m] // k for m, k in config.items()))
+            key = tuple(sorted(config.items(), reverse=True))
+            taken[key] = taken.get(key, 0) + times
+            for m, k in config.items():
+                left[m] -= k * times
+                open_tokens -= m * k * times
+        covered = np.array([before[n] - left[n] for n in live]) / count[at]
+        price[at] *= np.exp(-rate * (covered - covered.mean()))
+    return [(dict(key), times) for key, times in taken.items()], {n: left[n] for n in histogram if left[n]}
+
+
+def plan_packing(histogram: dict[int, int], capacity: int, rounds: int = 100) -> list[tuple[dict[int, int], int]]:
     """(configuration, times) pairs that hold every length as often as it occurs, in few sequences.
 
-    The linear program takes fractions of configurations that cover each length's count at the least total.
-    Multiplicative weights solve it: a length's price starts at its share of a sequence, the knapsack names the best
-    configuration for the prices, some of it is taken, and prices of what it holds fall in proportion to how much of
-    their count is covered. Rounding takes whole numbers of the configurations, largest fraction first; what is left
-    goes by best fit, largest first, into the room of these and into new sequences.
+    The program takes configurations that cover each length's count at the least total, by multiplicative weights with
+    knapsack pricing (see configuration_program), in whole numbers. The little that it leaves goes by best fit, largest
+    first, into the room of these and into new sequences.
 
-    Where lengths occur a few times each, a bounded number of rounds cannot reach all of them; so best fit alone is
-    planned as well, and the plan of fewer sequences holds. Its size is at least the sum of lengths over the capacity;
-    a plan that meets this bound needs no other. The work depends on the capacity alone, never on the number of documents.
+    A program of bounded rounds is not always the best plan, so best fit alone is planned as well, and holds where it
+    needs fewer sequences. A plan's size is at least the sum of lengths over the capacity; one that meets this bound
+    needs no other. The work depends on the capacity alone, never on the number of documents.
     """
     plan = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     rest = {n: k for n, k in histogram.items() if 0 < n < capacity and k > 0}
     if not rest:
         return plan
     sequences = lambda p: sum(m for _, m in p)
-    plans = [_configuration_program(rest, capacity, rounds, step)]
+    whole, left = configuration_program(rest, capacity, rounds)
+    plans = [best_fit(left, capacity, whole)]
     if sequences(plans[0]) > -(-sum(n * k for n, k in rest.items()) // capacity):
         plans.append(best_fit(rest, capacity))
     return plan + min(plans, key=sequences)

@@ -152,6 +152,22 @@ def test_plan_holds_every_length_and_never_loses_to_best_fit(mean, spread, n):
     assert -(-int(lengths.sum()) // 2048) <= sum(t for _, t in plan) <= plain
 
 
+@pytest.mark.parametrize("each", [10, 1000])
+def test_whole_configurations_hold_nine_pieces_in_ten(each):
+    lengths = np.minimum(2047, np.exp(np.random.default_rng(3).normal(6.2, 1.0, 8000)).astype(int) + 1)
+    histogram = {int(n): int(k) * each for n, k in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    whole, left = packing.configuration_program(histogram, 2048)
+    held = dict(left)
+    for config, times in whole:
+        assert times > 0 and sum(n * k for n, k in config.items()) <= 2048
+        for n, k in config.items():
+            held[n] = held.get(n, 0) + k * times
+    assert held == histogram
+    assert sum(left.values()) <= 0.1 * sum(histogram.values())
+    used = lambda plan: sum(t for _, t in plan)
+    assert used(packing.best_fit(left, 2048, whole)) <= used(packing.best_fit(histogram, 2048))
+
+
 def test_configuration_program_beats_best_fit():
     lengths = np.random.default_rng(0).integers(600, 760, 100_000)
     histogram = {int(n): int(k) for n, k in zip(*np.unique(lengths, return_counts=True), strict=True)}
