@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from jobgrain.llm.common import connected_components, materialize
 from jobgrain.llm.linking import roots
 
-#: A label or grid cell with more vectors than this is dealt out further.
+#: A label or cell with more vectors than this is cut further.
 CELL = 8192
+#: What names a cell: its cell is the path of its sides, level by level.
+AT = ["label", "width", "block", "cell"]
 #: Vectors that one task compares at a time with as many others, and pairs that it verifies at a time.
 BLOCK, PAIRS = 1024, 1 << 17
 #: By how much a squared distance in single precision may be off.
@@ -36,30 +38,57 @@ def _units(vectors) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _cells(blocks: int, axes: int, budget: float):
-    """Vectors -> their homes and visits in each block's grid: rows of block, cell, home.
+def _turned(blocks: int, axes: int | None, budget: float):
+    """One row a vector and block: x, the coordinates of the block that cuts use, and limit, the block's share of the budget."""
 
-    Cells are four times as wide as the distance that a block allows. A vector stands in its home cell, and visits those
-    neighbours before its own that come within that distance; so a pair meets in the home cell of one of the two.
-    """
-
-    def place(it):
+    def turn(it):
         for rows in it:
             for width, same in rows.groupby("width"):
                 turned = _units(same["embedding"].to_numpy()) @ rotation(int(width))
-                out = []
                 for k, (low, high) in enumerate(block_bounds(int(width), blocks)):
-                    reach = np.sqrt(budget * (high - low) / width) * (1 + 1e-9)
-                    x = turned[:, low : min(high, low + axes)] / (4 * reach)
-                    cell = np.floor(x).astype(np.int64)
-                    steps = np.array(np.meshgrid(*[[-1, 0, 1]] * x.shape[1], indexing="ij")).reshape(x.shape[1], -1).T
-                    for step in steps[[tuple(t) <= (0,) * x.shape[1] for t in steps]]:
-                        near = np.where(step < 0, x - cell <= 0.25, np.where(step > 0, cell + 1 - x <= 0.25, True)).all(axis=1)
-                        if near.any():
-                            out.append(same[near].assign(block=k, cell=[",".join(map(str, c)) for c in (cell[near] + step).tolist()], home=not step.any()))
-                yield pd.concat(out)[["node", "label", "width", "n", "embedding", "block", "cell", "home"]]
-
-    return place
+                    x = turned[:, low : high if axes is None else min(high, low + axes)]
+                    yield same.assign(block=k, x=list(x), limit=budget * (high - low) / width * (1 + 1e-9))[["node", "label", "width", "n", "embedding", "block", "x", "limit"]]
+
+    return turn
+
+
+def _median_cuts(turned: DataFrame) -> list[DataFrame]:
+    """Cuts of cells that hold more than CELL vectors, level by level: label, width, block, cell -> cut. A level cuts at the
+    median of one axis, and the next level of the next axis. Cells that no axis can part any more stay as they are."""
+    homes, levels, quiet = turned.select("label", "width", "block", F.lit("").alias("cell"), "x"), [], 0
+    axes = turned.agg(F.max(F.size("x"))).first()[0] or 0
+    while quiet < axes:
+        x = F.get("x", F.lit(len(levels)) % F.size("x"))
+        seen = homes.groupBy(*AT).agg(F.count("*").alias("m"), F.percentile_approx(x, 0.5, 1000).alias("mid"), F.min(x).alias("low"), F.max(x).alias("high")).where(f"m > {CELL}")
+        between = F.when(F.col("mid") > F.col("low"), F.col("mid")).otherwise(F.col("high"))
+        full = materialize(seen.select(*AT, F.when(F.col("low") < F.col("high"), between).alias("cut")), "cuts")
+        crowded, cut = full.agg(F.count("*"), F.count("cut")).first()
+        if not crowded:
+            break
+        quiet = 0 if cut else quiet + 1
+        side = F.when(F.col("cut").isNull(), "").when(x < F.col("cut"), "0").otherwise("1")
+        homes = materialize(homes.join(full, AT).select("label", "width", "block", F.concat("cell", side).alias("cell"), "x"), "homes")
+        levels.append(full.where("cut IS NOT NULL"))
+    return levels
+
+
+def _descend(rows: DataFrame, cuts: DataFrame, level: int) -> DataFrame:
+    """Rows of one level of cells -> rows of the next. Each goes to its own side of the cut. A visitor goes to the other side
+    as well, and a vector at home on the right begins a visit to the left, where the squared distance to that cell, added
+    up over all axes cut so far, is within the limit. So a pair meets in the home cell of one of the two."""
+    axis = F.lit(level) % F.size("x")
+    x, off, cut = F.get("x", axis), F.get("off", axis), F.col("cut")
+    over = F.greatest(off, F.abs(x - cut))
+    far = F.col("far") - off * off + over * over
+    step = lambda cell, off, far, home: F.struct(cell.alias("cell"), off.alias("off"), far.alias("far"), home.alias("home"))
+    beside = F.concat("cell", F.when(x < cut, "0").otherwise("1"))
+    across = F.concat("cell", F.when(x < cut, "1").otherwise("0"))
+    stays = step(F.when(cut.isNull(), F.col("cell")).otherwise(beside), F.col("off"), F.col("far"), F.col("home"))
+    goes = step(across, F.transform("off", lambda o, i: F.when(i == axis, over).otherwise(o)), far, F.lit(False))
+    both = F.coalesce((far <= F.col("limit")) & (~F.col("home") | (x >= cut)), F.lit(False))
+    fixed = [c for c in rows.columns if c not in ("cell", "off", "far", "home")]
+    met = rows.join(cuts, AT, "left").withColumn("next", F.explode(F.when(both, F.array(stays, goes)).otherwise(F.array(stays))))
+    return met.select(*fixed, "next.*")
 
 
 def _compare(blocks: int, budget: float, threshold: float):
@@ -117,7 +146,7 @@ def _sides(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([-2 * v, square, one]), np.hstack([v, one, square])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, blocks: int = 4, axes: int = 2) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, blocks: int = 4, axes: int | None = None) -> DataFrame:
     """One row a vector: id_col, n_links (other rows of its label with a cosine of `threshold` or more), component_id
     (the smallest id that links reach), kept (it is that id).
 
@@ -127,8 +156,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     exactly in double precision. A pair that several blocks find is taken from the first of them.
 
     A label of at most CELL classes is one task, to which each vector goes once, and which joins block after block. A
-    larger one is laid out block by block on a grid over the block's first `axes` coordinates, whose cells reach as far
-    as the block's share allows; a cell that is still too full is cut into chunks and every pair of chunks compared apart.
+    larger one is parted block by block by recursive median cuts over all axes of the block (or its first `axes`) until no cell
+    holds more, and a vector visits the cells that its block's share of the distance reaches, summed over the axes; a cell that
+    cuts cannot part, or that very many visit, is cut into chunks and every pair of chunks compared apart.
 
     Equal vectors of one label are one class with a count, so copies cost one row. Tasks return counts and a forest of
     links, never all pairs.
@@ -153,10 +183,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     else:
         large = rows.join(crowded, ["label", "width"], "left_semi").select(*rows.columns)
         kinds = f"node long, label {rows.schema['label'].dataType.simpleString()}, width int, n long, embedding array<double>"
-        cells = large.mapInPandas(_cells(blocks, axes, budget), f"{kinds}, block int, cell string, home boolean")
-        at = ["label", "width", "block", "cell"]
-        hot = materialize(cells.groupBy(*at).agg(F.count("*").alias("m")).where(f"m > {CELL}").select(*at, F.ceil(F.col("m") / CELL).cast("int").alias("chunks")), "hot")
-        many = cells.join(hot, at, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        turned = materialize(large.mapInPandas(_turned(blocks, axes, budget), f"{kinds}, block int, x array<double>, limit double"), "turned")
+        cells = turned.withColumns({"cell": F.lit(""), "off": F.transform("x", lambda x: F.lit(0.0)), "far": F.lit(0.0), "home": F.lit(True)})
+        for level, cuts in enumerate(_median_cuts(turned)):
+            cells = _descend(cells, cuts, level)
+        cells = cells.select(*rows.columns, "block", "cell", "home")
+        hot = materialize(cells.groupBy(*AT).agg(F.count("*").alias("m")).where(f"m > {CELL}").select(*AT, F.ceil(F.col("m") / CELL).cast("int").alias("chunks")), "hot")
+        many = cells.join(hot, AT, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         chunk, every = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
         stands = F.when(F.col("home"), F.transform(every, lambda j: F.struct(chunk.alias("i"), j.alias("j"), F.lit(True).alias("home"))))
         visits = F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), chunk.alias("j"), F.lit(False).alias("home"))), lambda x: ~F.col("home") | (x["i"] < chunk))
