@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brute import vector_links
 from jobgrain.llm import embedding
@@ -45,3 +46,31 @@ def test_repeated_and_null_ids(spark):
     rows = [(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [0.0, 1.0]), (None, 1, [1.0, 0.0]), (3, 1, [1.0, 0.01])]
     found = embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
     assert sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in found), key=str) == [(0, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_cells_are_parted_by_medians(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "CELL", 25)
+    v = np.random.default_rng(7).standard_normal((800, 16))
+    rows = spark.createDataFrame([(i, 1, 16, 1, x.tolist()) for i, x in enumerate(v)], "node long, label int, width int, n long, embedding array<double>")
+    turned = rows.mapInPandas(embedding._turned(4, None, 0.14), "node long, label int, width int, n long, embedding array<double>, block int, x array<double>, limit double").cache()
+    levels = embedding._median_cuts(turned)
+    assert len(levels) >= 5
+    cells = turned.withColumns({"cell": F.lit(""), "off": F.transform("x", lambda x: F.lit(0.0)), "far": F.lit(0.0), "home": F.lit(True)})
+    for level, cuts in enumerate(levels):
+        cells = embedding._descend(cells, cuts, level)
+    held = {}
+    for r in cells.select("block", "cell", "node", "home").collect():
+        held.setdefault((r.block, r.cell), ([], []))[0 if r.home else 1].append(r.node)
+    assert max(len(home) for home, _ in held.values()) <= 25
+    for block in range(4):
+        mine = [x for (b, _), x in held.items() if b == block]
+        assert sorted(i for home, _ in mine for i in home) == list(range(800))
+        beside = [(min(i, j), max(i, j)) for home, visits in mine for i in home for j in [*(k for k in home if k > i), *visits]]
+        assert len(beside) == len(set(beside)) < 0.6 * 800 * 799 / 2
+        x = embedding._units(list(v)) @ embedding.rotation(16)[:, 4 * block : 4 * block + 4]
+        near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.14 * 4 / 16
+        assert {(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)} <= set(beside)
+    alike = spark.createDataFrame([(1, 16, 0, [0.5, 0.5])] * 60, "label int, width int, block int, x array<double>")
+    assert sum(cuts.count() for cuts in embedding._median_cuts(alike)) == 0
+    some = spark.createDataFrame([(1, 16, 0, [0.5, 0.0 if i else -1.0]) for i in range(60)], "label int, width int, block int, x array<double>")
+    assert sum(cuts.count() for cuts in embedding._median_cuts(some)) == 1
