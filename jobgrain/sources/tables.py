@@ -129,7 +129,7 @@ def matches_to_export(jobs: DataFrame, scores: DataFrame, threshold: int = 70) -
 
 
 def export_matches(jobs: DataFrame, scores: DataFrame, path: str, threshold: int = 70) -> None:
-    matches_to_export(jobs, scores, threshold).orderBy(F.desc("score"), "title").write.mode("overwrite").option("header", True).csv(path)
+    matches_to_export(jobs, scores, threshold).orderBy(F.desc("score"), "title", "company", "url").write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
