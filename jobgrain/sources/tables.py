@@ -94,6 +94,13 @@ def run_log(runs: DataFrame) -> DataFrame:
     return runs.select(*rest, one("efficiency_percent"), one("duration_seconds"))
 
 
+def run_key(rows: DataFrame) -> str:
+    """The key of a run's rows: their number and a sum of their hashes, which a long holds for some 17 million rows alone."""
+    mark = F.xxhash64(*rows.columns).bitwiseAND(F.lit(0xFFFFFFFFFF)).cast("decimal(13,0)")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0))).first()
+    return f"{n}-{int(total):x}"
+
+
 def run_log_append(runs: DataFrame, path: str, run: str | None = None) -> str:
     """Logs run rows as CSV with a header in a folder of their run, path/run=KEY, which it replaces; the key.
 
@@ -101,9 +108,7 @@ def run_log_append(runs: DataFrame, path: str, run: str | None = None) -> str:
     made of the rows (their number and a sum of their hashes), so equal rows are one run and others are another.
     """
     rows = run_log(runs)
-    if run is None:
-        n, mark = rows.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*rows.columns).bitwiseAND(F.lit(0xFFFFFFFFFF))), F.lit(0))).first()
-        run = f"{n}-{mark:x}"
+    run = run_key(rows) if run is None else run
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/run={quote(run, safe='')}")
     return run
 

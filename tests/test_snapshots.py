@@ -135,6 +135,14 @@ def test_a_log_has_one_copy_a_run(spark, tmp_path):
     assert {r.duration_seconds for r in tables.read_run_log(spark, path).where("run_id = 5").collect()} == {"6.3"}
 
 
+def test_a_run_of_many_rows_has_a_key(spark):
+    rows = spark.range(20_000_000)
+    n, mark = tables.run_key(rows).split("-")
+    assert int(n) == 20_000_000 and int(mark, 16) > 2**63
+    few = tables.run_key(rows.limit(100))
+    assert few == f"100-{sum(r.h & 0xFFFFFFFFFF for r in rows.limit(100).select(F.xxhash64('id').alias('h')).collect()):x}"
+
+
 def test_late_events_count_by_their_own_time(spark, tmp_path):
     """Events dealt to files in any order, one file a batch, give what one fold gives."""
     rng = random.Random(1)
