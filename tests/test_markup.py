@@ -124,3 +124,18 @@ def test_ids_stay_what_they_are(spark):
         assert key(pages.extract_fields(pages.extract_cards(clean, pages.ARTICLE), pages.ARTICLE).collect()) == sorted(map(change, want), key=str)
         assert key(pages.page_description(named, ("article",), 200).collect()) == sorted((change(r[0]) for r in rows), key=str)
     assert not pages.extract_records(df.drop("page_url").limit(0), pages.ARTICLE).count()
+
+
+@pytest.mark.parametrize("cut, want", [("and&amp", "and&amp"), ("a &am", "a &am"), ("&amp;&quo", "&&quo"), ("&amp;lt;", "&lt;"), ("a&lt;b&amp;c", "a<b&c"), ("x&#39", "x&#39"), ("&#39;&#x27;&nbsp;y", "'' y"), ("&ampx;", "&ampx;"), ("&middot;&copy;", "\u00b7\u00a9"), ("R&amp D", "R&amp D")])
+def test_references_end_with_a_semicolon(spark, cut, want):
+    """Titles that were cut inside a reference keep what is left of it, as the SQL of the queries does."""
+    df = spark.createDataFrame([(1, "u", f"<article><h1>{cut}</h1><p>x</p></article>")], "page_id long, url string, html string")
+    assert pages.extract_records(df, pages.ARTICLE).first().title == want
+    assert next(Page('<a href="/?a=1&copy=2&amp;b">', Selectors(["a"])).elements("a")).attributes["href"] == "/?a=1&copy=2&b"
+
+
+@pytest.mark.parametrize("html", ["&a" * 500_000, "&" + "a" * 1_000_000, "&#" + "1" * 5_000 + ";"])
+def test_references_are_linear(html):
+    began = time.time()
+    Page(f"<p>{html}</p>", Selectors(["p"]))
+    assert time.time() - began < 10
