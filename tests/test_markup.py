@@ -134,6 +134,13 @@ def test_references_end_with_a_semicolon(spark, cut, want):
     assert next(Page('<a href="/?a=1&copy=2&amp;b">', Selectors(["a"])).elements("a")).attributes["href"] == "/?a=1&copy=2&b"
 
 
+@pytest.mark.parametrize("cut", ["and&amp", "&amp;&quo", "R&amp D"])
+def test_descriptions_keep_cut_references(spark, cut):
+    df = spark.createDataFrame([(1, f"<article><h1>{cut}</h1><p>x&lt;</p></article>")], "page_id long, html string")
+    want = cut.replace("&amp;", "&")
+    assert pages.page_description(df, ("div.none", "article"), 200).first().description == f"{want}\nx<"
+
+
 @pytest.mark.parametrize("html", ["&a" * 500_000, "&" + "a" * 1_000_000, "&#" + "1" * 5_000 + ";"])
 def test_references_are_linear(html):
     began = time.time()
