@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -153,21 +153,34 @@ def rule_scores(jobs: DataFrame, cfg: ParserConfig, gates: dict[str, tuple[str,
 
 
 Scorer = tuple[str, Callable[[pd.DataFrame], pd.Series]]
+#: Bytes of rows that go to the scorers at once, about.
+AT_A_TIME = 1 << 20
 #: Integers go to scorers as pandas' own nullable ones, so that a null beside them changes none.
 _WHOLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some MB at a time, or one that has more by itself."""
+    if batch.nbytes <= AT_A_TIME or len(batch) < 2:
+        yield batch
+    else:
+        half = len(batch) // 2
+        yield from _parts(batch.slice(0, half))
+        yield from _parts(batch.slice(half))
+
+
 def score_batch(jobs: DataFrame, scorers: Sequence[Scorer], key: str = "job_id", rules: ParserConfig | None = None) -> DataFrame:
     """key, score, model_used, error: each row's score from the first scorer of the chain that gives one.
 
     With rules, the rule scorer stands first, as columns ("rules" in model_used); only rows that it cannot judge, those
     without a description, go on to Python. A scorer maps a frame of rows to a series of scores, null where it fails; one
     that raises fails for all rows it was given. Only rows without a score go on to the next. Rows that no scorer
-    manages keep the last error. Keys go around the scorers as they are, whatever their type.
+    manages keep the last error. Keys go around the scorers as they are, whatever their type. A frame holds some MB of
+    rows, so a worker's memory does not follow how many rows a partition has.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             rows = batch.to_pandas(types_mapper=_WHOLE.get)
             out = pd.DataFrame({"score": pd.Series([None] * len(rows), dtype="float64"), "model_used": None, "error": None if rules is None else "rules: no description"}, index=rows.index)
             for name, scorer in scorers:

@@ -148,3 +148,12 @@ def test_orders_of_views(spark):
     assert [r.job_id for r in views.newest_first(jobs, "applied_date", "first_seen_date").collect()] == [2, 3, 1]
     assert [r.job_id for r in views.newest_first(jobs, "first_seen_date").collect()] == [2, 3, 1]
     assert [r.job_id for r in views.soonest_first(jobs.withColumnRenamed("first_seen_date", "interview_date")).collect()] == [1, 3, 2]
+
+
+def test_scorers_get_some_rows_at_a_time(spark):
+    jobs = spark.range(4_000).select(F.col("id").alias("job_id"), F.when(F.col("id") == 7, F.repeat(F.lit("y"), 3 << 20)).otherwise(F.repeat(F.lit("x"), 2_000)).alias("description")).coalesce(1)
+    size = lambda rows: rows["description"].str.len().groupby(lambda _: 0).transform("sum").astype("float64")
+    got = scoring.score_batch(jobs, [("size", size)]).collect()
+    assert [r.job_id for r in got] == list(range(4_000)) and {r.model_used for r in got} == {"size"}
+    assert got[7].score == 3 << 20 and all(r.score <= scoring.AT_A_TIME for r in got if r.job_id != 7)
+    assert not scoring.score_batch(jobs.limit(0), [("size", size)]).count()
