@@ -69,10 +69,12 @@ class StoreIndex:
         if FIRST in folders.numbers(self.spark, f"{self.path}/order", "base"):
             return
         rows = store.select("job_id", "title", "company", "url", "last_seen_date", job_hash(F.col("title"), F.col("company"), F.col("url")).alias("job_id_hash"))
+        rows = materialize(rows, "store")  # a store is read once, whatever its columns are made of
         order = similar.WordOrder.of(rows.select(*similar.clean_texts(F.col("title"), F.col("company"))))
         self._write_rows(rows, F.col("last_seen_date").cast("date"), order, FIRST, FIRST)
         self._write("seen", rows.where("false").withColumn("day", F.lit(None).cast("date")), FIRST, FIRST)
         self._settle(order, FIRST)
+        discard(rows)
 
     def add(self, batch: int, taken: DataFrame, touched: DataFrame, as_of) -> None:
         """What a batch has taken (job_id, title, company, url, job_id_hash) and which stored hashes it has seen again, on as_of."""
@@ -129,12 +131,13 @@ class StoreIndex:
             found[r.name][r.b] = r.n
         return found
 
-    def _keep(self, df: DataFrame, tag: str) -> DataFrame:
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """df, written on the way until release()."""
         self._scratch.append(materialize(df, tag))
         return self._scratch[-1]
 
     def release(self) -> None:
-        """Deletes what look_up() has written on its way, once nothing reads its results any more."""
+        """Deletes what look_up() and keep() have written on the way, once nothing reads their results any more."""
         while self._scratch:
             discard(self._scratch.pop())
 
@@ -146,17 +149,17 @@ class StoreIndex:
         very many rows is dealt by its keys instead.
         """
         base, order = self._base(before)
-        asking = self._keep(batch.select("job_id", "url", "job_id_hash", *similar.clean_texts(F.col("title"), F.col("company"))), "asking")
+        asking = self.keep(batch.select("job_id", "url", "job_id_hash", *similar.clean_texts(F.col("title"), F.col("company"))), "asking")
         small = similar.is_small(asking)
         send = F.broadcast if small else (lambda df: df)
         classes = asking.select("t", "c").distinct()
-        probes = self._keep(similar.probes(similar.entries(classes, order, self.basis_points), self.basis_points), "probes")
+        probes = self.keep(similar.probes(similar.entries(classes, order, self.basis_points), self.basis_points), "probes")
         asked = self._buckets({"words": (probes, ("q_kt", "q_kc")), "urls": (asking.where("url IS NOT NULL"), ("url",)), "stored": (asking, ("job_id_hash",))})
         words, urls, stored = (self._read(n, base, before, sorted(asked[n])) for n in ("words", "urls", "stored"))
         pairs = similar.matches(probes, words, self.basis_points, small).select("q_t", "q_c", F.col("job_id").alias("existing_key"), F.col("job_id_hash").alias("met"), "similarity")
         same_url = urls.join(send(asking.select("url").distinct()), "url", "left_semi").select(F.col("url").alias("q_t"), F.lit(None).cast("string").alias("q_c"), F.lit(None).cast("long").alias("existing_key"), F.col("job_id_hash").alias("met"), F.lit(None).cast("double").alias("similarity"))
-        found = self._keep(pairs.unionByName(same_url), "found")
-        hashes = self._keep(found.select(F.col("met").alias("job_id_hash")).distinct(), "hashes")
+        found = self.keep(pairs.unionByName(same_url), "found")
+        hashes = self.keep(found.select(F.col("met").alias("job_id_hash")).distinct(), "hashes")
         days = self._days(base, before, hashes)
         if window_days is not None:
             days = days.where(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), window_days))

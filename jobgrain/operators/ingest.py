@@ -93,9 +93,18 @@ def classify_ingest(batch: DataFrame, existing: DataFrame, kw: Keywords, basis_p
 
 def classify_indexed(batch: DataFrame, index: StoreIndex, number: int, kw: Keywords, window_days: int | None = 90, as_of=None) -> DataFrame:
     """classify_ingest() against a kept index of the store, as the batches before `number` have left it. Work follows the batch: of
-    the store, the buckets of the batch's keys are read."""
-    rows = _judged(batch, kw)
-    return settle(rows, *index.look_up(rows, number, window_days, as_of))
+    the store, the buckets of the batch's keys are read.
+
+    The batch is read and judged once, and settled without its descriptions, which join the outcomes in one step. The result
+    can be read until index.release().
+    """
+    judged = _judged(batch, kw)
+    (row,) = spare(judged, "row")
+    rows = index.keep(judged.withColumn(row, F.monotonically_increasing_id()), "judged")
+    slim = rows.select(row, "seq", "job_id", "title", "company", "url", "job_id_hash", "tier3_pass")
+    settled = settle(slim, *index.look_up(slim, number, window_days, as_of))
+    settled = index.keep(settled.select(row, *(c for c in settled.columns if c not in slim.columns)), "settled")
+    return rows.join(settled, row).drop(row)
 
 
 def _judged(batch: DataFrame, kw: Keywords) -> DataFrame:

@@ -137,9 +137,9 @@ SELECT job_id, CASE job_id % 6 WHEN 0 THEN 'Perth, Western Australia, Australia'
   CASE job_id % 6 WHEN 0 THEN 'All-Perth-WA' WHEN 1 THEN 'All-Melbourne-VIC' WHEN 3 THEN 'All-Sydney-NSW' ELSE 'All-Australia' END AS partial FROM postings WHERE location IS NOT NULL""")
 
 
-def _stream(s, d, name):
-    """A library table as a stream: its rows as files in the shared folder."""
-    rows = shape(s, d, name)
+def _stream(s, d, name, condition="true"):
+    """A library table, or its rows of a condition, as a stream: as files in the shared folder."""
+    rows = shape(s, d, name).where(condition)
     path = through_file(rows, s)
     return streams.files_stream(s, path, rows)
 
@@ -150,7 +150,7 @@ def _finish(query):
 
 def _stream_ingest(s, d):
     path = scratch(s, "stream")
-    _finish(streams.stream_ingest(_stream(s, d, "postings").where("job_id % 2 = 1"), existing(s, d), path, KEYWORDS, AS_OF, scratch(s, "state")))
+    _finish(streams.stream_ingest(_stream(s, d, "postings", "job_id % 2 = 1"), existing(s, d), path, KEYWORDS, AS_OF, scratch(s, "state")))
     return s.read.parquet(f"{path}/outcomes").groupBy("outcome").agg(F.sum("n").alias("n"))
 
 

@@ -42,15 +42,15 @@ def stream_ingest(source: DataFrame, store: DataFrame, path: str, kw: Keywords,
     known.build(store)
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = classify_indexed(df, known, number, kw, window_days, as_of).persist()
+        rows = classify_indexed(df, known, number, kw, window_days, as_of)
         day = F.lit(as_of).cast("date")
         accepted = rows.where("outcome = 'new'").withColumn("last_seen_date", day)
         touched = rows.where("outcome IN ('dup_hash', 'dup_store')").select(F.col("matched_hash").alias("job_id_hash")).distinct()
         accepted.write.mode("overwrite").parquet(f"{path}/accepted/batch={number}")
+        accepted = df.sparkSession.read.schema(accepted.schema).parquet(f"{path}/accepted/batch={number}")
         touched.withColumn("seen", day).write.mode("overwrite").parquet(f"{path}/touched/batch={number}")
         rows.groupBy("outcome").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
         known.add(number, accepted, touched, as_of)
-        rows.unpersist()
         known.release()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

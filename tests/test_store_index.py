@@ -115,3 +115,26 @@ def test_a_batch_reads_its_own_buckets_and_runs_again(spark, tmp_path, nothing):
     index.add(1, none, touched, "2026-03-01")
     assert day(0) == {"2026-01-01"} and day(1) == {"2026-02-01"} and day(2) == {"2026-03-01"}
     assert index.states(2).count() == 400
+
+
+def test_a_store_and_a_batch_are_read_once(spark, tmp_path):
+    """However often their columns are used: each row counts itself when it is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    store = spark.createDataFrame([(*posting(i, f"engineer of {i}", f"firm {i}", f"u{i}"), "2026-01-01") for i in range(30)], SCHEMA + ", last_seen_date string")
+    index = StoreIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.build(store.mapInArrow(count, store.schema))
+    assert made.value == 30
+    given = [posting(100 + i, f"engineer of {i}", f"firm {i}", f"v{i}", "short" if i % 3 else BODY) for i in range(20, 45)]
+    batch = spark.createDataFrame(given, SCHEMA).withColumn("row", F.lit(5))
+    got = ingest.classify_indexed(batch.mapInArrow(count, batch.schema), index, 0, KW, as_of="2026-02-01")
+    rows = got.collect()
+    assert made.value == 55 and got.columns[: len(batch.columns)] == batch.columns
+    want = ingest.classify_ingest(batch, store, KW, as_of="2026-02-01").select(got.columns)
+    assert sorted(map(str, rows)) == sorted(map(str, want.collect()))
+    index.release()
