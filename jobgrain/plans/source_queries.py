@@ -92,6 +92,8 @@ _ARTICLE = r"regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
 _UNESCAPED = r"regexp_replace(regexp_replace(regexp_replace(" + _ARTICLE + r", '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<(/?(p|div|h[1-6]|li|ul|ol|section|article|header|footer|form|aside|nav|table|tr|td|th|blockquote|pre|figure|figcaption)|br|hr)([^a-z0-9>][^>]*)?>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
 for _entity, _character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
     _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_character}')"
+#: What the SQL's trim() cuts: Unicode's space separators.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _ENTRIES = pages.BoardSpec(cards=("section.none", "nav li", "li"))
 register("extract_cards_many", lambda s, d: pages.extract_cards(table(s, d, "pages"), _ENTRIES).groupBy("page_id").agg(F.count("*").alias("cards"), F.max("card_idx").alias("last"), F.sum(F.length("html")).alias("size")), r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS html FROM pages)
 SELECT page_id, count(*) AS cards, CAST(count(*) - 1 AS INT) AS last, CAST(sum(length(html)) AS BIGINT) AS size FROM p GROUP BY 1""")
@@ -99,7 +101,7 @@ register("extract_cards", lambda s, d: pages.extract_cards(table(s, d, "pages"),
 register("extract_fields", lambda s, d: pages.extract_records(table(s, d, "pages"), pages.ARTICLE).select("page_id", "url", "company", "location", F.md5(F.regexp_replace("title", " +", " ")).alias("title")),
          r"SELECT page_id, split_part(url, '?', 1) AS url, 'Unknown' AS company, 'Unknown' AS location, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS title FROM pages WHERE regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) <> ''".replace('\\"', '"'))
 register("drop_recommended", lambda s, d: pages.drop_recommended(table(s, d, "pages").select("page_id", "html"), ("thanedble", "onon", "ieren")).select("page_id"), "SELECT page_id FROM pages WHERE NOT (contains(lower(html), 'thanedble') OR contains(lower(html), 'onon') OR contains(lower(html), 'ieren'))")
-register("page_description", lambda s, d: pages.page_description(table(s, d, "pages"), ("div.none", "article"), 200).select("page_id", F.md5(F.regexp_replace("description", r"\s+", " ")).alias("description")), f"SELECT page_id, md5(trim(regexp_replace({_UNESCAPED}, '\\s+', ' ', 'g'))) AS description FROM pages")
+register("page_description", lambda s, d: pages.page_description(table(s, d, "pages"), ("div.none", "article"), 200).select("page_id", F.md5(F.btrim(F.replace("description", F.lit("\n"), F.lit(" ")), F.lit(_SPACES))).alias("description")), f"SELECT page_id, md5(trim(regexp_replace({_UNESCAPED}, '\\s+', ' ', 'g'))) AS description FROM pages")
 register("canonical_url", lambda s, d: table(s, d, "pages").select("page_id", pages.canonical_url(F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?://[^/]+", "")).when(F.col("page_id") % 7 == 1, F.lit(None)).otherwise(F.col("url")), "https://board.example", F.col("page_id")).alias("url")),
          r"""WITH u AS (SELECT page_id, split_part(CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^https?://[^/]+', '') WHEN page_id % 7 = 1 THEN NULL ELSE url END, '?', 1) AS p FROM pages)
 SELECT page_id, CASE WHEN p LIKE '/%' THEN 'https://board.example' || p WHEN p IS NULL OR p = '' THEN 'https://board.example/jobs/view/' || page_id ELSE p END AS url FROM u""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from jobgrain.functions.names import spare
 from jobgrain.functions.text import strip
 from jobgrain.sources.markup import Element, Page, Selectors
 
@@ -123,16 +124,18 @@ def drop_recommended(cards: DataFrame, words: tuple[str, ...] = ("top-pick", "re
 
 
 def page_description(pages: DataFrame, containers: tuple[str, ...], least: int = 200) -> DataFrame:
-    """page_id, description: the text of the first container longer than least, else of the last one found, else of main."""
+    """page_id, description: the text of the first container longer than least, else of the last one found, else of main. Only white
+    space of HTML becomes one space, so no-break spaces stay. A null page has a null description."""
 
     def texts(page: Page) -> list[tuple]:
-        return [([next((page.text(e) for e in page.elements(s)), None) for s in (*containers, "main")],)]
+        return [([next((page.text(e, whole=True) for e in page.elements(s)), None) for s in (*containers, "main")],)]
 
-    raw = _read_pages(pages, ["page_id"], "html", [*containers, "main"], texts, "texts array<string>")
+    (absent,) = spare(pages, "absent")
+    raw = _read_pages(pages.withColumn(absent, F.col("html").isNull()), ["page_id", absent], "html", [*containers, "main"], texts, "texts array<string>")
     tried = F.filter(F.slice("texts", 1, len(containers)), lambda x: x.isNotNull())
     long_ = F.get(F.filter(tried, lambda x: F.length(x) > least), F.lit(0))
     last = F.when(F.size(tried) > 0, F.try_element_at(tried, F.lit(-1)))
-    return raw.select("page_id", F.coalesce(long_, last, F.get("texts", F.lit(len(containers))), F.lit("")).alias("description"))
+    return raw.select("page_id", F.when(~F.col(absent), F.coalesce(long_, last, F.get("texts", F.lit(len(containers))), F.lit(""))).alias("description"))
 
 
 def canonical_url(url: Column, base: str, job_id: Column | None = None) -> Column:

@@ -5,9 +5,11 @@ import time
 from collections import Counter
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from jobgrain.plans import catalogue, registry  # noqa: F401  (the catalogue registers)
 from jobgrain.sources import pages
 from jobgrain.sources.markup import BLOCK, VOID, Page, Selectors
 
@@ -141,6 +143,18 @@ def test_descriptions_keep_cut_references(spark, cut):
     assert pages.page_description(df, ("div.none", "article"), 200).first().description == f"{want}\nx<"
 
 
+def test_descriptions_as_their_sql_has_them(spark, tmp_path):
+    """Characters that are white space for Python but not for HTML stay, forms and figures part words, a null page has no description."""
+    odd = ["a&nbsp;b", "\u00a0a \u00a0 b&nbsp;", "\u3000 a\u200a", "a\u2003\u3000b\u2028c", "\x0b a\x1cb \x85", " a\t\r\n\fb ", "a<form>b</form>c", "a<figure>b<figcaption>c</figcaption>d</figure>e", ""]
+    rows = [(i, f"<article><h1>{x}</h1><p>{x}<br>{x}</p></article>") for i, x in enumerate(odd)] + [(len(odd), None), (len(odd) + 1, ""), (len(odd) + 2, "<p>none</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = registry.queries()["page_description"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(registry.oracle_sql()["page_description"]).fetchall())
+    assert pages.page_description(spark.createDataFrame(rows[:1], "absent long, html string").withColumn("page_id", F.col("absent")), ("article",)).first().description == "a\u00a0b\na\u00a0b\na\u00a0b"
+
+
 @pytest.mark.parametrize("html", ["&a" * 500_000, "&" + "a" * 1_000_000, "&#" + "1" * 5_000 + ";"])
 def test_references_are_linear(html):
     began = time.time()
