@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -182,22 +183,21 @@ def score_batch(jobs: DataFrame, scorers: Sequence[Scorer], key: str = "job_id",
     def run(batches):
         for batch in (part for whole in batches for part in _parts(whole)):
             rows = batch.to_pandas(types_mapper=_WHOLE.get)
-            out = pd.DataFrame({"score": pd.Series([None] * len(rows), dtype="float64"), "model_used": None, "error": None if rules is None else "rules: no description"}, index=rows.index)
+            score, model, error = np.full(len(rows), np.nan), np.full(len(rows), None), np.full(len(rows), None if rules is None else "rules: no description", dtype=object)
             for name, scorer in scorers:
-                left = out["score"].isna()
+                left = np.isnan(score)
                 if not left.any():
                     break
                 try:
-                    got = pd.Series(scorer(rows[left]), dtype="float64")
-                    got.index = rows.index[left]
+                    got = pd.Series(scorer(rows[left]), dtype="float64").to_numpy()
+                    if len(got) != left.sum():
+                        raise ValueError(f"{len(got)} scores for {left.sum()} rows")
                 except Exception as e:  # noqa: BLE001  (a plug-in may raise anything)
-                    out.loc[left, "error"] = f"{name}: {e}"
+                    error[left] = f"{name}: {e}"
                     continue
-                done = got.index[got.notna()]
-                out.loc[got.index, "score"] = got
-                out.loc[done, "model_used"], out.loc[done, "error"] = name, None
-                out.loc[got.index[got.isna()], "error"] = f"{name}: no score"
-            told = [pa.Array.from_pandas(out["score"], type=pa.float64()), *(pa.Array.from_pandas(out[c], type=pa.string()) for c in ("model_used", "error"))]
+                none = np.isnan(got)
+                score[left], model[left], error[left] = got, np.where(none, None, name), np.where(none, f"{name}: no score", None)
+            told = [pa.array(score, pa.float64(), from_pandas=True), pa.array(model, pa.string()), pa.array(error, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(key)), *told], [key, "score", "model_used", "error"])
 
     schema = f"{key} {jobs.schema[key].dataType.simpleString()}, score double, model_used string, error string"

@@ -157,3 +157,23 @@ def test_scorers_get_some_rows_at_a_time(spark):
     assert [r.job_id for r in got] == list(range(4_000)) and {r.model_used for r in got} == {"size"}
     assert got[7].score == 3 << 20 and all(r.score <= scoring.AT_A_TIME for r in got if r.job_id != 7)
     assert not scoring.score_batch(jobs.limit(0), [("size", size)]).count()
+
+
+def test_a_chain_scores_each_frame_by_itself(spark):
+    """A scorer that raises or gives too few scores for one frame fails for the rows of that frame alone."""
+    jobs = spark.range(900).select(F.col("id").alias("job_id"), F.repeat(F.lit("x"), 5_000).alias("description")).coalesce(1)
+
+    def first(rows):
+        if 0 in set(rows["job_id"]):
+            raise ValueError("a long reason, " * 9)
+        return rows["job_id"].where(rows["job_id"] % 3 == 0)
+
+    def second(rows):
+        return rows["job_id"][1:] if 899 in set(rows["job_id"]) else rows["job_id"].where(rows["job_id"] % 2 == 0)
+
+    got = {r.job_id: r for r in scoring.score_batch(jobs, [("first", first), ("second", second)]).collect()}
+    assert got[1].error == "second: no score" and (got[0].model_used, got[0].score, got[0].error) == ("second", 0.0, None)
+    assert got[898].error.startswith("second: ") and got[898].error != "second: no score" and got[898].score is None
+    assert (got[897].model_used, got[897].score) == ("first", 897.0) and len(got) == 900
+    alone = {r.job_id: r.error for r in scoring.score_batch(jobs, [("first", first)]).collect()}
+    assert alone[0] == "first: " + "a long reason, " * 9 and alone[899] == "first: no score"
