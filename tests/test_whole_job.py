@@ -159,6 +159,15 @@ def test_scorers_get_some_rows_at_a_time(spark):
     assert not scoring.score_batch(jobs.limit(0), [("size", size)]).count()
 
 
+def test_frames_of_scorers_stay_small_where_characters_are_wide(spark):
+    """One sign beyond 16 bits makes Python hold a text with 4 bytes a character; a frame still has a few MB, however many rows follow."""
+    wide = F.concat(F.repeat(F.lit("x"), 50_000), F.lit("\U0001F642"))
+    jobs = spark.range(1_500).select(F.col("id").alias("job_id"), wide.alias("description")).coalesce(1)
+    held = lambda rows: [float(rows.memory_usage(deep=True).sum())] * len(rows)
+    got = scoring.score_batch(jobs, [("held", held)]).collect()
+    assert len(got) == 1_500 and 200_000 < max(r.score for r in got) <= 5 << 20
+
+
 def test_a_chain_scores_each_frame_by_itself(spark):
     """A scorer that raises or gives too few scores for one frame fails for the rows of that frame alone."""
     jobs = spark.range(900).select(F.col("id").alias("job_id"), F.repeat(F.lit("x"), 5_000).alias("description")).coalesce(1)
